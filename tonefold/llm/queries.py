@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, packing, token_counts, toxicity
+from . import jaccard_join, language_id, packing, quality_rules, token_counts, toxicity
 from .common import table
 
 TOKEN_LIMIT = 4096
@@ -23,6 +23,14 @@ def op1_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), F.col(f"fit_{TOKEN_LIMIT}").alias("chars_within_limit"))
 
 
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op8_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_prefix_token_counts,
+        op2_divergence_rules,
+        op3_ngram_jaccard_join,
         op8_toxicity_trees,
         op9_min_slack_packing,
         op10_string_kernel_language,
