@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join, language_id, packing, quality_rules, token_counts, toxicity
+from . import jaccard_join, language_id, packing, quality_rules, substring_dedup, token_counts, toxicity
 from .common import table
 
 TOKEN_LIMIT = 4096
@@ -31,6 +31,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op5_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_prefix_token_counts,
         op2_divergence_rules,
         op3_ngram_jaccard_join,
+        op5_fm_substring_dedup,
         op8_toxicity_trees,
         op9_min_slack_packing,
         op10_string_kernel_language,
