@@ -22,6 +22,8 @@ COMMON_WORDS = (
 ).split()
 #: Judged from so many words on; divergence allowed for characters and for words.
 MIN_WORDS, CLASS_LIMIT, WORD_LIMIT = 50, 0.10, 0.25
+#: References that may be broadcast (a fixed number of cells each); more are joined by shuffling.
+LANGUAGES = 1000
 BREAKS = "[\\x20\\x09-\\x0D]"
 #: Classes in the order in which they are taken out of the text.
 CLASSES = (("lower", "[a-z]+"), ("space", "[\\x20\\x09-\\x0D]+"), ("other", "[^\\x00-\\x7F]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+"))
@@ -45,9 +47,14 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("places", places).withColumn("n_repeat_words", covered).drop("mask", "s", "twice", "places")
 
 
+def row_key(id_col: str, text_col: str, lang_col: str) -> Column:
+    """Equal for rows that are judged alike."""
+    return F.xxhash64(id_col, text_col, lang_col)
+
+
 def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per document its base measures and hist, an array of (key, count): classes of characters, common words."""
-    df = only(docs, id_col, lang_col, text_col).toDF("_id", "_lang", "_text").withColumn("_text", F.coalesce("_text", F.lit("")))
+    df = only(docs, id_col, lang_col, text_col).toDF("_id", "_lang", "_text").withColumn("_row", row_key("_id", "_text", "_lang")).withColumn("_text", F.coalesce("_text", F.lit("")))
     df = df.withColumn("w", F.array_remove(F.split("_text", BREAKS + "+"), "")).withColumn("n_words", F.size("w").cast("long"))
     lines = F.expr(f"filter(split(_text, '\\n'), x -> x rlike '{BREAKS.replace('[', '[^')}')".replace("\\", "\\\\").replace("\\\\n", "\\n"))
     df = df.withColumn("lines", lines).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
@@ -63,7 +70,7 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     hist = F.filter(F.concat(F.array(*classes), words), lambda x: x["count"] > 0)
     return df.select(
         F.col("_id").alias(id_col), F.col("_lang").alias(lang_col), "n_words", (F.col("chars") - F.col("c_space")).alias("word_chars"), F.col("c_symbol").alias("n_symbols"),
-        "n_dup_lines", "n_repeat_words", "chars", hist.alias("hist"),
+        "n_dup_lines", "n_repeat_words", "chars", hist.alias("hist"), F.col("_row").alias("row_key"),
     )
 
 
@@ -84,16 +91,25 @@ def divergence(hist: str, shares: str, kind: str, total: Column) -> Column:
     return F.when(total > 0, 0.5 + F.aggregate(own, F.lit(0.0), lambda a, x: a + part(x))).otherwise(0.0)
 
 
+def kept(docs: DataFrame, **columns) -> DataFrame:
+    """docs without the rows that are not kept."""
+    key = row_key(columns.get("id_col", "doc_id"), columns.get("text_col", "text"), columns.get("lang_col", "lang"))
+    out = judge(docs, **columns).where("not kept").select(F.col("row_key").alias("_row_key")).distinct()
+    return docs.join(out, key == F.col("_row_key"), "left_anti")
+
+
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_divergence, word_divergence, kept; a row per row.
+    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_divergence, word_divergence, kept, row_key; a row per row.
 
     Null and empty texts have no words, so they fail the base rule. Documents without a language share one reference.
     Repeated ids and rows are judged one by one.
     """
     measured = written(measures(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), "measures")
     refs = references(measured, lang_col=lang_col)
+    refs = written(refs, "references")
+    refs = F.broadcast(refs) if refs.count() <= LANGUAGES else refs
     df = measured.join(refs, F.col(lang_col).eqNullSafe(F.col("_ref_lang")), "left")
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     df = df.withColumn("class_divergence", divergence("hist", "shares", "c:", F.col("chars"))).withColumn("word_divergence", divergence("hist", "shares", "w:", F.col("n_words")))
     fits = (F.col("n_words") < min_words) | ((F.col("class_divergence") <= class_limit) & (F.col("word_divergence") <= word_limit))
-    return df.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("class_divergence", 6).alias("class_divergence"), F.round("word_divergence", 6).alias("word_divergence"), (~F.col("base_failed") & fits).alias("kept"))
+    return df.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("class_divergence", 6).alias("class_divergence"), F.round("word_divergence", 6).alias("word_divergence"), (~F.col("base_failed") & fits).alias("kept"), "row_key")

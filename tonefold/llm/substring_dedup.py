@@ -29,7 +29,7 @@ GRAM = 8
 LONGEST, HOT, SHARD = 1024, 1000, 3000
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with _key, unique and in the order of ids: the id itself, or where ids repeat or are null a number in the order of id (nulls last) and text."""
     ids = docs.select(F.col(f"`{id_col}`").alias("id"))
     if ids.where("id is null").isEmpty() and ids.groupBy("id").count().where("count > 1").isEmpty():
@@ -165,10 +165,10 @@ def dedup(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id", text_col
     nothing stays as it was. Null and empty texts become empty. Rows with repeated ids count as documents in the order of
     their texts, rows with null ids come last. Other columns go along, whatever their names.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    runs = repeated_runs(keyed, length, text_col=text_col)
+    numbered = keyed(docs, id_col, text_col)
+    runs = repeated_runs(numbered, length, text_col=text_col)
     runs = runs.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-    joined = keyed.join(runs, "_key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_runs")
+    joined = numbered.join(runs, "_key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_runs")
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
