@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import containment, jaccard_join, language_id, licence_scan, packing, quality_rules, revisits, substring_dedup, token_counts, toxicity
+from . import containment, jaccard_join, language_id, licence_scan, packing, quality_rules, revisits, sql, substring_dedup, token_counts, toxicity
 from .common import table
 
 TOKEN_LIMIT = 4096
@@ -81,4 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_divergence_rules": sql.quality(),
+    "op3_ngram_jaccard_join": sql.jaccard(4, 85),
+    "op4_licence_sentences": sql.licences(),
+    "op5_fm_substring_dedup": sql.substrings(20),
+    "op6_minhash_containment": sql.containment(containment.SHINGLE, 80),
+    "op7_not_modified_revisits": sql.not_modified(),
+}
