@@ -1,13 +1,14 @@
 """Exact n-gram Jaccard self-join: candidates share prefix tokens under several global token orders.
 
 A document's tokens are its distinct word shingles. Two sets that reach the threshold share a token of their prefixes (the
-first n - ceil(t n) + 1 tokens) under every global order of tokens. The first order (shingles that are common in
-the corpus last, else by hash) makes the candidates; they stay only if their prefixes also meet under
-each of the other orders, and only then the texts are fetched and compared exactly.
-
-Equal sets are one node. Nodes are linked to components: every node that shares a token is compared with the smallest and
-the largest node of that token; what these links leave in different components is then compared pair by pair. Pairs inside a
-component are never listed, so a group of copies costs its size, not its square, and no link between components is lost.
+first n - ceil(t n) + 1 tokens) under every global order of tokens, and l tokens of prefixes longer by l - 1. The first order
+(shingles that are rare in the corpus first) makes the candidates, which share a twentieth of their tokens' number; they stay only if
+their prefixes also meet under each of the other orders, and only then the texts are fetched and compared exactly.
+
+Equal sets are one node. Every node that shares a token is compared with that token's hub, the node that has it and least of its own, and linked
+nodes are put together. So any two candidates have been compared with a common hub: links between what is still apart are found from the
+differences to it, or, for nodes that are far from their hub, from shared tokens. Pairs inside a component are never
+listed, so a group of copies costs its size, not its square, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from .components import components
 #: Counters of the corpus-wide count of shingles; fixed, so what is sent to executors never grows.
 SKETCH_BITS = 22
 BLOCK_BITS = 16
-#: A shingle is common if its counter stands this far above the mean.
-COMMON = 64
 ORDERS = 3
+#: Per cent of similarity to a hub from which on a set is described by its difference to it.
+NEAR = 55
+#: Rounds in which nodes near a hub are linked by way of few others, before pairs are listed.
+ROUNDS = 3
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -53,8 +56,8 @@ def _signature(tokens: np.ndarray) -> int:
         return int(mix(np.array([mix(tokens).sum(dtype=np.uint64) ^ np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
-def common_shingles(docs: DataFrame, k: int, *, text_col: str = "text") -> np.ndarray:
-    """One flag per counter: whether shingles counted there are common. Counts all shingles of all documents."""
+def shingle_counts(docs: DataFrame, k: int, *, text_col: str = "text") -> np.ndarray:
+    """A count per counter of the shingles of all documents. A shingle's counter is never below its number of documents."""
     width, block = 1 << SKETCH_BITS, 1 << BLOCK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,102 +84,202 @@ def common_shingles(docs: DataFrame, k: int, *, text_col: str = "text") -> np.nd
             total += np.frombuffer(zlib.decompress(cells), np.uint64 if len(zlib.decompress(cells)) == 8 * block else np.uint32)
         return pd.DataFrame({"block": rows["block"].iloc[:1], "part": [0], "cells": [zlib.compress(total.tobytes(), 1)]})
 
-    def flags(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(zlib.decompress(add(rows)["cells"].iloc[0]), np.uint64)
-        mean = total.mean()
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "cells": [np.packbits(total > mean + max(COMMON, 8 * mean**0.5)).tobytes()]})
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        cells = np.frombuffer(zlib.decompress(add(rows)["cells"].iloc[0]), np.uint64)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "cells": [zlib.compress(cells.astype(np.uint32).tobytes(), 1)]})
 
     schema = "block int, part int, cells binary"
     parts = only(docs, text_col).mapInArrow(count, schema).groupBy("block", "part").applyInPandas(add, schema)
-    found = np.zeros(width, bool)
-    for row in parts.groupBy("block").applyInPandas(flags, "block int, cells binary").collect():  # width / 8 bytes in all
-        found[row.block * block : (row.block + 1) * block] = np.unpackbits(np.frombuffer(row.cells, np.uint8)).astype(bool)
+    found = np.zeros(width, np.uint32)
+    for row in parts.groupBy("block").applyInPandas(total, "block int, cells binary").collect():  # 4 * width bytes in all
+        found[row.block * block : (row.block + 1) * block] = np.frombuffer(zlib.decompress(row.cells), np.uint32)
     return found
 
 
-def prefixes(tokens: np.ndarray, percent: int, common: np.ndarray) -> list[np.ndarray]:
-    """The set's prefix under each order, as token hashes; the later orders' cut to 32 bits."""
+def shared_tokens(n: F.Column) -> F.Column:
+    """How many tokens the prefixes of two linked sets share at least: a twentieth of the smaller set, and one."""
+    return F.floor(n / 20) + 1
+
+
+def prefixes(tokens: np.ndarray, percent: int, counts: np.ndarray) -> list[np.ndarray]:
+    """The set's prefix under each order, as token hashes; the later orders' cut to 32 bits.
+
+    The first order has rare shingles first; its prefix is longer, so that linked sets share shared_tokens of it. The others are by hash.
+    """
     n = len(tokens)
     size = n - -(-percent * n // 100) + 1 if n else 0
-    last = common[(tokens & np.uint64(len(common) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+    at = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
     out = []
     for order in range(ORDERS):
-        rank = (mix(tokens + np.uint64(order * 0x51ED27)) >> np.uint64(1)) | last
-        first = tokens[np.argpartition(rank, size - 1)[:size]] if 0 < size < n else tokens[:size]
-        out.append(first.view(np.int64) if not order else np.sort(first.astype(np.uint32)).view(np.int32))
+        rank = mix(tokens + np.uint64(order * 0x51ED27))
+        if order:
+            first = tokens[np.argpartition(rank, size - 1)[:size]] if 0 < size < n else tokens[:size]
+            out.append(np.sort(first.astype(np.uint32)).view(np.int32))
+        else:
+            longer = min(n, size + n // 20)
+            rank = (np.minimum(at, np.uint64((1 << 31) - 1)) << np.uint64(32)) | (rank >> np.uint64(32))
+            first = tokens[np.argpartition(rank, longer - 1)[:longer]] if 0 < longer < n else tokens[:longer]
+            out.append(first.view(np.int64))
     return out
 
 
-def described(docs: DataFrame, k: int, percent: int, common: np.ndarray, *, id_col: str, text_col: str) -> DataFrame:
-    """id, node (the set's signature), n (its size), p0 .. (its prefixes)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-    names = ["id", "node", "n"] + [f"p{i}" for i in range(ORDERS)]
+def centrality(tokens: np.ndarray, node: int, counts: np.ndarray) -> int:
+    """A number that is smaller the more common a set's tokens are: of near copies, the one with least of its own is smallest."""
+    at = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)]
+    rare = 1 - float(np.log2(np.maximum(at, 1)).mean()) / 32 if len(tokens) else 1.0
+    return int(rare * (1 << 20)) << 42 | node & ((1 << 42) - 1)
+
+
+def described(docs: DataFrame, k: int, percent: int, counts: np.ndarray, *, id_col: str, text_col: str) -> DataFrame:
+    """id, node (the set's signature), n (its size), outer (its centrality), p0 .. (its prefixes)."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    names = ["id", "node", "n", "outer"] + [f"p{i}" for i in range(ORDERS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                node, n, p = [], [], [[] for _ in range(ORDERS)]
+                node, n, outer, p = [], [], [], [[] for _ in range(ORDERS)]
                 for tokens in shingle_sets(batch.column(1), k):
                     node.append(_signature(tokens))
                     n.append(len(tokens))
+                    outer.append(centrality(tokens, node[-1], shared.value))
                     for out, prefix in zip(p, prefixes(tokens, percent, shared.value)):
                         out.append(prefix)
                 lists = [pa.array(v, pa.list_(pa.int32() if i else pa.int64())) for i, v in enumerate(p)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), *lists], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(outer, pa.int64()), *lists], names=names)
 
-    return only(docs, id_col, text_col).mapInArrow(run, "id long, node long, n long, p0 array<long>" + "".join(f", p{i} array<int>" for i in range(1, ORDERS)))
+    return only(docs, id_col, text_col).mapInArrow(run, "id long, node long, n long, outer long, p0 array<long>" + "".join(f", p{i} array<int>" for i in range(1, ORDERS)))
 
 
 def _fits(percent: int) -> F.Column:
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes can reach the threshold and whose prefixes meet under every later order."""
+def with_orders(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with id and n of each and meet: their sizes can reach the threshold and their prefixes meet under every later order."""
     rest = [f"p{i}" for i in range(1, ORDERS)]
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("id").alias(f"id_{s}"), *[F.col(p).alias(f"{p}_{s}") for p in rest])
-    met = pairs.join(side("b"), "b").join(side("a"), "a").where(_fits(percent))
+    met = pairs.join(side("b"), "b").join(side("a"), "a")
+    meet = _fits(percent)
     for p in rest:
-        met = met.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
-    return met.select("a", "b", "id_a", "id_b")
+        meet = meet & F.arrays_overlap(f"{p}_a", f"{p}_b")
+    return met.select("a", "b", "id_a", "id_b", "n_a", "n_b", meet.alias("meet"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, *, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, compared exactly on the texts of id_a and id_b."""
+def compared(pairs: DataFrame, docs: DataFrame, k: int, counts: np.ndarray, *, id_col: str, text_col: str) -> DataFrame:
+    """The pairs with shared, the size of the intersection of the texts of id_a and id_b, and where they are NEAR differ: the
+    tokens that one of the two has, rare ones first."""
     texts = only(docs, id_col, text_col).toDF("id", "text")
     ids = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
     texts = written(texts.join(ids, "id"), "texts")
+    broadcast = docs.sparkSession.sparkContext.broadcast(counts)
+    names = ["a", "b", "n_a", "n_b", "meet", "shared", "differ"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
+        counts = broadcast.value
 
         def sets(nodes: pa.Array, column: pa.Array) -> list[np.ndarray]:
             nodes = nodes.to_pylist()
-            new = {node: i for i, node in enumerate(nodes) if node not in known}
-            if sum(map(len, known.values())) > 1 << 23:
+            if sum(map(len, known.values())) > 1 << 22:
                 known.clear()
-                new = {node: i for i, node in enumerate(nodes)}
+            new = {node: i for i, node in enumerate(nodes) if node not in known}
             for node, tokens in zip(new, shingle_sets(column.take(pa.array(list(new.values()), pa.int64())), k)):
-                known[node] = tokens
+                # an id that repeats brings texts of other nodes; the signature tells them
+                known[node] = tokens if _signature(tokens) == node else np.zeros(0, np.uint64)
             return [known[node] for node in nodes]
 
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                a, b = batch.column(0), batch.column(1)
-                left = sets(a, batch.column(2))
-                right = sets(b, batch.column(3))
-                keep = []
-                for x, y, p, q in zip(left, right, a.to_pylist(), b.to_pylist()):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    # an id that repeats brings texts of other nodes; the signature tells them
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both) and _signature(x) == p and _signature(y) == q)
-                yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
+                keep, shared, differ = [], [], []
+                for x, y in zip(sets(batch.column(0), batch.column(5)), sets(batch.column(1), batch.column(6))):
+                    keep.append(len(x) > 0 and len(y) > 0)
+                    tokens, times = np.unique(np.concatenate([x, y]), return_counts=True)
+                    shared.append(len(x) + len(y) - len(tokens))
+                    odd = tokens[times == 1]
+                    if 100 * shared[-1] >= NEAR * len(tokens):
+                        order = np.lexsort((odd, counts[(odd & np.uint64(len(counts) - 1)).astype(np.int64)]))
+                        differ.append(odd[order].view(np.int64))
+                    else:
+                        differ.append(None)
+                columns = [batch.column(i) for i in range(5)] + [pa.array(shared, pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in columns], names=names)
 
     side = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
     full = pairs.join(side("b"), "id_b").join(side("a"), "id_a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "n_a", "n_b", "meet", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, meet boolean, shared long, differ array<long>").dropDuplicates(["a", "b"])
+
+
+def _linked(percent: int) -> F.Column:
+    return 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
+
+
+def _differ_linked(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among pairs (hub, a, b) of nodes near a hub, exactly, from their differences to it."""
+    side = lambda s: near.select("hub", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("differ").alias(f"d_{s}"))
+    full = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
+    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    return full.withColumn("shared", F.floor((F.col("n_a") + F.col("n_b") - apart) / 2)).where(_linked(percent)).select("a", "b").distinct()
+
+
+def around_hubs(stars: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links that, with the given ones, put together all nodes near a common hub that are reachable over links; and the parts (node, component).
+
+    The sets of x and y differ in the tokens in which their differences D to the hub differ, at most m = (1 - t) / (1 + t) (|x| + |y|) if they are
+    linked; so |Dx n Dy| >= (|Dx| + |Dy| - m) / 2. One of the two, x, isn't linked to the hub, so |Dx| is above (1 - t) / (1 + t) (|x| + |hub|), and
+    more than (1 - c) / 2 of Dy with c = (1 - t) / (1 + t) is shared. So y offers that prefix of Dy, rare tokens first, x all of Dx,
+    and the place of a shared token in both bounds what can follow. Copies that were edited apart share few of their differences, so a
+    group of copies makes few candidates, not the square of its size.
+
+    First, in rounds, nodes are compared with the node nearest to the hub of those that share a token of their differences; then
+    what is in different parts still, pair by pair.
+    """
+    c = (100 - percent) / (100 + percent)
+    near = stars.where("differ IS NOT NULL").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_b").alias("n"), "differ", F.size("differ").alias("d"), _linked(percent).alias("linked"))
+    near = written(near, "near")
+    half = F.greatest(F.ceil(F.col("d") - F.floor(F.col("d") * ((1 - c) / 2) - 1e-9)).cast("int"), F.lit(1))
+    offered = near.select("hub", "node", "n", "d", "linked", half.alias("half"), F.posexplode("differ").alias("i", "token")).where("NOT linked OR i < half")
+    offered = written(offered.withColumn("y", F.col("i") < F.col("half")), "offered")
+    parts = components(links)
+    placed = lambda: offered.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    for _ in range(ROUNDS):
+        centre = placed().groupBy("hub", "token").agg(F.min(F.struct("d", "node", "part")).alias("c"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+        pairs = placed().join(centre.select("hub", "token", "c"), ["hub", "token"]).where(F.col("part") != F.col("c.part")).select("hub", F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+        found = written(_differ_linked(pairs, near, percent), "links")
+        if found.isEmpty():
+            break
+        links = written(links.unionByName(found), "links")
+        parts = components(links)
+
+    mixed = placed().groupBy("hub", "token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("hub", "token")
+    rest = written(placed().join(mixed, ["hub", "token"]), "rest")
+    x, y = rest.where("NOT linked").alias("x"), rest.where("y").alias("y")
+    need = (F.col("x.d") + F.col("y.d") - c * (F.col("x.n") + F.col("y.n"))) / 2 - 1e-9
+    can = F.least(F.col("x.d") - F.col("x.i"), F.col("y.d") - F.col("y.i"))
+    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & fits & (can >= need))
+    pairs = met.select(F.col("x.hub").alias("hub"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return written(links.unionByName(_differ_linked(pairs, near, percent)), "links"), parts
+
+
+def far_from_hubs(postings: DataFrame, stars: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts that share enough tokens, where one is not near the tokens' hub.
+
+    As 1 - J is a metric, a node that lies nearer to the hub than NEAR less what linked nodes may be apart links with no such one.
+    """
+    alike = stars.select(F.col("a").alias("low"), F.col("b").alias("node"), (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("j"))
+    least = NEAR / 100 + (1 - percent / 100)
+    placed = postings.where("node <> low").join(alike, ["low", "node"], "left").withColumn("j", F.coalesce("j", F.lit(0.0)))
+    mixed = placed.where(F.col("j") < NEAR / 100).select("token").distinct()
+    placed = placed.where(F.col("j") <= least + 1e-9).join(mixed, "token").join(parts, "node", "left").select("token", "node", "n", "j", F.coalesce("component", "node").alias("part"))
+    placed = written(placed, "placed")
+    side = lambda s: placed.select("token", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("part").alias(f"part_{s}"), F.col("j").alias(f"j_{s}"))
+    far = F.least("j_a", "j_b") < NEAR / 100
+    pairs = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _fits(percent) & far)
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("n_a", "n_b")).alias("n"))
+    return pairs.where(F.col("met") >= shared_tokens(F.col("n"))).select("a", "b")
 
 
 def similar(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,28 +289,21 @@ def similar(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "do
     repeated ids stay apart unless their texts are linked. Rows with a null id get the smallest id of
     their component, null if it has none.
     """
-    common = common_shingles(docs, k, text_col=text_col)
-    all_rows = written(described(docs, k, percent, common, id_col=id_col, text_col=text_col), "shingled")
+    counts = shingle_counts(docs, k, text_col=text_col)
+    all_rows = written(described(docs, k, percent, counts, id_col=id_col, text_col=text_col), "shingled")
     nodes = written(all_rows.where("n > 0").dropDuplicates(["node"]), "nodes")
 
-    postings = nodes.select("node", "n", F.explode("p0").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    postings = written(postings.join(shared, "token"), "postings")
-    check = lambda pairs: verified(written(filtered(pairs, nodes, percent), "candidates"), docs, k, percent, id_col=id_col, text_col=text_col)
-
-    stars = postings.select(F.col("node").alias("b"), F.col("low").alias("a")).union(postings.select(F.col("node").alias("b"), F.col("high").alias("a")))
-    stars = written(stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
-    links = written(check(stars), "links")
-    parts = components(links)
-
-    # what shares a token and is in different components still, and has not been compared
-    placed = postings.join(parts, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part"))
-    mixed = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-    placed = written(placed.join(mixed, "token"), "placed")
-    side = lambda s: placed.select("token", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("part").alias(f"part_{s}"))
-    rest = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _fits(percent)).select("a", "b").distinct()
-    more = written(check(rest.join(stars, ["a", "b"], "left_anti")), "links")
-    parts = components(links.unionByName(more))
+    postings = nodes.select("node", "n", "outer", F.explode("p0").alias("token"))
+    shared = postings.groupBy("token").agg(F.min_by("node", "outer").alias("low"), F.count("*").alias("nodes")).where("nodes > 1").select("token", "low")
+    postings = written(postings.drop("outer").join(shared, "token"), "postings")
+    compare = lambda pairs: compared(written(pairs, "candidates"), docs, k, counts, id_col=id_col, text_col=text_col)
+
+    stars = postings.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    stars = written(compare(with_orders(stars, nodes, percent)), "stars")
+    links = stars.where(F.col("meet") & _linked(percent)).select("a", "b")
+    links, parts = around_hubs(stars, links, percent)
+    far = written(compare(with_orders(far_from_hubs(postings, stars, parts, percent), nodes, percent).where("meet")), "far").where(_linked(percent)).select("a", "b")
+    parts = components(links.unionByName(far))
 
     members = all_rows.select("id", "n", "node").join(parts, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("part"))
     least = members.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
