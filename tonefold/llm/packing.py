@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import only, written
 
 #: Words remembered by one Python worker; forgotten all at once beyond that. Bounds memory, not results.
-MEMORY = 600_000
+MEMORY = 1_500_000
 #: Remainders in a group, about. More remainders make more groups.
 GROUP = 20_000
 #: White space that str.split() and the tokenizer might not see alike; texts with it are cut at plain white space alone.
