@@ -3,7 +3,7 @@
 A document's tokens are its distinct word shingles. Two sets that reach the threshold share a token of their prefixes (the
 first n - ceil(t n) + 1 tokens) under every global order of tokens, and l tokens of prefixes longer by l - 1. The first order
 (shingles that are rare in the corpus first) makes the candidates, which share a twentieth of their tokens' number; they stay only if
-their prefixes also meet under each of the other orders, and only then the texts are fetched and compared exactly.
+their prefixes also meet under each of the other orders, and their sets are then compared exactly.
 
 Equal sets are one node. Every node that shares a token is compared with that token's hub, the node that has it and least of its own, and linked
 nodes are put together. So any two candidates have been compared with a common hub: links between what is still apart are found from the
@@ -32,6 +32,8 @@ ORDERS = 3
 NEAR = 55
 #: Rounds in which nodes near a hub are linked by way of few others, before pairs are listed.
 ROUNDS = 3
+#: Rows of ids that may be broadcast; more are joined by shuffling.
+SMALL = 200_000
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -48,12 +50,18 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _signature(tokens: np.ndarray) -> int:
-    """A number for a set; equal sets have equal ones. Different ones meet with odds of sets^2 / 2^65."""
+def node_of(tokens: np.ndarray, counts: np.ndarray) -> int:
+    """A number for a set: equal sets have equal ones. Different ones meet with odds of about sets^2 / 2^60.
+
+    The number is smaller the more common the set's tokens are in the corpus, so that of near copies the one with least of its own is first.
+    """
     if not len(tokens):
-        return 0
+        return -1
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(tokens).sum(dtype=np.uint64) ^ np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+        signature = mix(np.array([mix(tokens).sum(dtype=np.uint64) ^ np.uint64(len(tokens))], np.uint64))[0]
+    at = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)]
+    rare = 1 - float(np.log2(np.maximum(at, 1)).mean()) / 32
+    return int(rare * 2047) << 52 | int(signature) >> 12
 
 
 def shingle_counts(docs: DataFrame, k: int, *, text_col: str = "text") -> np.ndarray:
@@ -101,115 +109,94 @@ def shared_tokens(n: F.Column) -> F.Column:
     return F.floor(n / 20) + 1
 
 
-def prefixes(tokens: np.ndarray, percent: int, counts: np.ndarray) -> list[np.ndarray]:
-    """The set's prefix under each order, as token hashes; the later orders' cut to 32 bits.
+def rare_prefix(tokens: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """The set's prefix in the order that has rare shingles first, long enough for linked sets to share shared_tokens of it."""
+    n = len(tokens)
+    size = min(n, n - -(-percent * n // 100) + 1 + n // 20) if n else 0
+    at = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
+    rank = (np.minimum(at, np.uint64((1 << 31) - 1)) << np.uint64(32)) | (mix(tokens) >> np.uint64(32))
+    return tokens[np.argpartition(rank, size - 1)[:size]] if 0 < size < n else tokens[:size]
 
-    The first order has rare shingles first; its prefix is longer, so that linked sets share shared_tokens of it. The others are by hash.
-    """
+
+def hashed_prefix(tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
+    """The set's prefix in an order by hash."""
     n = len(tokens)
     size = n - -(-percent * n // 100) + 1 if n else 0
-    at = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
-    out = []
-    for order in range(ORDERS):
-        rank = mix(tokens + np.uint64(order * 0x51ED27))
-        if order:
-            first = tokens[np.argpartition(rank, size - 1)[:size]] if 0 < size < n else tokens[:size]
-            out.append(np.sort(first.astype(np.uint32)).view(np.int32))
-        else:
-            longer = min(n, size + n // 20)
-            rank = (np.minimum(at, np.uint64((1 << 31) - 1)) << np.uint64(32)) | (rank >> np.uint64(32))
-            first = tokens[np.argpartition(rank, longer - 1)[:longer]] if 0 < longer < n else tokens[:longer]
-            out.append(first.view(np.int64))
-    return out
-
-
-def centrality(tokens: np.ndarray, node: int, counts: np.ndarray) -> int:
-    """A number that is smaller the more common a set's tokens are: of near copies, the one with least of its own is smallest."""
-    at = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)]
-    rare = 1 - float(np.log2(np.maximum(at, 1)).mean()) / 32 if len(tokens) else 1.0
-    return int(rare * (1 << 20)) << 42 | node & ((1 << 42) - 1)
+    return tokens[np.argpartition(mix(tokens + np.uint64(order * 0x51ED27)), size - 1)[:size]] if 0 < size < n else tokens[:size]
 
 
 def described(docs: DataFrame, k: int, percent: int, counts: np.ndarray, *, id_col: str, text_col: str) -> DataFrame:
-    """id, node (the set's signature), n (its size), outer (its centrality), p0 .. (its prefixes)."""
+    """id, node, n (the size of the set), prefix (rare tokens first)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    names = ["id", "node", "n", "outer"] + [f"p{i}" for i in range(ORDERS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                node, n, outer, p = [], [], [], [[] for _ in range(ORDERS)]
+                node, n, prefix = [], [], []
                 for tokens in shingle_sets(batch.column(1), k):
-                    node.append(_signature(tokens))
+                    node.append(node_of(tokens, shared.value))
                     n.append(len(tokens))
-                    outer.append(centrality(tokens, node[-1], shared.value))
-                    for out, prefix in zip(p, prefixes(tokens, percent, shared.value)):
-                        out.append(prefix)
-                lists = [pa.array(v, pa.list_(pa.int32() if i else pa.int64())) for i, v in enumerate(p)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(outer, pa.int64()), *lists], names=names)
+                    prefix.append(rare_prefix(tokens, percent, shared.value).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "node", "n", "prefix"])
 
-    return only(docs, id_col, text_col).mapInArrow(run, "id long, node long, n long, outer long, p0 array<long>" + "".join(f", p{i} array<int>" for i in range(1, ORDERS)))
+    return only(docs, id_col, text_col).mapInArrow(run, "id long, node long, n long, prefix array<long>")
 
 
 def _fits(percent: int) -> F.Column:
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def with_orders(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with id and n of each and meet: their sizes can reach the threshold and their prefixes meet under every later order."""
-    rest = [f"p{i}" for i in range(1, ORDERS)]
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("id").alias(f"id_{s}"), *[F.col(p).alias(f"{p}_{s}") for p in rest])
-    met = pairs.join(side("b"), "b").join(side("a"), "a")
-    meet = _fits(percent)
-    for p in rest:
-        meet = meet & F.arrays_overlap(f"{p}_a", f"{p}_b")
-    return met.select("a", "b", "id_a", "id_b", "n_a", "n_b", meet.alias("meet"))
-
-
-def compared(pairs: DataFrame, docs: DataFrame, k: int, counts: np.ndarray, *, id_col: str, text_col: str) -> DataFrame:
-    """The pairs with shared, the size of the intersection of the texts of id_a and id_b, and where they are NEAR differ: the
-    tokens that one of the two has, rare ones first."""
+def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, counts: np.ndarray, *, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) with n_a, n_b, meet (their prefixes meet under all other orders too), shared (the size of the intersection, for
+    pairs that may be linked or are NEAR) and for pairs that are NEAR differ: the tokens that one of the two has, rare ones first."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("id").alias(f"id_{s}"))
+    pairs = written(pairs.join(side("b"), "b").join(side("a"), "a"), "candidates")
     texts = only(docs, id_col, text_col).toDF("id", "text")
-    ids = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
-    texts = written(texts.join(ids, "id"), "texts")
+    ids = written(pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct(), "ids")
+    texts = written(texts.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "id"), "texts")
     broadcast = docs.sparkSession.sparkContext.broadcast(counts)
     names = ["a", "b", "n_a", "n_b", "meet", "shared", "differ"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, tuple[np.ndarray, ...]] = {}
         counts = broadcast.value
 
-        def sets(nodes: pa.Array, column: pa.Array) -> list[np.ndarray]:
+        def sets(nodes: pa.Array, column: pa.Array) -> list[tuple[np.ndarray, ...]]:
             nodes = nodes.to_pylist()
-            if sum(map(len, known.values())) > 1 << 22:
+            if len(known) > 5000 or sum(len(x[0]) for x in known.values()) > 1 << 22:
                 known.clear()
             new = {node: i for i, node in enumerate(nodes) if node not in known}
             for node, tokens in zip(new, shingle_sets(column.take(pa.array(list(new.values()), pa.int64())), k)):
-                # an id that repeats brings texts of other nodes; the signature tells them
-                known[node] = tokens if _signature(tokens) == node else np.zeros(0, np.uint64)
+                # an id that repeats brings texts of other nodes; the number tells them
+                tokens = tokens if node_of(tokens, counts) == node else np.zeros(0, np.uint64)
+                known[node] = tokens, *(hashed_prefix(tokens, percent, order) for order in range(1, ORDERS))
             return [known[node] for node in nodes]
 
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                keep, shared, differ = [], [], []
-                for x, y in zip(sets(batch.column(0), batch.column(5)), sets(batch.column(1), batch.column(6))):
+                keep, meet, shared, differ = [], [], [], []
+                for (x, *px), (y, *py) in zip(sets(batch.column(0), batch.column(4)), sets(batch.column(1), batch.column(5))):
                     keep.append(len(x) > 0 and len(y) > 0)
-                    tokens, times = np.unique(np.concatenate([x, y]), return_counts=True)
-                    shared.append(len(x) + len(y) - len(tokens))
-                    odd = tokens[times == 1]
-                    if 100 * shared[-1] >= NEAR * len(tokens):
-                        order = np.lexsort((odd, counts[(odd & np.uint64(len(counts) - 1)).astype(np.int64)]))
-                        differ.append(odd[order].view(np.int64))
-                    else:
-                        differ.append(None)
-                columns = [batch.column(i) for i in range(5)] + [pa.array(shared, pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
+                    meet.append(100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and all(len(np.intersect1d(p, q, True)) for p, q in zip(px, py)))
+                    tokens = np.concatenate([x, y])
+                    tokens.sort()
+                    twice = tokens[1:] == tokens[:-1]
+                    shared.append(int(twice.sum()))
+                    differ.append(None)
+                    if 100 * shared[-1] >= NEAR * (len(tokens) - shared[-1]):
+                        odd = np.ones(len(tokens), bool)
+                        odd[1:] &= ~twice
+                        odd[:-1] &= ~twice
+                        odd = tokens[odd]
+                        differ[-1] = odd[np.lexsort((odd, counts[(odd & np.uint64(len(counts) - 1)).astype(np.int64)]))].view(np.int64)
+                columns = [batch.column(i) for i in range(4)] + [pa.array(meet, pa.bool_()), pa.array(shared, pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in columns], names=names)
 
     side = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
     full = pairs.join(side("b"), "id_b").join(side("a"), "id_a")
-    return full.select("a", "b", "n_a", "n_b", "meet", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, meet boolean, shared long, differ array<long>").dropDuplicates(["a", "b"])
+    return full.select("a", "b", "n_a", "n_b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, meet boolean, shared long, differ array<long>").dropDuplicates(["a", "b"])
 
 
 def _linked(percent: int) -> F.Column:
@@ -293,16 +280,16 @@ def similar(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "do
     all_rows = written(described(docs, k, percent, counts, id_col=id_col, text_col=text_col), "shingled")
     nodes = written(all_rows.where("n > 0").dropDuplicates(["node"]), "nodes")
 
-    postings = nodes.select("node", "n", "outer", F.explode("p0").alias("token"))
-    shared = postings.groupBy("token").agg(F.min_by("node", "outer").alias("low"), F.count("*").alias("nodes")).where("nodes > 1").select("token", "low")
-    postings = written(postings.drop("outer").join(shared, "token"), "postings")
-    compare = lambda pairs: compared(written(pairs, "candidates"), docs, k, counts, id_col=id_col, text_col=text_col)
+    postings = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    shared = postings.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("nodes")).where("nodes > 1").select("token", "low")
+    postings = written(postings.join(shared, "token"), "postings")
+    compare = lambda pairs: compared(pairs, nodes, docs, k, percent, counts, id_col=id_col, text_col=text_col)
 
     stars = postings.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(compare(with_orders(stars, nodes, percent)), "stars")
+    stars = written(compare(stars), "stars")
     links = stars.where(F.col("meet") & _linked(percent)).select("a", "b")
     links, parts = around_hubs(stars, links, percent)
-    far = written(compare(with_orders(far_from_hubs(postings, stars, parts, percent), nodes, percent).where("meet")), "far").where(_linked(percent)).select("a", "b")
+    far = written(compare(far_from_hubs(postings, stars, parts, percent)), "far").where(F.col("meet") & _linked(percent)).select("a", "b")
     parts = components(links.unionByName(far))
 
     members = all_rows.select("id", "n", "node").join(parts, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("part"))
