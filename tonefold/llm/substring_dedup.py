@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from .common import Words, mix, powers, rolling, texts_of, written
 from .fm_index import repeats
@@ -197,6 +198,6 @@ def dedup(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id", text_col
                 columns[place] = pa.array(kept, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(words_of, pa.int64()), pa.array(removed, pa.int64())], names=names)
 
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long")
+    schema = StructType(list(docs.schema.fields)).add("n_words", "long").add("n_removed", "long")
     names = schema.names
     return joined.mapInArrow(run, schema)
