@@ -293,8 +293,7 @@ def register_lines(spark, sf_dir):
 
 
 #: Themes and queries are the key sequences of takes; three steps make a gram.
-_STEP = "GREATEST(-4, LEAST(4, LEAD(note) OVER w - note))"
-_GRAMS = f"""WITH {MESSAGES_SQL}, st AS (SELECT take, note, ROW_NUMBER() OVER w - 1 AS pos, GREATEST(-4, LEAST(4, (LEAD(note) OVER w) - note)) AS s FROM m WINDOW w AS (PARTITION BY take ORDER BY seq)),
+_GRAMS = f"""WITH {MESSAGES_SQL}, st AS (SELECT take, note, ROW_NUMBER() OVER w - 1 AS pos, CASE WHEN LEAD(note) OVER w IS NOT NULL THEN GREATEST(-4, LEAST(4, (LEAD(note) OVER w) - note)) END AS s FROM m WINDOW w AS (PARTITION BY take ORDER BY seq)),
 gr AS (SELECT * FROM (SELECT take AS theme, pos, ((CAST(0 AS BIGINT) * 9 + s + 4) * 9 + (LEAD(s, 1) OVER v) + 4) * 9 + (LEAD(s, 2) OVER v) + 4 AS gram FROM st WINDOW v AS (PARTITION BY take ORDER BY pos)) WHERE gram IS NOT NULL)"""
 _INDEX = f"""{_GRAMS}, us AS (SELECT gram FROM gr GROUP BY gram HAVING COUNT(*) <= 4000 AND COUNT(DISTINCT theme) <= GREATEST(8, 0.1 * (SELECT COUNT(DISTINCT theme) FROM gr))), ix AS (SELECT gr.* FROM gr JOIN us ON gr.gram = us.gram)"""
 _VOTES = f"""{_INDEX}, qy AS (SELECT * FROM gr WHERE theme % 10 = 0),

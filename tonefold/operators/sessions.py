@@ -39,7 +39,7 @@ def clusters(notes: DataFrame, keys: list[str], width: int) -> DataFrame:
 def steps(df: DataFrame, key: list[str], order: list[str], pitch: str, clamp: int) -> DataFrame:
     """df with step: difference to the next pitch, held within +-clamp; null for a key's last row."""
     after = F.lead(pitch).over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("step", F.greatest(F.lit(-clamp), F.least(F.lit(clamp), after - F.col(pitch))))
+    return df.withColumn("step", F.when(after.isNotNull(), F.greatest(F.lit(-clamp), F.least(F.lit(clamp), after - F.col(pitch)))))  # least() passes over nulls
 
 
 def ngrams(df: DataFrame, key: list[str], order: list[str], pitch: str, *, n: int, clamp: int) -> DataFrame:
