@@ -269,6 +269,12 @@ def far_from_hubs(postings: DataFrame, stars: DataFrame, parts: DataFrame, perce
     return pairs.where(F.col("met") >= shared_tokens(F.col("n"))).select("a", "b")
 
 
+def _met(postings: DataFrame) -> DataFrame:
+    """Postings (token, node, n) of tokens that several nodes have, with low, the token's hub."""
+    shared = postings.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("nodes")).where("nodes > 1").select("token", "low")
+    return postings.join(shared, "token")
+
+
 def similar(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id: the smallest id reachable over pairs of which 100 |A n B| >= percent |A u B|.
 
@@ -280,12 +286,16 @@ def similar(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "do
     all_rows = written(described(docs, k, percent, counts, id_col=id_col, text_col=text_col), "shingled")
     nodes = written(all_rows.where("n > 0").dropDuplicates(["node"]), "nodes")
 
-    postings = nodes.select("node", "n", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("nodes")).where("nodes > 1").select("token", "low")
-    postings = written(postings.join(shared, "token"), "postings")
+    postings = written(_met(nodes.select("node", "n", F.explode("prefix").alias("token"))), "postings")
+    # a set that is linked with any shares so many tokens: the linked one has percent of its size at least
+    enough = postings.groupBy("node").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= shared_tokens(F.col("n") * percent / 100)).select("node")
+    postings = written(_met(postings.drop("low").join(enough, "node")), "postings")
     compare = lambda pairs: compared(pairs, nodes, docs, k, percent, counts, id_col=id_col, text_col=text_col)
 
-    stars = postings.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    # sets of too different sizes are far from each other without being compared
+    stars = postings.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"), "n").distinct()
+    hubs = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
+    stars = stars.join(hubs, "a").where(100 * F.least("n", "n_a") >= NEAR * F.greatest("n", "n_a")).select("a", "b")
     stars = written(compare(stars), "stars")
     links = stars.where(F.col("meet") & _linked(percent)).select("a", "b")
     links, parts = around_hubs(stars, links, percent)
