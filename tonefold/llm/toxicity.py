@@ -23,6 +23,8 @@ from .language_id import held_out
 #: Bounds of what is fitted: labelled rows, entries of the lexicon.
 SAMPLE, LEXICON = 12_000, 400
 THRESHOLD = 0.3
+#: Letters of a word's beginnings that the lexicon may hold, longest first.
+BEGINNINGS = (7, 6, 5, 4)
 NEAR = 5
 #: Second-person words of the languages served.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos ti tuyo usted ustedes vosotros vuestro".split())
@@ -30,14 +32,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^\W\d_][0-9@$*#%&]+[^\W\d_]")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
 _CAPS = re.compile(r"\b[A-Z]{3,}\b")
-FEATURES = ("log_words", "lexicon_density", "lexicon_weight", "lexicon_top", "lexicon_distinct", "beginning_density", "second_person_near", "second_person_density", "capitals", "shouted_words", "exclaims", "questions", "punctuation", "obfuscated", "stretched", "digits")
+FEATURES = ("log_words", "lexicon_density", "lexicon_weight", "lexicon_top", "lexicon_distinct", "lexicon_hits", "beginning_density", "second_person_near", "second_person_density", "capitals", "shouted_words", "exclaims", "questions", "punctuation", "obfuscated", "stretched", "digits")
 
 
 def units(text_col: str) -> F.Column:
-    """Distinct lexicon units of a text: its words, and the first four and five letters of longer ones."""
+    """Distinct lexicon units of a text: its words, and the beginnings of longer ones."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(\p{L}+)"), F.lit(1)))
     cut = lambda n: F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("-"))))
-    return F.concat(words, cut(4), cut(5))
+    return F.concat(words, *[cut(n) for n in BEGINNINGS])
 
 
 def learn_lexicon(sample: DataFrame, *, text_col: str = "text", size: int = LEXICON) -> dict[str, float]:
@@ -46,7 +48,8 @@ def learn_lexicon(sample: DataFrame, *, text_col: str = "text", size: int = LEXI
     toxic, clean = total.t or 0, total.n - (total.t or 0)
     found = sample.select("label", F.explode(units(text_col)).alias("unit")).groupBy("unit").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1))
-    top = found.where(F.col("t") >= 3).withColumn("weight", weight).where("weight > 2").orderBy(F.desc(F.col("weight") * F.log1p("t")), "unit").limit(size)
+    often = max(4, toxic // 150)  # what few toxic texts hold marks them by chance
+    top = found.where(F.col("t") >= often).withColumn("weight", weight).where("weight > 3").orderBy(F.desc(F.col("weight") * F.log1p("t")), "unit").limit(size)
     return {r.unit: r.weight for r in top.select("unit", "weight").collect()}
 
 
@@ -57,11 +60,12 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     for i, w in enumerate(words):
         weight = lexicon.get(w)
         if weight is None and len(w) > 4:
-            unit = w[:5] + "-" if len(w) > 5 and w[:5] + "-" in lexicon else w[:4] + "-"
-            weight = lexicon.get(unit)
-            if weight is not None:
-                beginnings += 1
-                seen.add(unit)
+            for n in BEGINNINGS:
+                weight = lexicon.get(w[:n] + "-") if len(w) > n else None
+                if weight is not None:
+                    beginnings += 1
+                    seen.add(w[:n])
+                    break
         elif weight is not None:
             seen.add(w)
         if weight is not None:
@@ -79,7 +83,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     caps = sum(map(len, _CAPS.findall(text)))
     marks = sum(map(text.count, ".,;:-'\""))
     return [
-        math.log1p(len(words)), len(weights) / n, sum(weights) / n, max(weights, default=0.0), float(len(seen)), beginnings / n, near / n, len(second) / n,
+        math.log1p(len(words)), len(weights) / n, sum(weights) / n, max(weights, default=0.0), float(len(seen)), math.log1p(len(weights)), beginnings / n, near / n, len(second) / n,
         caps / chars, len(_CAPS.findall(text)) / n, text.count("!") / n, text.count("?") / n, marks / n,
         len(_ODD.findall(text)) / n, len(_STRETCH.findall(text)) / n, sum(map(text.count, "0123456789")) / chars,
     ]
