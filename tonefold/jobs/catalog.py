@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import metadata, notes
-from ..operators import alignment, framing, integrity, intervals, matching, pairing, sessions, stats
+from ..operators import alignment, framing, integrity, intervals, matching, melody, pairing, sessions, stats
 from ..sources.streams import MESSAGES_SQL, messages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -422,3 +422,117 @@ def aligned_takes(spark, sf_dir):
 @query()
 def fitted_warps(spark, sf_dir):
     return alignment.warp_quality(alignment.warps(alignment.align(_sides(spark, sf_dir))))
+
+
+@query(f"{_PAIRED} SELECT note, COUNT(*) AS n, CAST(SUM((ns_off - ns_on) // 1000) AS BIGINT) AS micros, ROUND(AVG(velocity_on), 4) AS velocity FROM iv GROUP BY note")
+def keys(spark, sf_dir):
+    paired = pairing.intervals(_messages(spark, sf_dir))
+    return paired.groupBy("note").agg(F.count("*").alias("n"), F.sum(F.floor((F.col("ns_off") - F.col("ns_on")) / 1000)).alias("micros"), F.round(F.avg("velocity_on"), 4).alias("velocity"))
+
+
+@query(f"{_PAIRED} SELECT take, on_seq, off_seq, ns_on, ns_off, velocity_on, closure FROM iv WHERE note = 60")
+def one_key(spark, sf_dir):
+    """All intervals of middle C."""
+    return pairing.intervals(_messages(spark, sf_dir)).where("note = 60").select("take", "on_seq", "off_seq", "ns_on", "ns_off", "velocity_on", "closure")
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT take, note % 12 AS pc, COUNT(*) AS n FROM m WHERE kind = 'note_on' GROUP BY ALL")
+def pitch_classes(spark, sf_dir):
+    return _messages(spark, sf_dir).where("kind = 'note_on'").groupBy("take", F.pmod("note", F.lit(12)).alias("pc")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT take, MAX(c) AS peak FROM (SELECT take, COUNT(*) OVER (PARTITION BY take ORDER BY ns RANGE BETWEEN {HOUR_NS} PRECEDING AND CURRENT ROW) AS c FROM m) GROUP BY take")
+def peak_rate(spark, sf_dir):
+    """Most messages of a take within an hour."""
+    hour = Window.partitionBy("take").orderBy("ns").rangeBetween(-HOUR_NS, 0)
+    return _messages(spark, sf_dir).withColumn("c", F.count("*").over(hour)).groupBy("take").agg(F.max("c").alias("peak"))
+
+
+@query(f"{_LEVELS} SELECT take, ROUND(SUM(level * ((until - t) // 1000)) / SUM((until - t) // 1000), 6) AS mean_level FROM lv WHERE until > t GROUP BY take")
+def mean_polyphony(spark, sf_dir):
+    spent = F.floor((F.col("until") - F.col("t")) / 1000)
+    found = intervals.levels(_weighted(spark, sf_dir), "take").where("until > t")
+    return found.groupBy("take").agg(F.round(F.sum(F.col("level") * spent) / F.sum(spent), 6).alias("mean_level"))
+
+
+@query(f"""{_PAIRED}, q AS (SELECT take, seq, ns FROM m WHERE kind = 'control')
+SELECT q.take, q.seq, x.note, CAST(SUM(weight) AS BIGINT) AS value FROM q JOIN x ON x.take = q.take AND a <= ns AND ns <= b GROUP BY ALL""")
+def values_at(spark, sf_dir):
+    """The value of every key that sounds at each control message: a range join by take and day."""
+    day = 24 * HOUR_NS
+    x = _weighted(spark, sf_dir).withColumn("day", F.explode(F.sequence(F.floor(F.col("a") / day), F.floor(F.col("b") / day))))
+    q = _messages(spark, sf_dir).where("kind = 'control'").select("take", "seq", "ns", F.floor(F.col("ns") / day).alias("day"))
+    return q.join(x, ["take", "day"]).where("a <= ns AND ns <= b").groupBy("take", "seq", x["note"]).agg(F.sum("weight").alias("value"))
+
+
+@query(f"""{_SEGMENTS}, c AS (SELECT take, segment, note % 12 AS pc, SUM(velocity) AS w FROM sg WHERE kind = 'note_on' GROUP BY ALL),
+r AS (SELECT take, segment, root, SUM(CASE WHEN (pc - root + 12) % 12 IN (0, 2, 4, 5, 7, 9, 11) THEN w ELSE 0 END) AS i, SUM(w) AS t FROM c, (SELECT unnest(range(12)) AS root) GROUP BY ALL)
+SELECT take, CAST(segment AS BIGINT) AS segment, CAST(root AS INTEGER) AS root, ROUND(i / t, 6) AS share FROM r QUALIFY ROW_NUMBER() OVER (PARTITION BY take, segment ORDER BY i DESC, root) = 1""")
+def segment_keys(spark, sf_dir):
+    """The major key of each segment."""
+    return melody.diatonic(_segments(spark, sf_dir).where("kind = 'note_on'"), ["take", "segment"], "note", "velocity")
+
+
+@query(f"""{_SEGMENTS}, g AS (SELECT *, ns - LAG(ns) OVER w AS gap, CASE WHEN LEAD(note, 3) OVER w IS NOT NULL THEN ((LEAD(note, 1) OVER w) - note) || ',' || ((LEAD(note, 2) OVER w) - note) || ',' || ((LEAD(note, 3) OVER w) - note) END AS gram
+  FROM sg WINDOW w AS (PARTITION BY take, segment ORDER BY ns, seq))
+SELECT take, CAST(segment AS BIGINT) AS segment, COUNT(*) AS n, ROUND(CASE WHEN MAX(ns) > MIN(ns) THEN COUNT(*) / ((MAX(ns) - MIN(ns)) / {HOUR_NS}) END, 4) AS per_hour, COUNT(*) FILTER (WHERE gap > {HOUR_NS}) AS stops,
+  MIN(note) AS low, MAX(note) AS high, ROUND(AVG(velocity), 4) AS velocity, ROUND(CASE WHEN COUNT(gram) > 0 THEN COUNT(DISTINCT gram) / COUNT(gram) END, 6) AS novelty FROM g GROUP BY take, segment""")
+def segment_textures(spark, sf_dir):
+    return melody.texture(_segments(spark, sf_dir), ["take", "segment"], "ns", "note", "velocity", "seq", stop=HOUR_NS)
+
+
+@query(f"WITH {MESSAGES_SQL}, h AS (SELECT take, ns // {HOUR_NS} AS hour, note, seq FROM m) SELECT take, hour, note, seq FROM h QUALIFY ROW_NUMBER() OVER (PARTITION BY take, hour ORDER BY note DESC, seq) = 1")
+def hourly_skyline(spark, sf_dir):
+    """The highest note of each hour of a take."""
+    rows = _messages(spark, sf_dir).withColumn("hour", F.floor(F.col("ns") / HOUR_NS))
+    return melody.skyline(rows, ["take"], "hour", "note", "seq")
+
+
+@query(f"""WITH {MESSAGES_SQL}, r AS (SELECT take, note, ROW_NUMBER() OVER (PARTITION BY take ORDER BY seq) - 1 AS i FROM m),
+l AS (SELECT take, list(note ORDER BY i) AS x FROM r GROUP BY take), w AS (SELECT take, x, unnest(range(0, len(x) - 7, 4)) AS start FROM l),
+p AS (SELECT take, start, x[start + 1 : start + 8] AS p FROM w), s AS (SELECT *, array_to_string(list_transform(p, lambda v, i: v - p[greatest(i - 1, 1)]), ',') AS steps FROM p WHERE len(list_distinct(p)) >= 3),
+f AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY take, steps ORDER BY start) = 1)
+SELECT take, start, array_to_string(p, ',') AS pitches FROM f QUALIFY ROW_NUMBER() OVER (PARTITION BY take ORDER BY start) <= 12""")
+def take_themes(spark, sf_dir):
+    """Themes of eight notes, every four notes of a take."""
+    return melody.themes(_messages(spark, sf_dir), "take", "seq", "note", size=8, stride=4)
+
+
+@query(f"""{_PAIRED}, w AS (SELECT take, MIN(ns_off) AS t0, MAX(ns_on) AS t1 FROM iv GROUP BY take) SELECT m.take, COUNT(*) AS n FROM m JOIN w ON m.take = w.take WHERE ns > t0 AND ns < t1 GROUP BY m.take""")
+def messages_during(spark, sf_dir):
+    """Messages strictly between a take's first release and its last onset."""
+    rows = _messages(spark, sf_dir)
+    span = pairing.intervals(rows).groupBy("take").agg(F.min("ns_off").alias("t0"), F.max("ns_on").alias("t1"))
+    return rows.join(span, "take").where("ns > t0 AND ns < t1").groupBy("take").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, COUNT(o_orderkey) AS works, ROUND(COALESCE(SUM(o_totalprice), 0), 2) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def works_per_customer(spark, sf_dir):
+    """Counts by correlated subqueries, as one grouped join with zeros."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("works"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    joined = table(spark, sf_dir, "customer").select("c_custkey").join(counts, "c_custkey", "left")
+    return joined.select("c_custkey", F.coalesce("works", F.lit(0)).cast("long").alias("works"), F.round(F.coalesce(F.col("total").cast("double"), F.lit(0.0)), 2).alias("total"))
+
+
+@query("SELECT vec_id, ROUND(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 4) AS l1, ROUND(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS l2, ROUND(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 4) AS linf FROM embeddings")
+def vector_norms(spark, sf_dir):
+    absolute = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total(absolute), 4).alias("l1"), F.round(F.sqrt(total(F.transform(absolute, lambda x: x * x))), 4).alias("l2"), F.round(F.array_max(absolute), 4).alias("linf"))
+
+
+@query("SELECT p_brand AS composer, COUNT(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, composer LIMIT 10")
+def top_brands(spark, sf_dir):
+    """Ten largest groups: the reference's list of composers."""
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("composer")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "composer").limit(10)
+
+
+@query(f"""WITH {MESSAGES_SQL}, e AS (SELECT MAX(ns) AS now FROM m), s AS (SELECT take, COUNT(*) AS n, MAX(ns) AS last_ns, COUNT(*) FILTER (WHERE ns >= now - {24 * HOUR_NS}) AS recent FROM m, e GROUP BY take)
+SELECT take, n, recent, CASE WHEN recent = 0 AND now - last_ns > {72 * HOUR_NS} THEN 'red' WHEN recent = 0 THEN 'amber' ELSE 'green' END AS light FROM s, e""")
+def take_status(spark, sf_dir):
+    """Counts of a take, of its last day before the end of all, and a light."""
+    rows = _messages(spark, sf_dir)
+    now = rows.agg(F.max("ns").alias("now"))
+    found = rows.join(F.broadcast(now)).groupBy("take").agg(F.count("*").alias("n"), F.count_if(F.col("ns") >= F.col("now") - 24 * HOUR_NS).alias("recent"), F.max("ns").alias("last_ns"), F.max("now").alias("now"))
+    light = F.when((F.col("recent") == 0) & (F.col("now") - F.col("last_ns") > 72 * HOUR_NS), "red").when(F.col("recent") == 0, "amber").otherwise("green")
+    return found.select("take", "n", "recent", light.alias("light"))
