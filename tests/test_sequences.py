@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tonefold.functions import metadata, notes
+from tonefold.functions import metadata, notes, scores
 from tonefold.operators import alignment, integrity, matching, sessions, stats
 
 MS = 1_000_000
@@ -81,3 +81,20 @@ def test_expressions(spark):
     row = df.select(notes.note_number(F.col("n")), notes.note_name(notes.note_number(F.col("n"))), metadata.clean(F.col("t")), metadata.opus(F.col("t")), metadata.surname(F.lit("Saint-Saëns, Camille (1835-1921)")), metadata.fraction(F.col("f")), metadata.fraction(F.lit("x")), notes.seconds_of(F.col("m")), notes.clock(F.lit(90.0))).first()
     assert tuple(row) == (66, "F#4", "Op. 10, No. 3", "10", "saintsaens", 0.75, 0.0, 90.0, "01:30")
     assert [r[0] for r in spark.range(1).select(F.explode(F.array(*[notes.message_length(F.lit(x)) for x in (0x90, 0xC0, 0xF1, 0xF2, 0xFE)]))).collect()] == [3, 2, 2, 3, 1]
+
+
+def test_incipits(spark):
+    rows = [("4,C'C''C'''C", ""), ("4'B", "bBEA"), ("4'CxCC/C", ""), ("2'C4D8E", ""), ("2.'C4D", ""), ("=12/4'CD", ""), ("4'C{}()!@#$%~D", ""), ("4'C^E^GD", ""), ("4'gDC+C-E", ""), (None, None)]
+    out = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, c string, s string").select("i", scores.decode_incipit("c", "s").alias("x")).orderBy("i").collect()
+    assert [r.x.pitches for r in out] == [[48, 60, 72, 84], [70], [60, 61, 61, 60], [60, 62, 64], [60, 62], [60, 62], [60, 62], [67, 62], [60, 64], []]
+    assert [r.x.onsets for r in out[3:6]] == [[0.0, 2.0, 3.0], [0.0, 3.0], [0.0, 1.0]] and out[8].x.onsets == [0.0, 3.0]
+
+
+def test_midi_files():
+    track = bytes.fromhex("00 90 3C 64 60 3C 00 00 FF 51 03 0F 42 40 83 60 90 40 50 00 FF 2F 00")
+    data = b"MThd" + bytes([0, 0, 0, 6, 0, 0, 0, 1, 1, 0xE0]) + b"MTrk" + len(track).to_bytes(4, "big") + track
+    got = [(round(x["seconds"], 6), x["data"].hex()) for x in scores.read_midi(data)]
+    assert got == [(0.0, "903c64"), (0.1, "903c00"), (1.1, "904050")]
+    assert scores.read_midi(b"none") == []
+    back = scores.read_midi(scores.write_midi([0, 200, 100_000], [b"\x90\x3c\x64", b"\x80\x3c\x40", b"\xc0\x05"]))
+    assert [(round(x["seconds"] * 960), x["data"]) for x in back] == [(0, b"\x90\x3c\x64"), (200, b"\x80\x3c\x40"), (100_000, b"\xc0\x05")]

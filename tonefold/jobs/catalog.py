@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import metadata, notes
+from ..functions import metadata, notes, scores
 from ..operators import alignment, framing, integrity, intervals, matching, melody, pairing, sessions, stats
 from ..sources.streams import MESSAGES_SQL, messages, table
 
@@ -536,3 +536,23 @@ def take_status(spark, sf_dir):
     found = rows.join(F.broadcast(now)).groupBy("take").agg(F.count("*").alias("n"), F.count_if(F.col("ns") >= F.col("now") - 24 * HOUR_NS).alias("recent"), F.max("ns").alias("last_ns"), F.max("now").alias("now"))
     light = F.when((F.col("recent") == 0) & (F.col("now") - F.col("last_ns") > 72 * HOUR_NS), "red").when(F.col("recent") == 0, "amber").otherwise("green")
     return found.select("take", "n", "recent", light.alias("light"))
+
+
+@query(f"""WITH {MESSAGES_SQL}, z AS (SELECT take, MIN(ns) AS t0 FROM m GROUP BY take)
+SELECT m.take, ROW_NUMBER() OVER (PARTITION BY m.take ORDER BY seq) - 1 AS i, (ns - t0) // 1000000000 AS tick, kind, note, velocity FROM m JOIN z ON m.take = z.take WHERE kind <> 'other'""")
+def midi_round_trip(spark, sf_dir):
+    """Each take written as a MIDI file, a second as a tick, and read again."""
+    rows = _messages(spark, sf_dir)
+    start = rows.groupBy("take").agg(F.min("ns").alias("t0"))
+    rows = rows.where("kind <> 'other'").join(start, "take").select("take", "seq", F.floor((F.col("ns") - F.col("t0")) / 1_000_000_000).alias("tick"), "kind", "note", "velocity")
+
+    def encode(take):
+        take = take.sort_values("seq")
+        status = take["kind"].map({"note_on": 0x90, "note_off": 0x80, "control": 0xB0})
+        data = scores.write_midi(take["tick"].tolist(), [bytes(x) for x in zip(status, take["note"], take["velocity"])])
+        return take[["take"]].iloc[:1].assign(file=[data])
+
+    files = rows.groupBy("take").applyInPandas(encode, "take long, file binary")
+    back = files.select("take", F.posexplode(scores.parse_midi("file")).alias("i", "m"))
+    kind, _, note, velocity = framing.classify(F.col("m.data"))
+    return back.select("take", F.col("i").cast("long").alias("i"), F.round(F.col("m.seconds") * (scores.TICKS * 1e6 / scores.TEMPO)).cast("long").alias("tick"), kind.alias("kind"), note.alias("note"), velocity.alias("velocity"))
