@@ -63,5 +63,8 @@ def test_edges(spark):
     rows = [(5, None), (4, ""), (3, " \t"), (2, "one two"), (1, "ONE two"), (9, "one two three four five"), (7, "one two three four five"), (7, "one two three four five"), (7, "quite another text with many words"), (None, "one two three four five"), (None, "alone here")]
     assert got(spark, rows, 4, 85) == brute(rows, 4, 85)
     assert got(spark, [], 4, 85) == []
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "abc"]
+    rows = [(3, texts[0]), (3, texts[1]), (3, texts[2]), (5, texts[1] + " end"), (6, texts[0] + " end"), (2, texts[2] + " end")]
+    assert got(spark, rows, 4, 85) == brute(rows, 4, 85)
     long = " ".join(f"t{i}" for i in range(60_000))
     assert got(spark, [(1, long), (2, long + " more")], 4, 85) == [(1, 59_997, 1), (2, 59_998, 1)]

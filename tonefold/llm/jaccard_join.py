@@ -160,18 +160,22 @@ def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[np.ndarray, ...]] = {}
+        nothing = (np.zeros(0, np.uint64),) * ORDERS
         counts = broadcast.value
 
         def sets(nodes: pa.Array, column: pa.Array) -> list[tuple[np.ndarray, ...]]:
             nodes = nodes.to_pylist()
             if len(known) > 5000 or sum(len(x[0]) for x in known.values()) > 1 << 22:
                 known.clear()
-            new = {node: i for i, node in enumerate(nodes) if node not in known}
-            for node, tokens in zip(new, shingle_sets(column.take(pa.array(list(new.values()), pa.int64())), k)):
-                # an id that repeats brings texts of other nodes; the number tells them
-                tokens = tokens if node_of(tokens, counts) == node else np.zeros(0, np.uint64)
-                known[node] = tokens, *(hashed_prefix(tokens, percent, order) for order in range(1, ORDERS))
-            return [known[node] for node in nodes]
+            left = [i for i, node in enumerate(nodes) if node not in known]
+            while left:
+                first = {nodes[i]: i for i in reversed(left)}
+                for node, tokens in zip(first, shingle_sets(column.take(pa.array(list(first.values()), pa.int64())), k)):
+                    # an id that repeats brings texts of other nodes; the number tells them
+                    if node_of(tokens, counts) == node:
+                        known[node] = tokens, *(hashed_prefix(tokens, percent, order) for order in range(1, ORDERS))
+                left = [i for i in left if nodes[i] not in known and i != first[nodes[i]]]
+            return [known.get(node, nothing) for node in nodes]
 
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
