@@ -28,6 +28,8 @@ from .fm_index import repeats
 GRAM = 8
 #: Windows in a segment, at most; segments of one 8-gram that may meet in a shard; segments of a shard, about.
 LONGEST, HOT, SHARD = 1024, 1000, 3000
+#: Rows of a side that may be broadcast (of two numbers each); a larger side is joined by shuffling.
+SMALL = 200_000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -147,7 +149,9 @@ def repeated_runs(docs: DataFrame, length: int, *, text_col: str) -> DataFrame:
 
     hot = rows.where(F.col("count") > HOT)
     firsts = hot.groupBy("gram", "content").agg(F.min(F.struct("key", "start")).alias("at"))
-    kinds = firsts.groupBy("gram").agg(F.count("*").alias("kinds"))
+    # a row per hot 8-gram: sent to all tasks while few, so that one 8-gram's segments needn't meet in a task
+    kinds = written(firsts.groupBy("gram").agg(F.count("*").alias("kinds")), "kinds")
+    kinds = F.broadcast(kinds) if kinds.count() <= SMALL else kinds
     hot = hot.join(firsts, ["gram", "content"]).join(kinds, "gram").select("gram", "key", "start", "n", (F.struct("key", "start") == F.col("at")).alias("first"), "kinds", "loops")
     hot = hot.where("kinds > 1 or loops or not first").select("gram", "key", "start", "n", "first", (F.col("kinds") > HOT).alias("windows"))
 
