@@ -6,7 +6,7 @@ from tonefold.operators import framing, pairing
 from tonefold.sources import capture
 from tonefold.streaming import pairing as streaming
 
-HEAD = "# fp-capture 1\n# anchor_ns 100\n"
+HEAD = "# capture 1\n# anchor_ns 100\n"
 BODY = "".join(f"{1_000_000_000 + i * 5_000_000} {'90 3C 64' if i % 2 == 0 else '80 3C 40'}\n" for i in range(40))
 TAIL = "# end packets 40 dropped 0\n"
 
