@@ -189,3 +189,23 @@ def test_toxicity(spark):
     assert len(held) > 50 and sum(p == t for p, t in held) >= 0.97 * len(held)
     assert {r.score for r in toxicity.score(docs, marks.where("toxic = 0")).collect()} == {0.0}
     assert toxicity.score(docs.where("false"), marks).count() == 0
+
+
+def test_toxicity_of_long_texts(spark):
+    lexicon = {"blorf": 4.0, "snark-": 3.0}
+    text = "You walked past the BLORF house, snarkling! 7 rivers? Sooo gr3en today; "
+    counted = [toxicity.FEATURES.index(name) for name in ("log_words", "lexicon_hits")]
+    once, often = toxicity.features(text, lexicon), toxicity.features(text * 1000, lexicon)
+    assert [x for i, x in enumerate(often) if i not in counted] == pytest.approx([x for i, x in enumerate(once) if i not in counted])
+    assert once[toxicity.FEATURES.index("lexicon_density")] == pytest.approx(2 / 12)
+    rng = random.Random(10)
+    rows = []
+    for i in range(600):
+        words = rng.choices("stone river walk green house you they light".split(), k=60)
+        toxic = i % 3 == 0
+        for _ in range(6 if toxic else rng.random() < 0.3):
+            words[rng.randrange(60)] = "blorf"
+        rows.append((i, " ".join(words), int(toxic)))
+    rows.append((1000, " ".join((rng.choices("stone river walk green house you they light".split(), k=300) + ["blorf", "stone"]) * 100), None))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert toxicity.score(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).where("doc_id = 1000").first().score < 0.3

@@ -60,11 +60,11 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     for i, w in enumerate(words):
         weight = lexicon.get(w)
         if weight is None and len(w) > 4:
-            for n in BEGINNINGS:
-                weight = lexicon.get(w[:n] + "-") if len(w) > n else None
+            for length in BEGINNINGS:
+                weight = lexicon.get(w[:length] + "-") if len(w) > length else None
                 if weight is not None:
                     beginnings += 1
-                    seen.add(w[:n])
+                    seen.add(w[:length])
                     break
         elif weight is not None:
             seen.add(w)
