@@ -209,3 +209,68 @@ def test_toxicity_of_long_texts(spark):
     rows.append((1000, " ".join((rng.choices("stone river walk green house you they light".split(), k=300) + ["blorf", "stone"]) * 100), None))
     frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     assert toxicity.score(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).where("doc_id = 1000").first().score < 0.3
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL = """Copyright (C) 2020  Some Author
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+APACHE = """Copyright 2020 Some Author
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_genuine_licence_notices(spark):
+    hashed = "".join(f"# {line}".rstrip() + "\n" for line in APACHE.replace("Author\n\n", "Author\n").split("\n"))
+    texts = [MIT, GPL, APACHE, hashed, APACHE.replace("\n", "\r\n"), "Licensed under CC BY 4.0.\n\n" + MIT, "Released under the\n\nMIT License."]
+    rows = list(licence_scan.scan(frame(spark, texts)).orderBy("doc_id").collect())
+    assert [r.licences for r in rows] == [["MIT"], ["GPL-3.0-or-later"], ["Apache-2.0"], ["Apache-2.0"], ["Apache-2.0"], ["MIT", "CC-BY-4.0"], []]
+    assert rows[1].sentences == ["gpl-free", "gpl-hope", "gpl-copy"]
+    assert all(r.sentences == ["apache-header", "apache-compliance", "apache-copy", "apache-as-is"] for r in rows[2:5])
+    assert rows[5].sentences == ["cc-by-reference", "mit-grant", "mit-notice", "mit-as-is", "mit-liability"]
+    lines = "\u4e00\n" * 20000 + "licence\n" + "- \n" * 20000 + "x; " * 20000
+    assert [r.licences for r in licence_scan.scan(frame(spark, [lines])).collect()] == [[]]

@@ -58,29 +58,38 @@ RULES = (
 )
 #: Every known sentence holds one of these, so sentences without are passed over.
 ANCHORS = "licens|permission|copyright|redistribut|warrant|software"
-END = "([.!?;:])[ \\t\\r\\f\\x0B]+"
+#: Applied in turn to lower-case text: words stay, with P where a sentence must end and L where a line or clause ends.
+MARKED = (
+    ("\\n[^\\p{L}\\p{N}]*\\n", "P"),
+    ("[.!?][ \\t\\r\\n\\f\\x0B]+", "P"),
+    ("[:;][ \\t\\r\\f\\x0B]+|\\n", "L"),
+    ("[^a-z0-9PL]+", " "),
+    ("[ L]*L[ L]*", "L"),
+    ("[ LP]*P[ LP]*", "P"),
+)
 
 
 def known(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    sentences = F.split(F.regexp_replace(text, END, "$1\n"), "\n")
-    some = F.filter(F.transform(sentences, F.lower), lambda s: s.rlike(ANCHORS))
-    plain = F.transform(some, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    """Identifiers of the known sentences of a text, in order: from a start of a line or clause to an end of one, over as many as it takes; of two from one start the longer."""
+    plain = F.lower(text)
+    for pattern, mark in MARKED:
+        plain = F.regexp_replace(plain, pattern, mark)
+    longest = sorted(SENTENCES.values(), key=len, reverse=True)
+    sentence = f"(?<![^LP])(?:{'|'.join(longest)})(?![^LP])".replace(" ", "[ L]")
+    found = F.regexp_extract_all(F.trim(plain), F.lit(sentence), F.lit(0))
     table = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    return F.transform(found, lambda s: F.try_element_at(table, F.translate(s, "L", " ")))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, sentences and licences: identifiers of known sentences in order, licences found in order of rules, each an array.
 
-    Sentences end at a mark and white space, and at line ends; where no line is known, lines are joined, as texts may
-    be wrapped. Null and empty texts have neither. A row gives a row.
+    A sentence may run over lines, as texts may be wrapped, and over ':' and ';', but not over '.', '!' or '?' before
+    white space, nor over a line without letters and digits. Null and empty texts have neither. A row gives a row.
     """
     df = only(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    none = F.lit(None).cast("array<string>")
-    df = df.withColumn("lines", F.when(F.lower("text").rlike(ANCHORS), known(F.col("text"))).otherwise(none))
-    wrapped = known(F.regexp_replace("text", "[ \\t\\r]*\\n", " "))
-    df = df.withColumn("sentences", F.when(F.size("lines") > 0, F.col("lines")).when(F.col("lines").isNotNull(), wrapped).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    df = df.withColumn("sentences", F.when(F.lower("text").rlike(ANCHORS), known(F.col("text"))).otherwise(none))
     df = df.withColumn("rest", F.concat(F.lit(" "), F.array_join("sentences", "  "), F.lit(" ")))
     found = []
     for i, (licence, ids) in enumerate(RULES):
