@@ -274,3 +274,17 @@ def test_genuine_licence_notices(spark):
     assert rows[5].sentences == ["cc-by-reference", "mit-grant", "mit-notice", "mit-as-is", "mit-liability"]
     lines = "\u4e00\n" * 20000 + "licence\n" + "- \n" * 20000 + "x; " * 20000
     assert [r.licences for r in licence_scan.scan(frame(spark, [lines])).collect()] == [[]]
+
+
+def test_texts_without_their_languages_words_go(spark):
+    rng = random.Random(11)
+    names = [f"n{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    made = lambda words, common, n: " ".join(rng.choice(words) if rng.random() < common else rng.choice(names) for _ in range(n))
+    english, german = "the of and to is that for with".split(), "der die das und den von zu mit".split()
+    rows = [(i, made(english, 0.21, 60 + i), "en") for i in range(200)] + [(i, made(german, 0.21, 60 + i), "de") for i in range(200, 400)]
+    rows += [(i, made([], 0, 90), "xx") for i in range(400, 420)] + [(i, made(english, 0.02, 90), "yy") for i in range(420, 480)]
+    bad = [(1000, made([], 0, 120), "en"), (1001, made(german, 0.21, 120), "en"), (1002, made(english, 0.21, 300), "de"), (1003, made(english, 0.02, 300), "en")]
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in quality_rules.kept(docs).collect()) == list(range(480))
+    limited = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert limited[1000].kept and limited[1000].word_divergence < 0.13

@@ -4,7 +4,8 @@ A document has two histograms: of its characters over classes, and of its words
 words). A language's reference is the sum of these over all documents of that language. A document is
 rejected if the Jensen-Shannon divergence (base 2, 0 to 1) of either from the reference is too large; the
 square root of the divergence is the distance. Documents with few words aren't judged by it, as their
-histograms say little. Native DataFrame expressions throughout; one pass over the texts.
+histograms say little. If asked for, a document is also rejected that lies nearer to a text without common words than to
+its language. Native DataFrame expressions throughout; one pass over the texts.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ COMMON_WORDS = (
 ).split()
 #: Judged from so many words on; divergence allowed for characters and for words.
 MIN_WORDS, CLASS_LIMIT, WORD_LIMIT = 50, 0.10, 0.25
+#: Common words that a language must let one expect in a document before their lack is judged: were words drawn one by one, a document would have none once in 22,000 times.
+TELLING = 10
+#: Roundings of a divergence.
+ROUNDING = 1e-9
 #: References that may be broadcast (a fixed number of cells each); more are joined by shuffling.
 LANGUAGES = 1000
 BREAKS = "[\\x20\\x09-\\x0D]"
@@ -91,18 +96,25 @@ def divergence(hist: str, shares: str, kind: str, total: Column) -> Column:
     return F.when(total > 0, 0.5 + F.aggregate(own, F.lit(0.0), lambda a, x: a + part(x))).otherwise(0.0)
 
 
+def bare_divergence(common: Column) -> Column:
+    """Divergence, as above, of words with the share `common` of common words from words without any."""
+    rest = 1 - common
+    return F.when(rest <= 0, 1.0).otherwise((F.log2(2 / (1 + rest)) + rest * F.log2(2 * rest / (1 + rest)) + common) / 2)
+
+
 def kept(docs: DataFrame, **columns) -> DataFrame:
-    """docs without the rows that are not kept."""
+    """docs without the rows that are not kept; those without their language's common words aren't."""
     key = row_key(columns.get("id_col", "doc_id"), columns.get("text_col", "text"), columns.get("lang_col", "lang"))
-    out = judge(docs, **columns).where("not kept").select(F.col("row_key").alias("_row_key")).distinct()
+    out = judge(docs, **columns, need_common=True).where("not kept").select(F.col("row_key").alias("_row_key")).distinct()
     return docs.join(out, key == F.col("_row_key"), "left_anti")
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, need_common: bool = False) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_divergence, word_divergence, kept, row_key; a row per row.
 
     Null and empty texts have no words, so they fail the base rule. Documents without a language share one reference.
-    Repeated ids and rows are judged one by one.
+    Repeated ids and rows are judged one by one. word_limit alone lets texts without common words pass where these are under
+    two fifths of a language's words; need_common rejects them, as it does texts in another language.
     """
     measured = written(measures(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), "measures")
     refs = references(measured, lang_col=lang_col)
@@ -112,4 +124,9 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     df = df.withColumn("class_divergence", divergence("hist", "shares", "c:", F.col("chars"))).withColumn("word_divergence", divergence("hist", "shares", "w:", F.col("n_words")))
     fits = (F.col("n_words") < min_words) | ((F.col("class_divergence") <= class_limit) & (F.col("word_divergence") <= word_limit))
+    if need_common:
+        other = F.coalesce(F.get(F.filter("hist", lambda x: x["key"] == "w:"), F.lit(0))["count"], F.lit(0))
+        expected = F.col("n_words") * (1 - F.coalesce(F.try_element_at("shares", F.lit("w:")), F.lit(0.0)))
+        bare = bare_divergence(1 - other / F.col("n_words"))
+        fits &= (F.col("n_words") < min_words) | (expected < TELLING) | (F.col("word_divergence") <= bare + ROUNDING)
     return df.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("class_divergence", 6).alias("class_divergence"), F.round("word_divergence", 6).alias("word_divergence"), (~F.col("base_failed") & fits).alias("kept"), "row_key")
