@@ -98,3 +98,11 @@ def test_midi_files():
     assert scores.read_midi(b"none") == []
     back = scores.read_midi(scores.write_midi([0, 200, 100_000], [b"\x90\x3c\x64", b"\x80\x3c\x40", b"\xc0\x05"]))
     assert [(round(x["seconds"] * 960), x["data"]) for x in back] == [(0, b"\x90\x3c\x64"), (200, b"\x80\x3c\x40"), (100_000, b"\xc0\x05")]
+
+
+def test_ranking_falls_back(spark):
+    grams = spark.createDataFrame([(t, i, 7) for t in range(1, 5) for i in range(2)] + [(5, 0, 8), (6, 0, 9), (6, 1, 8)], "theme long, pos long, gram long")
+    queries = spark.createDataFrame([(100, 7), (101, 8), (101, 7), (102, 9), (102, 8)], "query long, gram long")
+    found = {(r.query, r.theme): r.votes for r in matching.ranked(queries, grams, cap=3).collect()}
+    assert found == {**{(100, t): 2 for t in range(1, 5)}, (101, 5): 1, (101, 6): 1, (102, 6): 2}
+    assert {r.query for r in matching.ranked(queries, grams, cap=0).collect()} == set()
