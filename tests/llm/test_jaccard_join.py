@@ -68,3 +68,43 @@ def test_edges(spark):
     assert got(spark, rows, 4, 85) == brute(rows, 4, 85)
     long = " ".join(f"t{i}" for i in range(60_000))
     assert got(spark, [(1, long), (2, long + " more")], 4, 85) == [(1, 59_997, 1), (2, 59_998, 1)]
+
+
+def test_unlinked_copies_of_a_template_make_no_pairs(spark, monkeypatch):
+    """240 words in common and 30 of its own in each (similarity 0.78): nothing to compare, however many there are; with 15 of their own a star."""
+    asked = []
+    met = jaccard_join.met
+    monkeypatch.setattr(jaccard_join, "met", lambda pairs, rows: asked.append(pairs.count()) or met(pairs, rows))
+    template = [f"t{i}" for i in range(240)]
+    for n, own, most in ((100, 30, 0), (300, 30, 0), (300, 15, 299)):
+        asked.clear()
+        rows = [(d, " ".join(template + [f"o{d}_{i}" for i in range(own)])) for d in range(n)]
+        found = got(spark, rows, 4, 85)
+        assert sum(asked) <= most
+        assert {r[2] for r in found} == (set(range(n)) if own == 30 else {0})
+
+
+def test_clashing_names_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (4, text + " end"), (9, text), (7, "other words only here")]
+    docs = spark.createDataFrame([(d, t, 1, "x", 2, 3) for d, t in rows], "doc_id long, text string, key int, row string, id long, n long")
+    found = {tuple(r) for r in jaccard_join.similar(docs, k=4, percent=85).collect()}
+    assert found == {(None, 57, 4), (4, 58, 4), (9, 57, 4), (7, 1, 7)}
+
+
+def test_orders_give_what_the_theorem_says():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    counts = rng.integers(1, 50, 1 << 10).astype(np.uint32)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 200))).astype(np.uint64))
+        drop = int(rng.integers(0, len(x) // 8 + 1))
+        y = np.unique(np.concatenate([x[rng.permutation(len(x))[drop:]], rng.integers(0, 2**63, int(rng.integers(0, len(x) // 10 + 1))).astype(np.uint64)]))
+        if 100 * len(np.intersect1d(x, y)) < 85 * len(np.union1d(x, y)):
+            continue
+        assert set(jaccard_join.rare_first(x, 85, counts)[0]) & set(jaccard_join.rare_first(y, 85, counts)[0])
+        for order in jaccard_join.HASHED:
+            a, b = jaccard_join.hashed_first(x, 85, order), jaccard_join.hashed_first(y, 85, order)
+            assert len(np.intersect1d(a, b)) >= min(len(x), len(y)) // 10 + 1
+        assert (jaccard_join.signatures(x) == jaccard_join.signatures(y)) == (x.tolist() == y.tolist())

@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where unset (tests), a new one."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset, a new local one in local mode alone; executors elsewhere wouldn't see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-tonefold-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -35,11 +37,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what `written` wrote for frames that nothing will read again: what was derived from them is written itself."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns can't clash with an operator's own."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, text, row: key is unique and in the order of ids, the id itself, or where ids repeat or are null a number in the order of id (nulls last)
+    and text. row holds all columns of docs, so none of their names can clash with an operator's own."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    ids = rows.select("key")
+    if ids.where("key is null").isEmpty() and ids.groupBy("key").count().where("count > 1").isEmpty():
+        return rows
+    ordered = rows.orderBy(F.col("key").asc_nulls_last(), "text")
+    return written(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
 # --- vectorised word hashing ---------------------------------------------------------------
 
 _rng = np.random.default_rng(20240607)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -16,6 +16,8 @@ def components(pairs: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "theirs").alias("to"))
         lower = written(lower, "lower")
         jump = lower.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        labels = written(lower.join(jump, "to", "left").select("node", "was", F.least("to", F.coalesce("further", "to")).alias("component")), "labels")
+        last, labels = labels, written(lower.join(jump, "to", "left").select("node", "was", F.least("to", F.coalesce("further", "to")).alias("component")), "labels")
+        dropped(last, lower)
         if labels.where("was <> component").isEmpty():
+            dropped(both)
             return labels.select("node", "component")

@@ -1,14 +1,19 @@
 """Exact n-gram Jaccard self-join: candidates share prefix tokens under several global token orders.
 
-A document's tokens are its distinct word shingles. Two sets that reach the threshold share a token of their prefixes (the
-first n - ceil(t n) + 1 tokens) under every global order of tokens, and l tokens of prefixes longer by l - 1. The first order
-(shingles that are rare in the corpus first) makes the candidates, which share a twentieth of their tokens' number; they stay only if
-their prefixes also meet under each of the other orders, and their sets are then compared exactly.
-
-Equal sets are one node. Every node that shares a token is compared with that token's hub, the node that has it and least of its own, and linked
-nodes are put together. So any two candidates have been compared with a common hub: links between what is still apart are found from the
-differences to it, or, for nodes that are far from their hub, from shared tokens. Pairs inside a component are never
-listed, so a group of copies costs its size, not its square, and no link between components is lost.
+A document's tokens are its distinct word shingles. If two sets x and y share o tokens, then under every global order of tokens the first
+|x| - o + l tokens of x and the first |y| - o + l of y share l of these. Linked sets share o >= t / (1 + t) (|x| + |y|). Three orders are used:
+
+1. Shingles that are rare in the corpus first. Only the prefixes under this order are joined. A pair's first common token stands at places that leave
+   room for o tokens in both sets; of sets that were given words of their own to a common text nothing of that text is left in the prefixes that
+   can still meet, unless they are linked.
+2. and 3. Two orders by hash. Beside each set lie its prefixes under these, long enough for l to be a tenth of the set. Pairs stay only if they share so
+   many tokens under each.
+
+What passes all three is compared on whole sets; no text or set is fetched before.
+
+Equal sets are one node. First every node that has a token is taken together with the token's hub, the node that has it and least of its own, and linked nodes are put
+together. Only tokens whose nodes are in different parts then make further pairs, between the parts. So a group of copies costs
+its size, not its square, and no link between parts is lost.
 """
 
 from __future__ import annotations
@@ -19,19 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Words, mix, only, rolling, texts_of, written
+from .common import Words, dropped, mix, numbered, only, rolling, texts_of, written
 from .components import components
 
 #: Counters of the corpus-wide count of shingles; fixed, so what is sent to executors never grows.
 SKETCH_BITS = 22
 BLOCK_BITS = 16
-ORDERS = 3
-#: Per cent of similarity to a hub from which on a set is described by its difference to it.
-NEAR = 55
-#: Rounds in which nodes near a hub are linked by way of few others, before pairs are listed.
-ROUNDS = 3
+#: Orders by hash, besides the one by rarity.
+HASHED = (1, 2)
 #: Rows of ids that may be broadcast; more are joined by shuffling.
 SMALL = 200_000
 
@@ -50,18 +52,12 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def node_of(tokens: np.ndarray, counts: np.ndarray) -> int:
-    """A number for a set: equal sets have equal ones. Different ones meet with odds of about sets^2 / 2^60.
-
-    The number is smaller the more common the set's tokens are in the corpus, so that of near copies the one with least of its own is first.
-    """
-    if not len(tokens):
-        return -1
+def signatures(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit numbers for a set, independent of each other: equal sets have equal ones, different ones meet with odds of about sets^2 / 2^129."""
     with np.errstate(over="ignore"):
-        signature = mix(np.array([mix(tokens).sum(dtype=np.uint64) ^ np.uint64(len(tokens))], np.uint64))[0]
-    at = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)]
-    rare = 1 - float(np.log2(np.maximum(at, 1)).mean()) / 32
-    return int(rare * 2047) << 52 | int(signature) >> 12
+        first = mix(np.array([mix(tokens).sum(dtype=np.uint64) ^ np.uint64(len(tokens))], np.uint64))
+        second = mix(np.array([mix(tokens * np.uint64(0xD1342543DE82EF95) + np.uint64(0x632BE5AB)).sum(dtype=np.uint64)], np.uint64))
+    return int(first.view(np.int64)[0]), int(second.view(np.int64)[0])
 
 
 def shingle_counts(docs: DataFrame, k: int, *, text_col: str = "text") -> np.ndarray:
@@ -104,179 +100,107 @@ def shingle_counts(docs: DataFrame, k: int, *, text_col: str = "text") -> np.nda
     return found
 
 
-def shared_tokens(n: F.Column) -> F.Column:
-    """How many tokens the prefixes of two linked sets share at least: a twentieth of the smaller set, and one."""
-    return F.floor(n / 20) + 1
+def _most_apart(n: int, percent: int) -> int:
+    """Tokens of a set of n that a linked set may lack."""
+    return n - -(-percent * n // 100)
 
 
-def rare_prefix(tokens: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
-    """The set's prefix in the order that has rare shingles first, long enough for linked sets to share shared_tokens of it."""
-    n = len(tokens)
-    size = min(n, n - -(-percent * n // 100) + 1 + n // 20) if n else 0
+def rare_first(tokens: np.ndarray, percent: int, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The set's prefix, rare shingles first, and a measure of how rare its shingles are on the whole."""
     at = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
     rank = (np.minimum(at, np.uint64((1 << 31) - 1)) << np.uint64(32)) | (mix(tokens) >> np.uint64(32))
-    return tokens[np.argpartition(rank, size - 1)[:size]] if 0 < size < n else tokens[:size]
+    size = _most_apart(len(tokens), percent) + 1
+    rare = 1 - float(np.log2(np.maximum(at, 1)).mean()) / 32
+    return tokens[np.argsort(rank, kind="stable")[:size]], int(rare * 65535)
 
 
-def hashed_prefix(tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
-    """The set's prefix in an order by hash."""
+def hashed_first(tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
+    """The set's prefix under an order by hash, as 32 bits of that hash; empty (which passes everything) if two tokens have the same."""
     n = len(tokens)
-    size = n - -(-percent * n // 100) + 1 if n else 0
-    return tokens[np.argpartition(mix(tokens + np.uint64(order * 0x51ED27)), size - 1)[:size]] if 0 < size < n else tokens[:size]
+    with np.errstate(over="ignore"):
+        found = np.sort(mix(tokens + np.uint64(order * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(32))[: _most_apart(n, percent) + 1 + n // 10].astype(np.uint32)
+    return found if (found[1:] != found[:-1]).all() else found[:0]
 
 
-def described(docs: DataFrame, k: int, percent: int, counts: np.ndarray, *, id_col: str, text_col: str) -> DataFrame:
-    """id, node, n (the size of the set), prefix (rare tokens first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def described(rows: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """key, id, s1, s2, n (the size of the set), rare, p0 (prefix, rare shingles first) and a prefix for each order by hash; rows: key, id, text."""
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+    names = ["key", "id", "s1", "s2", "n", "rare", "p0", *(f"p{o}" for o in HASHED)]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *(pa.list_(pa.int32()) for _ in HASHED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                node, n, prefix = [], [], []
-                for tokens in shingle_sets(batch.column(1), k):
-                    node.append(node_of(tokens, shared.value))
-                    n.append(len(tokens))
-                    prefix.append(rare_prefix(tokens, percent, shared.value).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "node", "n", "prefix"])
+                out: list[list] = [[] for _ in names[2:]]
+                for tokens in shingle_sets(batch.column(2), k):
+                    if len(tokens):
+                        prefix, rare = rare_first(tokens, percent, shared.value)
+                        values = (*signatures(tokens), len(tokens), rare, prefix.view(np.int64), *(hashed_first(tokens, percent, o).view(np.int32) for o in HASHED))
+                    else:
+                        values = (None, None, 0, 0, *([],) * (1 + len(HASHED)))
+                    for column, value in zip(out, values):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, kind) for v, kind in zip(out, kinds[2:]))], names=names)
 
-    return only(docs, id_col, text_col).mapInArrow(run, "id long, node long, n long, prefix array<long>")
+    return rows.mapInArrow(run, "key long, id long, s1 long, s2 long, n long, rare int, p0 array<long>, " + ", ".join(f"p{o} array<int>" for o in HASHED))
 
 
-def _fits(percent: int) -> F.Column:
-    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+def _overlap(percent: int, a: Column, b: Column) -> Column:
+    """Tokens that linked sets of these sizes share at least."""
+    return F.ceil(percent * (a + b) / F.lit(100 + percent))
 
 
-def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, counts: np.ndarray, *, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) with n_a, n_b, meet (their prefixes meet under all other orders too), shared (the size of the intersection, for
-    pairs that may be linked or are NEAR) and for pairs that are NEAR differ: the tokens that one of the two has, rare ones first."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("id").alias(f"id_{s}"))
-    pairs = written(pairs.join(side("b"), "b").join(side("a"), "a"), "candidates")
-    texts = only(docs, id_col, text_col).toDF("id", "text")
-    ids = written(pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct(), "ids")
-    texts = written(texts.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "id"), "texts")
-    broadcast = docs.sparkSession.sparkContext.broadcast(counts)
-    names = ["a", "b", "n_a", "n_b", "meet", "shared", "differ"]
+def may_link(percent: int, a: str, b: str) -> Column:
+    """Whether two postings (n, pos) of one token may be the first common token of linked sets."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = _overlap(percent, na, nb)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (na - F.col(f"{a}.pos") >= need) & (nb - F.col(f"{b}.pos") >= need)
+
+
+def _of_some(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """The rows of df whose key stands in the pairs."""
+    ids = written(pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= SMALL else ids, key, "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, ...]] = {}
-        nothing = (np.zeros(0, np.uint64),) * ORDERS
-        counts = broadcast.value
-
-        def sets(nodes: pa.Array, column: pa.Array) -> list[tuple[np.ndarray, ...]]:
-            nodes = nodes.to_pylist()
-            if len(known) > 5000 or sum(len(x[0]) for x in known.values()) > 1 << 22:
-                known.clear()
-            left = [i for i, node in enumerate(nodes) if node not in known]
-            while left:
-                first = {nodes[i]: i for i in reversed(left)}
-                for node, tokens in zip(first, shingle_sets(column.take(pa.array(list(first.values()), pa.int64())), k)):
-                    # an id that repeats brings texts of other nodes; the number tells them
-                    if node_of(tokens, counts) == node:
-                        known[node] = tokens, *(hashed_prefix(tokens, percent, order) for order in range(1, ORDERS))
-                left = [i for i in left if nodes[i] not in known and i != first[nodes[i]]]
-            return [known.get(node, nothing) for node in nodes]
 
+def met(pairs: DataFrame, all_rows: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that share enough of their prefixes under each order by hash too."""
+    some = _of_some(all_rows.select("key", *[f"p{o}" for o in HASHED]), "key", pairs)
+    side = lambda s: some.select(F.col("key").alias(s), *[F.col(f"p{o}").alias(f"{s}{o}") for o in HASHED])
+    full = pairs.join(side("b"), "b").join(side("a"), "a")
+    least = F.floor(F.least("n_a", "n_b") / 10) + 1
+    for o in HASHED:
+        a, b = F.col(f"a{o}"), F.col(f"b{o}")
+        full = full.where((F.size(a) == 0) | (F.size(b) == 0) | (F.size(F.array_intersect(a, b)) >= least))
+    return full.select("a", "b", "n_a", "n_b")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """The linked ones (a, b) among pairs (a, b, n_a, n_b), by comparing whole sets; rows: key, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                keep, meet, shared, differ = [], [], [], []
-                for (x, *px), (y, *py) in zip(sets(batch.column(0), batch.column(4)), sets(batch.column(1), batch.column(5))):
-                    keep.append(len(x) > 0 and len(y) > 0)
-                    meet.append(100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and all(len(np.intersect1d(p, q, True)) for p, q in zip(px, py)))
-                    tokens = np.concatenate([x, y])
-                    tokens.sort()
-                    twice = tokens[1:] == tokens[:-1]
-                    shared.append(int(twice.sum()))
-                    differ.append(None)
-                    if 100 * shared[-1] >= NEAR * (len(tokens) - shared[-1]):
-                        odd = np.ones(len(tokens), bool)
-                        odd[1:] &= ~twice
-                        odd[:-1] &= ~twice
-                        odd = tokens[odd]
-                        differ[-1] = odd[np.lexsort((odd, counts[(odd & np.uint64(len(counts) - 1)).astype(np.int64)]))].view(np.int64)
-                columns = [batch.column(i) for i in range(4)] + [pa.array(meet, pa.bool_()), pa.array(shared, pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in columns], names=names)
-
-    side = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
-    full = pairs.join(side("b"), "id_b").join(side("a"), "id_a")
-    return full.select("a", "b", "n_a", "n_b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, meet boolean, shared long, differ array<long>").dropDuplicates(["a", "b"])
-
-
-def _linked(percent: int) -> F.Column:
-    return 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
-
-
-def _differ_linked(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) among pairs (hub, a, b) of nodes near a hub, exactly, from their differences to it."""
-    side = lambda s: near.select("hub", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("differ").alias(f"d_{s}"))
-    full = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
-    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-    return full.withColumn("shared", F.floor((F.col("n_a") + F.col("n_b") - apart) / 2)).where(_linked(percent)).select("a", "b").distinct()
-
-
-def around_hubs(stars: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links that, with the given ones, put together all nodes near a common hub that are reachable over links; and the parts (node, component).
-
-    The sets of x and y differ in the tokens in which their differences D to the hub differ, at most m = (1 - t) / (1 + t) (|x| + |y|) if they are
-    linked; so |Dx n Dy| >= (|Dx| + |Dy| - m) / 2. One of the two, x, isn't linked to the hub, so |Dx| is above (1 - t) / (1 + t) (|x| + |hub|), and
-    more than (1 - c) / 2 of Dy with c = (1 - t) / (1 + t) is shared. So y offers that prefix of Dy, rare tokens first, x all of Dx,
-    and the place of a shared token in both bounds what can follow. Copies that were edited apart share few of their differences, so a
-    group of copies makes few candidates, not the square of its size.
-
-    First, in rounds, nodes are compared with the node nearest to the hub of those that share a token of their differences; then
-    what is in different parts still, pair by pair.
-    """
-    c = (100 - percent) / (100 + percent)
-    near = stars.where("differ IS NOT NULL").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_b").alias("n"), "differ", F.size("differ").alias("d"), _linked(percent).alias("linked"))
-    near = written(near, "near")
-    half = F.greatest(F.ceil(F.col("d") - F.floor(F.col("d") * ((1 - c) / 2) - 1e-9)).cast("int"), F.lit(1))
-    offered = near.select("hub", "node", "n", "d", "linked", half.alias("half"), F.posexplode("differ").alias("i", "token")).where("NOT linked OR i < half")
-    offered = written(offered.withColumn("y", F.col("i") < F.col("half")), "offered")
-    parts = components(links)
-    placed = lambda: offered.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    for _ in range(ROUNDS):
-        centre = placed().groupBy("hub", "token").agg(F.min(F.struct("d", "node", "part")).alias("c"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-        pairs = placed().join(centre.select("hub", "token", "c"), ["hub", "token"]).where(F.col("part") != F.col("c.part")).select("hub", F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
-        found = written(_differ_linked(pairs, near, percent), "links")
-        if found.isEmpty():
-            break
-        links = written(links.unionByName(found), "links")
-        parts = components(links)
-
-    mixed = placed().groupBy("hub", "token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("hub", "token")
-    rest = written(placed().join(mixed, ["hub", "token"]), "rest")
-    x, y = rest.where("NOT linked").alias("x"), rest.where("y").alias("y")
-    need = (F.col("x.d") + F.col("y.d") - c * (F.col("x.n") + F.col("y.n"))) / 2 - 1e-9
-    can = F.least(F.col("x.d") - F.col("x.i"), F.col("y.d") - F.col("y.i"))
-    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & fits & (can >= need))
-    pairs = met.select(F.col("x.hub").alias("hub"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return written(links.unionByName(_differ_linked(pairs, near, percent)), "links"), parts
-
-
-def far_from_hubs(postings: DataFrame, stars: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different parts that share enough tokens, where one is not near the tokens' hub.
-
-    As 1 - J is a metric, a node that lies nearer to the hub than NEAR less what linked nodes may be apart links with no such one.
-    """
-    alike = stars.select(F.col("a").alias("low"), F.col("b").alias("node"), (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("j"))
-    least = NEAR / 100 + (1 - percent / 100)
-    placed = postings.where("node <> low").join(alike, ["low", "node"], "left").withColumn("j", F.coalesce("j", F.lit(0.0)))
-    mixed = placed.where(F.col("j") < NEAR / 100).select("token").distinct()
-    placed = placed.where(F.col("j") <= least + 1e-9).join(mixed, "token").join(parts, "node", "left").select("token", "node", "n", "j", F.coalesce("component", "node").alias("part"))
-    placed = written(placed, "placed")
-    side = lambda s: placed.select("token", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("part").alias(f"part_{s}"), F.col("j").alias(f"j_{s}"))
-    far = F.least("j_a", "j_b") < NEAR / 100
-    pairs = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _fits(percent) & far)
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("n_a", "n_b")).alias("n"))
-    return pairs.where(F.col("met") >= shared_tokens(F.col("n"))).select("a", "b")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.view(np.int64) for t in shingle_sets(batch.column(1), k)], pa.list_(pa.int64()))], names=["key", "tokens"])
+
+    sets = written(_of_some(rows.select("key", "text"), "key", pairs).mapInArrow(run, "key long, tokens array<long>"), "sets")
+    side = lambda s: sets.select(F.col("key").alias(s), F.col("tokens").alias(f"t_{s}"))
+    shared = F.size(F.array_intersect("t_a", "t_b"))
+    links = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    links = written(links, "links")
+    dropped(sets)
+    return links
 
 
-def _met(postings: DataFrame) -> DataFrame:
-    """Postings (token, node, n) of tokens that several nodes have, with low, the token's hub."""
-    shared = postings.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("nodes")).where("nodes > 1").select("token", "low")
-    return postings.join(shared, "token")
+def postings(all_rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """token, x (node, n, pos, index: whether a larger set may look for it here), hub (the one that has least of its own) of tokens that several nodes have."""
+    held = all_rows.join(nodes.select(F.col("node").alias("key")), "key", "left_semi").select("key", "n", "rare", F.posexplode("p0").alias("pos", "token"))
+    index = F.col("pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100 + percent))
+    held = held.select("token", F.struct("rare", F.col("key").alias("node"), "n", "pos", index.alias("index")).alias("x"))
+    several = held.groupBy("token").agg(F.min("x").alias("hub"), F.count("*").alias("nodes"), F.max("x.index").alias("some")).where("nodes > 1 AND some").select("token", "hub")
+    return written(held.join(several, "token"), "postings")
 
 
 def similar(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,28 +208,37 @@ def similar(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "do
 
     Texts without words (null and empty ones) have no shingles and are linked with nothing. A row gives a row; rows with
     repeated ids stay apart unless their texts are linked. Rows with a null id get the smallest id of
-    their component, null if it has none.
+    their component, null if it has none. Other columns are left aside.
     """
     counts = shingle_counts(docs, k, text_col=text_col)
-    all_rows = written(described(docs, k, percent, counts, id_col=id_col, text_col=text_col), "shingled")
-    nodes = written(all_rows.where("n > 0").dropDuplicates(["node"]), "nodes")
-
-    postings = written(_met(nodes.select("node", "n", F.explode("prefix").alias("token"))), "postings")
-    # a set that is linked with any shares so many tokens: the linked one has percent of its size at least
-    enough = postings.groupBy("node").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= shared_tokens(F.col("n") * percent / 100)).select("node")
-    postings = written(_met(postings.drop("low").join(enough, "node")), "postings")
-    compare = lambda pairs: compared(pairs, nodes, docs, k, percent, counts, id_col=id_col, text_col=text_col)
-
-    # sets of too different sizes are far from each other without being compared
-    stars = postings.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"), "n").distinct()
-    hubs = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    stars = stars.join(hubs, "a").where(100 * F.least("n", "n_a") >= NEAR * F.greatest("n", "n_a")).select("a", "b")
-    stars = written(compare(stars), "stars")
-    links = stars.where(F.col("meet") & _linked(percent)).select("a", "b")
-    links, parts = around_hubs(stars, links, percent)
-    far = written(compare(far_from_hubs(postings, stars, parts, percent)), "far").where(F.col("meet") & _linked(percent)).select("a", "b")
-    parts = components(links.unionByName(far))
-
-    members = all_rows.select("id", "n", "node").join(parts, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("part"))
-    least = members.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
-    return members.join(least, "part", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    rows = numbered(docs, id_col, text_col).select("key", F.col("row")[id_col].cast("long").alias("id"), "text")
+    all_rows = written(described(rows, k, percent, counts), "shingled")
+    nodes = all_rows.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("node"), F.min("id").alias("least"), F.first("n").alias("n"))
+    nodes = written(nodes, "nodes")
+
+    tokens = postings(all_rows, nodes, percent)
+    ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    sizes = lambda a, b: [F.when(F.col(f"{a}.node") < F.col(f"{b}.node"), F.col(f"{a}.n")).otherwise(F.col(f"{b}.n")).alias("n_a"), F.when(F.col(f"{a}.node") < F.col(f"{b}.node"), F.col(f"{b}.n")).otherwise(F.col(f"{a}.n")).alias("n_b")]
+    stars = tokens.where((F.col("x.node") != F.col("hub.node")) & may_link(percent, "x", "hub")).select(*ordered("x.node", "hub.node"), *sizes("x", "hub")).distinct()
+    stars = written(stars, "stars")
+    links = verified(written(met(stars, all_rows), "met"), rows, k, percent)
+    parts = components(links)
+
+    placed = tokens.join(parts, F.col("x.node") == parts["node"], "left").select("token", "x", F.coalesce("component", "x.node").alias("part"))
+    mixed = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
+    placed = written(placed.join(mixed, "token"), "placed")
+    x = placed.where("x.index").select("token", "x", "part")
+    y = placed.select("token", F.col("x").alias("y"), F.col("part").alias("other"))
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    apart = x.join(y, "token").where((F.col("part") != F.col("other")) & smaller & may_link(percent, "x", "y"))
+    apart = apart.select(*ordered("x.node", "y.node"), *sizes("x", "y")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    apart = written(apart, "apart")
+    links = links.unionByName(verified(written(met(apart, all_rows), "met"), rows, k, percent))
+    parts = components(links)
+    dropped(tokens, placed, stars, apart)
+
+    labels = nodes.join(parts, "node", "left").select("s1", "s2", "least", F.coalesce("component", "node").alias("part"))
+    lowest = labels.groupBy("part").agg(F.min("least").alias("component_id"))
+    labels = labels.join(lowest, "part").select("s1", "s2", "component_id")
+    out = all_rows.select("id", "n", "s1", "s2").join(labels, ["s1", "s2"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
