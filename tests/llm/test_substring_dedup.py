@@ -54,7 +54,7 @@ def test_against_all_windows(spark):
 
 
 def test_hot_and_long(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT", 5)
+    monkeypatch.setattr(substring_dedup, "MANY", 5)
     monkeypatch.setattr(substring_dedup, "SHARD", 7)
     monkeypatch.setattr(substring_dedup, "LONGEST", 16)
     rows = made(150, 2)
@@ -70,6 +70,17 @@ def test_edges(spark):
     assert got(spark, [(1, long), (2, "x " + long)]) == brute([(1, long), (2, "x " + long)], 20)
 
 
+def test_clashing_names(spark):
+    text = " ".join(f"t{i}" for i in range(30))
+    names = ["_key", "_runs", "n_words", "key", "row", "runs", "gram"]
+    docs = spark.createDataFrame([(i, text, *("c" * len(names))) for i in (1, 2)], ", ".join(["doc_id long, text string", *(f"{n} string" for n in names)]))
+    out = {r.doc_id: r for r in substring_dedup.dedup(docs).collect()}
+    assert (out[1].n_removed, out[2].n_removed, out[1].n_words, out[2].text) == (0, 30, 30, "")
+    assert out[1]._key == out[1].row == out[2].runs == "c"
+    plain = substring_dedup.dedup(docs, counts=False, keep_layout=True)
+    assert plain.columns == docs.columns and {r.n_words for r in plain.collect()} == {"c"}
+
+
 def test_index_finds_every_pattern():
     rng = np.random.default_rng(5)
     texts = [rng.integers(0, 3, rng.integers(1, 60)).astype(np.uint64) for _ in range(40)]

@@ -48,7 +48,20 @@ class WaveletMatrix:
         return i
 
 
+class Classes:
+    """Runs of the suffix order whose suffixes share their first symbols: a bit where a run begins, with ranks, and the bounds of the runs."""
+
+    def __init__(self, new: np.ndarray):
+        self.begins = BitRank(new)
+        self.bounds = np.append(np.flatnonzero(new), len(new)).astype(np.int32)
+
+    def of(self, row: np.ndarray) -> np.ndarray:
+        return self.begins.ones(row + 1) - 1
+
+
 class FMIndex:
+    """Kept: the transform in a wavelet matrix, two bit vectors with ranks, and one place for each run of suffixes that share `length` symbols."""
+
     def __init__(self, symbols: np.ndarray, size: int, length: int):
         """Symbols below size, 0 between the texts; for patterns of `length` symbols, more than 1 and at most DEPTH."""
         n = len(symbols)
@@ -58,39 +71,39 @@ class FMIndex:
             ahead[: n - step] = ranks[step][step:] + 1
             ranks[2 * step] = _ranked(ranks[step], ahead)
             step *= 2
-        self.places = np.argsort(ranks[step], kind="stable")
-        self.tree = WaveletMatrix(symbols[self.places - 1], size)
+        places = np.argsort(ranks[step], kind="stable")
+        self.tree = WaveletMatrix(symbols[places - 1], size)
         every = np.arange(size)
         smaller = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))])[:-1]
         self.base = smaller - self.tree.descend(every, np.zeros(size, np.int64))
-        # intervals of suffixes that share length - 1 symbols, and of those that share length
-        self.short_class, self.short_bounds = self._classes(ranks, length - 1)
-        self.full_class, bounds = self._classes(ranks, length)
-        self.earliest = np.minimum.reduceat(self.places, bounds[:-1])
+        self.short = self._classes(ranks, places, length - 1)
+        self.full = self._classes(ranks, places, length)
+        self.earliest = np.minimum.reduceat(places, self.full.bounds[:-1]).astype(np.int32)
 
-    def _classes(self, ranks: dict[int, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _classes(ranks: dict[int, np.ndarray], places: np.ndarray, depth: int) -> Classes:
         power = 1 << (depth.bit_length() - 1)
-        n, head = len(self.places), ranks[power]
+        n, head = len(places), ranks[power]
         tail = np.full(n, -1, np.int64)
         tail[: n - (depth - power)] = head[depth - power :]
-        head, tail = head[self.places], tail[self.places]
+        head, tail = head[places], tail[places]
         new = np.ones(n, bool)
         new[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
-        return np.cumsum(new) - 1, np.append(np.flatnonzero(new), n)
+        return Classes(new)
 
     def backward(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with the symbol put in front."""
         at = self.tree.descend(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.tile(self.base[symbol], 2)
         return at[: len(symbol)], at[len(symbol) :]
 
-    def shorten(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def shorten(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns less their last symbol, for patterns of full length."""
-        c = self.short_class[low]
-        return self.short_bounds[c], self.short_bounds[c + 1]
+        c = self.short.of(low)
+        return self.short.bounds[c].astype(np.int64), self.short.bounds[c + 1].astype(np.int64)
 
     def first_place(self, low: np.ndarray) -> np.ndarray:
         """Smallest place at which a full-length pattern with the interval from low begins."""
-        return self.earliest[self.full_class[low]]
+        return self.earliest[self.full.of(low)]
 
 
 def repeats(texts: list[np.ndarray], length: int) -> list[np.ndarray]:
@@ -114,7 +127,7 @@ def repeats(texts: list[np.ndarray], length: int) -> list[np.ndarray]:
         at = starts[active] + sizes[active] - 1 - step
         lo, hi = low[active], high[active]
         if step >= length:
-            lo, hi = index.shorten(lo, hi)
+            lo, hi = index.shorten(lo)
         low[active], high[active] = lo, hi = index.backward(symbols[at], lo, hi)
         if step >= length - 1:
             flags[at] = index.first_place(lo) < at

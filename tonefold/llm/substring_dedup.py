@@ -5,12 +5,12 @@ to the shard of its smallest word 8-gram, and consecutive windows with the same
 segment, so all places of a window meet in one shard and the work grows with the corpus.
 
 1. Count the segments' 8-grams; one that occurs once holds no repeat (unless inside itself, which is seen at once).
-2. Of equal segments only the first needs a search; the others are repeats as a whole.
-3. First segments whose 8-gram occurs with different content too are fetched and go to shards of bounded size. Each shard builds a compressed
-   index over its segments and streams them through it by backward search; places whose matching statistic reaches `length`
-   and whose match begins earlier are reported.
-4. An 8-gram with more different segments than a shard should hold (a passage in very many contexts) goes to no shard: its
-   windows are compared by hash in a grouped minimum, which Spark combines before it shuffles.
+2. Equal segments are one text with a number of places, the first of which counts; a text goes to its shard once.
+3. Each shard builds a compressed index over its texts and streams them through it by backward search. Each window's matching statistic, held at
+   `length`, and its interval of suffixes give the first place at which it begins: whether that is before the text's own first place decides for this
+   place; for all later places of an equal text it is.
+4. Texts of an 8-gram with very many different ones (a line or passage in very many contexts) would fill a shard with contexts of which nothing repeats. Before
+   they go to the index, windows that occur once are cut off them; what is left of the contexts is mostly equal, and one text again.
 """
 
 from __future__ import annotations
@@ -22,26 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, mix, powers, rolling, texts_of, written
+from .common import Words, dropped, mix, numbered, powers, rolling, texts_of, written
 from .fm_index import repeats
 
 GRAM = 8
-#: Windows in a segment, at most; segments of one 8-gram that may meet in a shard; segments of a shard, about.
-LONGEST, HOT, SHARD = 1024, 1000, 3000
-#: Rows of a side that may be broadcast (of two numbers each); a larger side is joined by shuffling.
-SMALL = 200_000
+#: Windows in a segment, at most; texts of one 8-gram from which on their single windows are cut off first; texts of a shard, about.
+LONGEST, MANY, SHARD = 1024, 3000, 3000
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _key, unique and in the order of ids: the id itself, or where ids repeat or are null a number in the order of id (nulls last) and text."""
-    ids = docs.select(F.col(f"`{id_col}`").alias("id"))
-    if ids.where("id is null").isEmpty() and ids.groupBy("id").count().where("count > 1").isEmpty():
-        return docs.withColumn("_key", F.col(f"`{id_col}`").cast("long"))
-    ordered = docs.orderBy(F.col(f"`{id_col}`").asc_nulls_last(), F.col(f"`{text_col}`"))
-    return written(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
-
-
-def segments(docs: DataFrame, length: int, *, text_col: str) -> DataFrame:
+def segments(rows: DataFrame, length: int) -> DataFrame:
     """gram, content (hash of all words), key, start (word), n (windows) of each segment, loops: a window might repeat inside it."""
     names = ["gram", "content", "key", "start", "n", "loops"]
 
@@ -84,106 +73,145 @@ def segments(docs: DataFrame, length: int, *, text_col: str) -> DataFrame:
                     [pa.array(least[begin].view(np.int64)), pa.array(content.view(np.int64)), pa.array(keys[lo:hi][doc[first]]), pa.array((first - words.first[doc[first]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(loops)], names=names
                 )
 
-    return docs.select("_key", F.col(f"`{text_col}`")).mapInArrow(run, "gram long, content long, key long, start int, n int, loops boolean")
+    return rows.select("key", "text").mapInArrow(run, "gram long, content long, key long, start int, n int, loops boolean")
+
 
+def _asked(rows: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
+    """key, text and asked, the wanted spans of it, of documents that have any."""
+    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("asked"))
+    return rows.select("key", "text").join(wanted, "key")
 
-def fetched(docs: DataFrame, asked: DataFrame, length: int, *, text_col: str) -> DataFrame:
-    """The asked segments (gram, key, start, n, windows) with their words' hashes; where `windows` is set a row per window instead, gram its hash."""
-    asked = asked.groupBy("key").agg(F.collect_list(F.struct("gram", "start", "n", "windows")).alias("asked"))
-    joined = docs.select(F.col("_key").alias("key"), F.col(f"`{text_col}`").alias("text")).join(asked, "key")
-    names = ["gram", "key", "start", "words"]
+
+def words_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """gram, content, key, start, words: the hashes of the words of the wanted segments (gram, content, key, start, n)."""
+    names = ["gram", "content", "key", "start", "words"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 out: list[list] = [[] for _ in names]
-                wants = batch.column(2).to_pylist()
-                keys = batch.column(0).to_pylist()
+                wants, keys = batch.column(2).to_pylist(), batch.column(0).to_pylist()
                 for lo, _, data, bounds in texts_of(batch.column(1)):
                     words = Words(data, bounds)
-                    runs = rolling(words.hash, length)
                     for i, first in enumerate(words.first[:-1].tolist()):
                         for want in wants[lo + i]:
-                            s, n = first + want["start"], want["n"]
-                            if want["windows"]:
-                                rows = (runs[s : s + n].view(np.int64).tolist(), [keys[lo + i]] * n, range(want["start"], want["start"] + n), [None] * n)
-                            else:
-                                rows = ([want["gram"]], [keys[lo + i]], [want["start"]], [words.hash[s : s + n + length - 1].tobytes()])
-                            for column, values in zip(out, rows):
-                                column.extend(values)
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                            s = first + want["start"]
+                            for column, value in zip(out, (want["gram"], want["content"], keys[lo + i], want["start"], words.hash[s : s + want["n"] + length - 1].tobytes())):
+                                column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=names)
 
-    return joined.mapInArrow(run, "gram long, key long, start int, words binary")
-
+    return _asked(rows, wanted, ["gram", "content", "start", "n"]).mapInArrow(run, "gram long, content long, key long, start int, words binary")
 
-def searched(rows: DataFrame, length: int) -> DataFrame:
-    """key, start, n of the windows of fetched segments that begin earlier in another segment of their shard."""
-    shards = max(1, -(-rows.count() // SHARD))
 
-    def search(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("key", "ascending"), ("start", "ascending")])
-        found = repeats([np.frombuffer(w, np.uint64) for w in shard["words"].to_pylist()], length)
-        out: list[list] = [[], [], []]
-        for key, start, flags in zip(shard["key"].to_pylist(), shard["start"].to_pylist(), found):
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                for column, value in zip(out, (key, start + a, b - a)):
-                    column.append(value)
-        return pa.table({"key": pa.array(out[0], pa.int64()), "start": pa.array(out[1], pa.int32()), "n": pa.array(out[2], pa.int32())})
-
-    return rows.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard").applyInArrow(search, "key long, start int, n int")
+def windows_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """gram, key, segment (its start), at, window: the hash of each window of the wanted segments (gram, key, start, n)."""
+    names = ["gram", "key", "segment", "at", "window"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for row in range(0, whole.num_rows, 256):
+                batch = whole.slice(row, 256)
+                out: list[list] = [[] for _ in names]
+                wants, keys = batch.column(2).to_pylist(), batch.column(0).to_pylist()
+                for lo, _, data, bounds in texts_of(batch.column(1)):
+                    words = Words(data, bounds)
+                    runs = rolling(words.hash, length)
+                    for i, first in enumerate(words.first[:-1].tolist()):
+                        for want in wants[lo + i]:
+                            n, s = want["n"], want["start"]
+                            for column, values in zip(out, (np.full(n, want["gram"]), np.full(n, keys[lo + i]), np.full(n, s), np.arange(s, s + n), runs[first + s : first + s + n].view(np.int64))):
+                                column.append(values)
+                columns = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in out]
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in columns], names=names)
 
-def repeated_runs(docs: DataFrame, length: int, *, text_col: str) -> DataFrame:
-    """key, start, n: n windows from word `start` on, each of which also begins earlier."""
-    rows = segments(docs, length, text_col=text_col)
-    often = written(rows.groupBy("gram").count().where("count > 1"), "grams")
-    rows = written(rows.join(often.hint("shuffle_hash"), "gram", "left").where("count is not null or loops").fillna(1, ["count"]), "segments")
+    return _asked(rows, wanted, ["gram", "start", "n"]).mapInArrow(run, "gram long, key long, segment long, at long, window long")
 
-    some = rows.where(F.col("count") <= HOT)
-    same, gram = Window.partitionBy("gram", "content").orderBy("key", "start"), Window.partitionBy("gram")
-    some = some.select("gram", "key", "start", "n", (F.row_number().over(same) == 1).alias("first"), (F.min("content").over(gram) != F.max("content").over(gram)).alias("many"), "loops")
-    some = some.where("many or loops or not first").select("gram", "key", "start", "n", "first", F.lit(False).alias("windows"))
 
-    hot = rows.where(F.col("count") > HOT)
-    firsts = hot.groupBy("gram", "content").agg(F.min(F.struct("key", "start")).alias("at"))
-    # a row per hot 8-gram: sent to all tasks while few, so that one 8-gram's segments needn't meet in a task
-    kinds = written(firsts.groupBy("gram").agg(F.count("*").alias("kinds")), "kinds")
-    kinds = F.broadcast(kinds) if kinds.count() <= SMALL else kinds
-    hot = hot.join(firsts, ["gram", "content"]).join(kinds, "gram").select("gram", "key", "start", "n", (F.struct("key", "start") == F.col("at")).alias("first"), "kinds", "loops")
-    hot = hot.where("kinds > 1 or loops or not first").select("gram", "key", "start", "n", "first", (F.col("kinds") > HOT).alias("windows"))
+def without_single_windows(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Segments (gram, key, start, n) left of the texts (gram, key, start, n) when windows that occur once are cut off. Counts are combined before they are shuffled."""
+    every = written(windows_of(rows, texts, length), "windows")
+    often = every.groupBy("window").count().where("count > 1").select("window")
+    left = every.join(often, "window").withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("gram", "key", "segment").orderBy("at")))
+    left = written(left.groupBy("gram", "key", "segment", "run").agg(F.min("at").cast("int").alias("start"), F.count("*").cast("int").alias("n")).select("gram", "key", "start", "n"), "left")
+    dropped(every)
+    return left
 
-    sorted_out = written(some.unionByName(hot), "sorted-out")
-    content = written(fetched(docs, sorted_out.where("first").drop("first"), length, text_col=text_col), "content")
-    windows = content.where("words is null").select("gram", "key", "start")
-    earliest = windows.groupBy("gram").agg(F.min(F.struct("key", "start")).alias("at"))
-    late = windows.join(earliest, "gram").where(F.struct("key", "start") != F.col("at")).select("key", "start", F.lit(1).alias("n"))
-    return sorted_out.where("not first").select("key", "start", "n").unionByName(searched(content.where("words is not null"), length)).unionByName(late)
 
+def searched(texts: DataFrame, length: int) -> DataFrame:
+    """gram, content, offset, n, earlier: the windows of each text (gram, content, key, start, words) in runs, and whether these begin earlier than here in their shard."""
+    shards = max(1, -(-texts.count() // SHARD))
+    names, types = ["gram", "content", "offset", "n", "earlier"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
 
-def dedup(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_layout: bool = False) -> DataFrame:
-    """docs with its text replaced by the kept words, joined by one space, and n_words, n_removed.
+    def search(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("key", "ascending"), ("start", "ascending")])
+        found = repeats([np.frombuffer(w, np.uint64) for w in shard["words"].to_pylist()], length)
+        out: list[list] = [[] for _ in names]
+        for gram, content, flags in zip(shard["gram"].to_pylist(), shard["content"].to_pylist(), found):
+            edges = [0, *(np.flatnonzero(flags[1:] != flags[:-1]) + 1).tolist(), len(flags)]
+            for a, b in zip(edges, edges[1:]):
+                for column, value in zip(out, (gram, content, a, b - a, bool(flags[a]))):
+                    column.append(value)
+        return pa.table({name: pa.array(v, t) for name, v, t in zip(names, out, types)})
+
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(search, "gram long, content long, offset int, n int, earlier boolean")
+
+
+def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
+    """key, start, n: n windows from word `start` on, each of which also begins earlier; rows: key, text."""
+    places = segments(rows, length)
+    often = written(places.groupBy("gram").count().where("count > 1"), "grams")
+    places = places.join(often.hint("shuffle_hash"), "gram", "left").where("count is not null or loops").select("gram", "content", "key", "start", "n", "loops")
+    places = written(places, "places")
+
+    texts = places.groupBy("gram", "content").agg(F.min(F.struct("key", "start")).alias("first"), F.first("n").alias("n"), F.count("*").alias("places"), F.max("loops").alias("loops"))
+    texts = written(texts, "texts")
+    kinds = texts.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("places").alias("most"))
+    # of an 8-gram with one text in one place only loops can repeat
+    texts = texts.join(kinds, "gram").where("kinds > 1 OR most > 1 OR loops").select("gram", "content", "first.key", "first.start", "n", F.col("kinds").alias("kinds"))
+    texts = written(texts, "competing")
+    some = words_of(rows, texts.where(F.col("kinds") <= MANY), length)
+
+    many = texts.where(F.col("kinds") > MANY)
+    cut = without_single_windows(rows, many, length)
+    # a later place of a whole equal text is cut like its first one
+    also = places.join(many.select("gram", "content", F.col("key").alias("k"), F.col("start").alias("s")), ["gram", "content"]).where("key <> k OR start <> s").select("key", "start", "n")
+    cut = words_of(rows, cut.withColumn("content", F.lit(0).cast("long")), length).withColumn("content", F.xxhash64("words"))
+    cut_places = written(cut, "cut")
+    cut_texts = cut_places.groupBy("gram", "content").agg(F.min_by("words", F.struct("key", "start")).alias("words"), F.min(F.struct("key", "start")).alias("first"))
+    whole = written(some.unionByName(cut_texts.select("gram", "content", "first.key", "first.start", "words")), "content")
+    found = written(searched(whole, length), "found")
+    firsts = whole.select("gram", "content", F.col("key").alias("k"), F.col("start").alias("s"))
+
+    at = places.select("gram", "content", "key", "start").unionByName(cut_places.select("gram", "content", "key", "start"))
+    at = at.join(firsts, ["gram", "content"]).join(found, ["gram", "content"]).where("earlier OR key <> k OR start <> s")
+    return at.select("key", (F.col("start") + F.col("offset")).alias("start"), "n").unionByName(also)
+
+
+def dedup(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_layout: bool = False, counts: bool = True) -> DataFrame:
+    """docs with its text replaced by the kept words, joined by one space, and, if counts, n_words and n_removed (in place of columns of these names).
 
     Windows are judged on the input: the first of equal windows (by id, then place) stays. With keep_layout, a text that loses
     nothing stays as it was. Null and empty texts become empty. Rows with repeated ids count as documents in the order of
     their texts, rows with null ids come last. Other columns go along, whatever their names.
     """
-    numbered = keyed(docs, id_col, text_col)
-    runs = repeated_runs(numbered, length, text_col=text_col)
-    runs = runs.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-    joined = numbered.join(runs, "_key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_runs")
-    place = docs.columns.index(text_col)
+    rows = numbered(docs, id_col, text_col)
+    runs = repeated_runs(rows.select("key", "text"), length)
+    runs = runs.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    joined = rows.join(runs, "key", "left").select("row", "runs")
+    fields = [f for f in docs.schema.fields if not (counts and f.name in ("n_words", "n_removed"))]
+    docs_names, kept_names = docs.columns, [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                column = batch.column(place).cast(pa.large_string())
-                cuts = batch.column(batch.num_columns - 1).to_pylist()
-                kept, words_of, removed = [], [], []
-                for lo, _, data, bounds in texts_of(column):
+                columns = dict(zip(docs_names, batch.column(0).flatten()))
+                cuts = batch.column(1).to_pylist()
+                kept, n_words, removed = [], [], []
+                for lo, _, data, bounds in texts_of(columns[text_col].cast(pa.large_string())):
                     words = Words(data, bounds)
                     raw = data.tobytes()
                     for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
@@ -192,16 +220,17 @@ def dedup(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id", text_col
                             gone[cut["start"]] += 1
                             gone[cut["start"] + cut["n"] + length - 1] -= 1
                         stay = np.cumsum(gone[:-1]) == 0
-                        words_of.append(b - a)
+                        n_words.append(b - a)
                         removed.append(int(b - a - stay.sum()))
                         if keep_layout and not removed[-1]:
                             kept.append(raw[bounds[i] : bounds[i + 1]].decode())
                         else:
                             kept.append(b" ".join([raw[s:e] for s, e in zip(words.begin[a:b][stay].tolist(), words.end[a:b][stay].tolist())]).decode())
-                columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-                columns[place] = pa.array(kept, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(words_of, pa.int64()), pa.array(removed, pa.int64())], names=names)
+                columns[text_col] = pa.array(kept, pa.string())
+                added = [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64())] if counts else []
+                yield pa.RecordBatch.from_arrays([columns[f] for f in kept_names] + added, names=kept_names + ["n_words", "n_removed"] * counts)
 
-    schema = StructType(list(docs.schema.fields)).add("n_words", "long").add("n_removed", "long")
-    names = schema.names
+    schema = StructType(list(fields))
+    if counts:
+        schema = schema.add("n_words", "long").add("n_removed", "long")
     return joined.mapInArrow(run, schema)
