@@ -49,3 +49,18 @@ def test_headers_and_edges(spark):
     assert out[2].response_id == 1 and out[2].headers == {"content-type": "text/html", "cache-control": "new", "date": "d"}
     assert {i: out[i].status for i in (3, 4, 5)} == {3: "missing", 4: "missing", 5: "unchecked"}
     assert revisits.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_ids_and_other_kinds(spark):
+    url = "http://m.ex.com/a.html"
+    rows = [(1, url, 1, "response", '"t"', None, {}, "x"), (2, url, 2, "revisit", '"t"', None, {}, "x"), (2, url, 3, "revisit", '"u"', None, {}, "x"), (3, url, 2, "metadata", '"z"', None, {}, "x"), (4, "http://ex.com/a", 9, "revisit", '"t"', None, {}, "x")]
+    out = sorted((r.record_id, r.response_id is not None, r.status) for r in revisits.resolve(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert out == [(2, False, "changed"), (2, True, "resolved"), (4, False, "missing")]
+
+
+def test_canonical_urls(spark):
+    same = ["http://www.Ex.com:80/a/?b=2&a=1&utm_source=q", "https://ex.com/a?a=1&b=2&sid=9#x", "//ex.com/a;jsessionid=77?a=1&b=2"]
+    other = ["http://m.ex.com/a?a=1&b=2", "http://ex.com/a.html?a=1&b=2", "http://ex.com/a?a=1&b=2&ref=home", "http://ex.com/A?a=1&b=2"]
+    df = spark.createDataFrame([(u,) for u in same + other], "url string")
+    keys = [r[0] for r in df.select(revisits.canonical(df.url)).collect()]
+    assert set(keys[:3]) == {"ex.com/a?a=1&b=2"} and len(set(keys)) == 5

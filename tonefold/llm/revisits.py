@@ -18,30 +18,31 @@ from .common import written
 
 #: Headers of the stored body, which a 304 answer doesn't change.
 BODY_HEADERS = ("content-encoding", "content-length", "content-md5", "content-range", "content-type", "transfer-encoding", "etag-body")
-#: Query parameters that don't choose the page.
-TRACKING = "utm_[a-z]+|ref|fbclid|gclid|sessionid|sid"
+#: Query parameters of trackers and sessions, which don't choose the page.
+TRACKING = "utm_[a-z]+|fbclid|gclid|jsessionid|phpsessid|sessionid|sid"
 
 
-def canonical(url: Column) -> Column:
-    """Lower-case host without www. or m. or a default port, path without a closing slash or .html, query without tracking; no scheme or fragment."""
+def canonical(url: Column, ignored: str = TRACKING) -> Column:
+    """Lower-case host without www. or a default port, path without session or closing slash, parameters in order without `ignored` ones; no scheme or fragment."""
     url = F.regexp_replace(F.trim(url), "#.*$", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?]*)", 1)), "^(www|m)\\.|:(80|443)$", "")
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?]*([^?]*)", 1), "(/index)?\\.html?$", ""), "/+$", "")
-    pairs = F.array_sort(F.filter(F.split(F.regexp_extract(url, "\\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(p).rlike(f"^({TRACKING})(=|$)")))
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?]*)", 1)), "^www\\.|:(80|443)$", "")
+    path = F.regexp_replace(F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?]*([^?]*)", 1), "(;jsessionid=[^/]*)?/*$", "")
+    pairs = F.array_sort(F.filter(F.split(F.regexp_extract(url, "\\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(p).rlike(f"^({ignored})(=|$)")))
     return F.concat(host, path, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""))
 
 
-def resolve(records: DataFrame, *, partitions: int | None = None) -> DataFrame:
+def resolve(records: DataFrame, *, partitions: int | None = None, ignored: str = TRACKING) -> DataFrame:
     """record_id, url_key, response_id, status, headers of each revisit of records.
 
     records: record_id, url, at (time, any order), kind (`response` or `revisit`), etag, modified, headers (map, names in lower case). Where times are
     equal, record ids decide. status: `resolved`; `changed` where validators disagree; `unchecked` where they can't be compared;
     `missing` where no response comes earlier. Only resolved ones have a response_id; headers are the merged ones or else the revisit's
-    own. Records with a null URL, time or id are resolved with nothing. Other columns are left aside.
+    own. Records with a null URL, time or id are resolved with nothing. Records of other kinds are neither resolved nor resolved with. Of records with one id each
+    revisit gives a row; responses of one URL, time and id stand in any order. Other columns are left aside.
     """
     spark = records.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = records.select("record_id", canonical(F.col("url")).alias("url_key"), "at", "kind", "etag", "modified", "headers")
+    wanted = records.select("record_id", canonical(F.col("url"), ignored).alias("url_key"), "at", "kind", "etag", "modified", "headers")
     whole = F.col("url_key").isNotNull() & F.col("at").isNotNull() & F.col("record_id").isNotNull()
     dealt = written(wanted.where(whole).repartitionByRange(n, "url_key", "at", "record_id").withColumn("part", F.spark_partition_id()), "dealt")
 
