@@ -37,9 +37,43 @@ SENTENCES = {
     "cc-by-reference": "licensed under cc by 4 0",
     "cc-by-sa-reference": "licensed under cc by sa 4 0",
     "cc0-reference": "this work is licensed under cc0 1 0",
+    "cc-by-nc-sa-reference": "licensed under cc by nc sa 4 0",
+    "cc-by-nc-nd-reference": "licensed under cc by nc nd 4 0",
+    "cc-by-nd-reference": "licensed under cc by nd 4 0",
+    "cc-by-deed": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-deed": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-deed": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "lgpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "mpl2-subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "eupl-reference": "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl the licence",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-disclaim": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "unlicense-domain": "this is free and unencumbered software released into the public domain",
+    "unlicense-free": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "boost-reference": "distributed under the boost software license version 1 0",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-damages": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "wtfpl-do": "you just do what the fuck you want to",
+    "artistic-reference": "this program is distributed under the artistic license 2 0",
+    "perl-reference": "this library is free software you can redistribute it and or modify it under the same terms as perl itself",
+    "ofl-reference": "this font software is licensed under the sil open font license version 1 1",
+    "postgresql-grant": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "odbl-reference": "this database is made available under the open database license http opendatacommons org licenses odbl 1 0",
+    "mspl-reference": "this software is licensed under the microsoft public license ms pl",
+    "bsd-reference": "use of this source code is governed by a bsd style license that can be found in the license file",
 }
 #: Licences and the order of their sentences.
 RULES = (
+    ("BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising")),
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is", "mit-liability")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
@@ -55,11 +89,43 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-reference",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-reference",)),
     ("CC0-1.0", ("cc0-reference",)),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-subject",)),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("EUPL-1.2", ("eupl-reference",)),
+    ("ISC", ("isc-grant", "isc-disclaim")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant", "isc-disclaim")),
+    ("MIT-0", ("mit-grant", "mit-as-is")),
+    ("Unlicense", ("unlicense-domain", "unlicense-free")),
+    ("Unlicense", ("unlicense-domain",)),
+    ("BSL-1.0", ("boost-reference",)),
+    ("Zlib", ("zlib-as-is", "zlib-damages", "zlib-grant")),
+    ("WTFPL", ("wtfpl-do",)),
+    ("Artistic-2.0", ("artistic-reference",)),
+    ("Artistic-1.0-Perl OR GPL-1.0-or-later", ("perl-reference",)),
+    ("OFL-1.1", ("ofl-reference",)),
+    ("PostgreSQL", ("postgresql-grant",)),
+    ("ODbL-1.0", ("odbl-reference",)),
+    ("MS-PL", ("mspl-reference",)),
+    ("BSD-3-Clause", ("bsd-reference",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-reference",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-reference",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-reference",)),
+    ("CC-BY-4.0", ("cc-by-deed",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-deed",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-deed",)),
 )
 #: Every known sentence holds one of these, so sentences without are passed over.
-ANCHORS = "licens|permission|copyright|redistribut|warrant|software"
+ANCHORS = "licen[cs]|permission|copyright|redistribut|warrant|software|free to|the mpl was|want to"
 #: Applied in turn to lower-case text: words stay, with P where a sentence must end and L where a line or clause ends.
 MARKED = (
+    ("[ \\t\\n]v[.][ \\t\\r\\n]+", " v "),
     ("\\n[^\\p{L}\\p{N}]*\\n", "P"),
     ("[.!?][ \\t\\r\\n\\f\\x0B]+", "P"),
     ("[:;][ \\t\\r\\f\\x0B]+|\\n", "L"),
@@ -85,7 +151,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """id, sentences and licences: identifiers of known sentences in order, licences found in order of rules, each an array.
 
     A sentence may run over lines, as texts may be wrapped, and over ':' and ';', but not over '.', '!' or '?' before
-    white space, nor over a line without letters and digits. Null and empty texts have neither. A row gives a row.
+    white space, nor over a line without letters and digits. Null and empty texts have neither. A row gives a row,
+    however often it is repeated; very long texts are read whole; an empty table gives none.
     """
     df = only(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     none = F.array().cast("array<string>")
