@@ -168,8 +168,8 @@ def min_slack(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]
 def pack(docs: DataFrame, tokenizer_file: str, *, window: int = 2048, end_id: int = 1, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with sequence_id and offset. Each id of each document lies in one piece; sequences hold at most `window` ids.
 
-    Null and empty texts hold the end id alone; repeated and null ids are packed row by row; an empty
-    table gives an empty result. Sequence ids are unique, not dense.
+    Null and empty texts hold the end id alone; repeated and null ids are packed row by row; very long texts are
+    cut into whole windows and one remainder; an empty table gives an empty result. Sequence ids are unique, not dense.
     """
     pieces = written(token_pieces(docs, tokenizer_file, window=window, end_id=end_id, id_col=id_col, text_col=text_col), "pieces")
     row = F.monotonically_increasing_id()
@@ -181,6 +181,7 @@ def pack(docs: DataFrame, tokenizer_file: str, *, window: int = 2048, end_id: in
         return rows.assign(sequence_id=(rows["_group"].to_numpy() << 32) + number, offset=offset).drop(columns="_group")
 
     schema = ", ".join(f"`{c}` long" for c in [*pieces.columns, "sequence_id", "offset"])
-    packed = rest.withColumn("_group", F.pmod(row, F.lit(groups))).groupBy("_group").applyInPandas(place, schema)
+    # by a hash, as row numbers begin anew at a power of two in each partition
+    packed = rest.withColumn("_group", F.pmod(F.xxhash64(row), F.lit(groups))).groupBy("_group").applyInPandas(place, schema)
     full = pieces.where(F.col("length") == window).withColumns({"sequence_id": F.lit(1 << 62) + row, "offset": F.lit(0).cast("long")})
     return packed.unionByName(full)
