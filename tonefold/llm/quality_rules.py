@@ -1,42 +1,51 @@
 """Quality rules: how far a document's characters and common words lie from those of its language.
 
-A document has two histograms: of its characters over classes, and of its words over common words (one cell for all other
-words). A language's reference is the sum of these over all documents of that language. A document is
-rejected if the Jensen-Shannon divergence (base 2, 0 to 1) of either from the reference is too large; the
-square root of the divergence is the distance. Documents with few words aren't judged by it, as their
-histograms say little. If asked for, a document is also rejected that lies nearer to a text without common words than to
-its language. Native DataFrame expressions throughout; one pass over the texts.
+A document has two histograms: of its characters over classes, and of its words over the commonest words of its language, which are counted over all its
+documents (one cell for all other words). A language's reference is the sum of these over all documents of that language. A document is
+rejected if the Jensen-Shannon divergence (base 2, 0 to 1; its square root is the distance) of its characters is too large, or if its words lie nearer to a text
+without common words than to its language: so it is judged by what its language has, whatever share common words have there.
+Documents with few words aren't judged by either, as their histograms say little. Native DataFrame expressions throughout.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import only, written
+from .common import written
 
-#: Words that are common in the languages served.
-COMMON_WORDS = (
-    "the of and to in is that for it with as was on are by this be at from or "
-    "der die das und den von zu mit sich auf für ist im dem nicht ein eine "
-    "le la les de des et un une du que est dans pour qui en sur pas "
-    "el los las del y por con para se una su lo no"
-).split()
-#: Judged from so many words on; divergence allowed for characters and for words.
-MIN_WORDS, CLASS_LIMIT, WORD_LIMIT = 50, 0.10, 0.25
+#: Commonest words of a language that have cells.
+COMMON = 20
+#: Judged from so many words on; divergence allowed for characters.
+MIN_WORDS, CLASS_LIMIT = 80, 0.10
 #: Common words that a language must let one expect in a document before their lack is judged: were words drawn one by one, a document would have none once in 22,000 times.
 TELLING = 10
+#: Divergence in bits, times words, of words drawn from the reference: COMMON / (8 ln 2), as half a chi-squared of COMMON cells spread over the two halves.
+NOISE = COMMON / 5.545177
 #: Roundings of a divergence.
 ROUNDING = 1e-9
-#: References that may be broadcast (a fixed number of cells each); more are joined by shuffling.
-LANGUAGES = 1000
+#: Languages whose words and references may be broadcast (a fixed number of cells each); more are joined by shuffling.
+LANGUAGES = 10_000
 BREAKS = "[\\x20\\x09-\\x0D]"
 #: Classes in the order in which they are taken out of the text.
 CLASSES = (("lower", "[a-z]+"), ("space", "[\\x20\\x09-\\x0D]+"), ("other", "[^\\x00-\\x7F]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+"))
 
 
-def _common() -> list[str]:
-    words = list(dict.fromkeys(COMMON_WORDS))
-    return words + [w.capitalize() for w in words]
+def _small(df: DataFrame) -> DataFrame:
+    """df, a row for each language, marked to be broadcast while these are few."""
+    return F.broadcast(df) if df.count() <= LANGUAGES else df
+
+
+def words(text: Column) -> Column:
+    return F.array_remove(F.split(text, BREAKS + "+"), "")
+
+
+def common_words(texts: DataFrame, size: int = COMMON) -> DataFrame:
+    """ref_lang, common: the `size` commonest words (in lower case, of letters alone) of each language of texts (lang, text); of equally common ones the first by alphabet."""
+    said = texts.select("lang", F.explode(words(F.lower("text"))).alias("word")).where(F.col("word").rlike("^\\p{L}+$"))
+    counts = said.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    return top.groupBy(F.col("lang").alias("ref_lang")).agg(F.array_sort(F.collect_list("word")).alias("common"))
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
@@ -45,46 +54,41 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     df = df.withColumn("mask", F.expr("shiftleft(1L, length(bin(n_words))) - 1L"))
     packed = F.expr("transform(slice(w, 1, cast(greatest(n_words - 2, 0) as int)), (x, i) -> (xxhash64(x, w[i + 1], w[i + 2]) & ~mask) | cast(i as bigint))")
     df = df.withColumn("s", F.sort_array(packed))
-    twice = F.expr("filter(s, (x, i) -> (i > 0 and (get(s, i - 1) & ~mask) = (x & ~mask)) or (i + 1 < size(s) and (get(s, i + 1) & ~mask) = (x & ~mask)))")
+    # neighbours of one hash count if their words are the same: with long texts few bits of the hash are left
+    same = " and ".join(f"get(w, cast(x & mask as int) + {j}) = get(w, cast(get(s, {{0}}) & mask as int) + {j})" for j in range(3))
+    beside = " or ".join(f"(({within}) and (get(s, {at}) & ~mask) = (x & ~mask) and {same.format(at)})" for within, at in (("i > 0", "i - 1"), ("i + 1 < size(s)", "i + 1")))
+    twice = F.expr(f"filter(s, (x, i) -> {beside})")
     df = df.withColumn("twice", twice)
     places = F.expr("sort_array(transform(twice, x -> x & mask))")
     covered = F.expr("aggregate(places, named_struct('last', -3L, 'n', 0L), (a, x) -> named_struct('last', x, 'n', a.n + least(3L, x - a.last)), a -> a.n)")
     return df.withColumn("places", places).withColumn("n_repeat_words", covered).drop("mask", "s", "twice", "places")
 
 
-def row_key(id_col: str, text_col: str, lang_col: str) -> Column:
-    """Equal for rows that are judged alike."""
-    return F.xxhash64(id_col, text_col, lang_col)
-
-
-def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per document its base measures and hist, an array of (key, count): classes of characters, common words."""
-    df = only(docs, id_col, lang_col, text_col).toDF("_id", "_lang", "_text").withColumn("_row", row_key("_id", "_text", "_lang")).withColumn("_text", F.coalesce("_text", F.lit("")))
-    df = df.withColumn("w", F.array_remove(F.split("_text", BREAKS + "+"), "")).withColumn("n_words", F.size("w").cast("long"))
-    lines = F.expr(f"filter(split(_text, '\\n'), x -> x rlike '{BREAKS.replace('[', '[^')}')".replace("\\", "\\\\").replace("\\\\n", "\\n"))
+def measures(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """Per document of rows (id, lang, text, row) its base measures, row, and hist, an array of (key, count): classes of characters, common words."""
+    df = rows.withColumn("text", F.coalesce("text", F.lit(""))).join(_small(common), F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
+    df = df.withColumn("w", words(F.col("text"))).withColumn("n_words", F.size("w").cast("long"))
+    lines = F.expr(f"filter(split(text, '\\n'), x -> x rlike '{BREAKS.replace('[', '[^')}')".replace("\\", "\\\\").replace("\\\\n", "\\n"))
     df = df.withColumn("lines", lines).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     df = _repeat_words(df)
-    df = df.withColumn("r", F.col("_text")).withColumn("chars", F.char_length("r").cast("long")).withColumn("n", F.col("chars"))
+    df = df.withColumn("r", F.col("text")).withColumn("chars", F.char_length("r").cast("long")).withColumn("n", F.col("chars"))
     for name, pattern in CLASSES:
         df = df.withColumn("r", F.regexp_replace("r", pattern, "")).withColumn("left", F.char_length("r").cast("long"))
         df = df.withColumn(f"c_{name}", F.col("n") - F.col("left")).withColumn("n", F.col("left"))
-    df = df.withColumn("found", F.transform(F.filter("w", lambda x: x.isin(_common())), F.lower)).withColumn("kinds", F.array_distinct("found"))
+    df = df.withColumn("found", F.filter(words(F.lower("text")), lambda x: F.array_contains("common", x)))
     cell = lambda key, count: F.struct(F.lit(key).alias("key") if isinstance(key, str) else key.alias("key"), count.cast("long").alias("count"))
-    words = F.transform("kinds", lambda k: cell(F.concat(F.lit("w:"), k), F.size(F.filter("found", lambda x: x == k))))
+    counted = F.transform("common", lambda k: cell(F.concat(F.lit("w:"), k), F.size(F.filter("found", lambda x: x == k))))
     classes = [cell(f"c:{name}", F.col(f"c_{name}")) for name, _ in CLASSES] + [cell("c:mark", F.col("n")), cell("w:", F.col("n_words") - F.size("found"))]
-    hist = F.filter(F.concat(F.array(*classes), words), lambda x: x["count"] > 0)
-    return df.select(
-        F.col("_id").alias(id_col), F.col("_lang").alias(lang_col), "n_words", (F.col("chars") - F.col("c_space")).alias("word_chars"), F.col("c_symbol").alias("n_symbols"),
-        "n_dup_lines", "n_repeat_words", "chars", hist.alias("hist"), F.col("_row").alias("row_key"),
-    )
+    hist = F.filter(F.concat(F.array(*classes), counted), lambda x: x["count"] > 0)
+    return df.select("id", "lang", "row", "n_words", (F.col("chars") - F.col("c_space")).alias("word_chars"), F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "chars", hist.alias("hist"))
 
 
-def references(measured: DataFrame, *, lang_col: str = "lang") -> DataFrame:
-    """Per language a map of key to share, of all characters or all words of its documents. Keys are a fixed set."""
-    cells = measured.select(lang_col, F.explode("hist").alias("cell")).groupBy(lang_col, F.col("cell.key").alias("key")).agg(F.sum("cell.count").alias("count"))
+def references(measured: DataFrame) -> DataFrame:
+    """Per language a map of key to share, of all characters or all words of its documents. A language has a fixed number of keys."""
+    cells = measured.select("lang", F.explode("hist").alias("cell")).groupBy("lang", F.col("cell.key").alias("key")).agg(F.sum("cell.count").alias("count"))
     total = lambda kind: F.sum(F.when(F.col("key").startswith(kind), F.col("count")))
-    per = cells.groupBy(lang_col).agg(F.map_from_entries(F.collect_list(F.struct("key", "count"))).alias("sums"), total("c:").alias("of_c"), total("w:").alias("of_w"))
-    return per.select(F.col(lang_col).alias("_ref_lang"), F.transform_values("sums", lambda k, v: v / F.when(k.startswith("c:"), F.col("of_c")).otherwise(F.col("of_w"))).alias("shares"))
+    per = cells.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("key", "count"))).alias("sums"), total("c:").alias("of_c"), total("w:").alias("of_w"))
+    return per.select(F.col("lang").alias("ref_lang"), F.transform_values("sums", lambda k, v: v / F.when(k.startswith("c:"), F.col("of_c")).otherwise(F.col("of_w"))).alias("shares"))
 
 
 def divergence(hist: str, shares: str, kind: str, total: Column) -> Column:
@@ -102,31 +106,35 @@ def bare_divergence(common: Column) -> Column:
     return F.when(rest <= 0, 1.0).otherwise((F.log2(2 / (1 + rest)) + rest * F.log2(2 * rest / (1 + rest)) + common) / 2)
 
 
-def kept(docs: DataFrame, **columns) -> DataFrame:
-    """docs without the rows that are not kept; those without their language's common words aren't."""
-    key = row_key(columns.get("id_col", "doc_id"), columns.get("text_col", "text"), columns.get("lang_col", "lang"))
-    out = judge(docs, **columns, need_common=True).where("not kept").select(F.col("row_key").alias("_row_key")).distinct()
-    return docs.join(out, key == F.col("_row_key"), "left_anti")
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, min_words: int, class_limit: float, row: Column) -> DataFrame:
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
+    common = written(common_words(rows.select("lang", "text")), "common-words")
+    measured = written(measures(rows, common), "measures")
+    refs = written(references(measured), "references")
+    df = measured.join(_small(refs), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    df = df.withColumn("class_divergence", divergence("hist", "shares", "c:", F.col("chars"))).withColumn("word_divergence", divergence("hist", "shares", "w:", F.col("n_words")))
+    other = F.coalesce(F.get(F.filter("hist", lambda x: x["key"] == "w:"), F.lit(0))["count"], F.lit(0))
+    expected = F.col("n_words") * (1 - F.coalesce(F.try_element_at("shares", F.lit("w:")), F.lit(0.0)))
+    # words drawn from the language itself have about this divergence: one part for each cell
+    drawn = NOISE / F.col("n_words")
+    nearer = (expected < TELLING) | (F.col("word_divergence") <= bare_divergence(1 - other / F.col("n_words")) + drawn + ROUNDING)
+    fits = (F.col("n_words") < min_words) | ((F.col("class_divergence") <= class_limit) & nearer)
+    return df.withColumn("kept", ~F.col("base_failed") & fits)
+
 
+def kept(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, class_limit: float = CLASS_LIMIT) -> DataFrame:
+    """The rows of docs that are kept, with all their columns, whatever the names of these."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(docs, id_col, text_col, lang_col, min_words, class_limit, row).where("kept").select("row.*")
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, need_common: bool = False) -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_divergence, word_divergence, kept, row_key; a row per row.
+
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, class_limit: float = CLASS_LIMIT) -> DataFrame:
+    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_divergence, word_divergence, kept; a row per row.
 
     Null and empty texts have no words, so they fail the base rule. Documents without a language share one reference.
-    Repeated ids and rows are judged one by one. word_limit alone lets texts without common words pass where these are under
-    two fifths of a language's words; need_common rejects them, as it does texts in another language.
+    Repeated ids and rows are judged one by one, very long texts whole. Other columns are left aside.
     """
-    measured = written(measures(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), "measures")
-    refs = references(measured, lang_col=lang_col)
-    refs = written(refs, "references")
-    refs = F.broadcast(refs) if refs.count() <= LANGUAGES else refs
-    df = measured.join(refs, F.col(lang_col).eqNullSafe(F.col("_ref_lang")), "left")
-    df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    df = df.withColumn("class_divergence", divergence("hist", "shares", "c:", F.col("chars"))).withColumn("word_divergence", divergence("hist", "shares", "w:", F.col("n_words")))
-    fits = (F.col("n_words") < min_words) | ((F.col("class_divergence") <= class_limit) & (F.col("word_divergence") <= word_limit))
-    if need_common:
-        other = F.coalesce(F.get(F.filter("hist", lambda x: x["key"] == "w:"), F.lit(0))["count"], F.lit(0))
-        expected = F.col("n_words") * (1 - F.coalesce(F.try_element_at("shares", F.lit("w:")), F.lit(0.0)))
-        bare = bare_divergence(1 - other / F.col("n_words"))
-        fits &= (F.col("n_words") < min_words) | (expected < TELLING) | (F.col("word_divergence") <= bare + ROUNDING)
-    return df.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("class_divergence", 6).alias("class_divergence"), F.round("word_divergence", 6).alias("word_divergence"), (~F.col("base_failed") & fits).alias("kept"), "row_key")
+    df = _judged(docs, id_col, text_col, lang_col, min_words, class_limit, F.lit(None).cast("int"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return df.select(F.col("id").alias(id_col), *names, F.round("class_divergence", 6).alias("class_divergence"), F.round("word_divergence", 6).alias("word_divergence"), "kept")
