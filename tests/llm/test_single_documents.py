@@ -120,7 +120,7 @@ def test_junk_goes_and_prose_stays(spark):
 def test_containment(spark):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(300)]
-    items = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 40))) for _ in range(30)] + ["", None, "!!"]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 40))) for _ in range(30)] + ["", None, "!!", "alpha beta gamma", "w1 w2", "w7"]
     texts = [None, ""]
     for _ in range(120):
         words = rng.choices(vocabulary, k=rng.randint(0, 200))
@@ -131,14 +131,23 @@ def test_containment(spark):
             at = rng.randint(0, len(words))
             words[at:at] = item[cut:]
         texts.append(rng.choice([" ", "\n", ", "]).join(words).upper())
+    texts += ["alpha beta gamma", "before " * 50 + "Alpha, beta GAMMA" + " after" * 50, "alpha gamma beta"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
 
-    def shingles(text):
+    def shingles(text, k=5):
         words = re.findall(r"[^\W_]+", (text or "").lower())
-        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
-
-    expected = sorted((d, i, len(shingles(y)), len(shingles(x) & shingles(y))) for d, x in enumerate(texts) for i, y in enumerate(items) if shingles(y) and 100 * len(shingles(x) & shingles(y)) >= 80 * len(shingles(y)))
-    assert sorted(map(tuple, containment.contained(frame(spark, texts), bench).collect())) == expected and expected
+        return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+    expected = []
+    for i, item in enumerate(items):
+        n = len(re.findall(r"[^\W_]+", item or ""))
+        wanted = shingles(item, min(n, 5)) if n else set()
+        for d, text in enumerate(texts):
+            both = len(wanted & shingles(text, min(n, 5))) if wanted else 0
+            if wanted and 100 * both >= 80 * len(wanted):
+                expected.append((d, i, len(wanted), both))
+    assert sorted(map(tuple, containment.contained(frame(spark, texts), bench).collect())) == sorted(expected)
+    assert {(122, 33), (123, 33)} <= {e[:2] for e in expected} and (124, 33) not in {e[:2] for e in expected}
     assert containment.contained(frame(spark, []), bench).count() == 0
     assert containment.contained(frame(spark, texts), bench.where("false")).count() == 0
 
@@ -170,6 +179,38 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_against_a_plain_version(spark):
+    rng = random.Random(12)
+    langs = {lang: ["".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(12)] for lang in "abc"}
+    texts = [(lang, " ".join(rng.choices(langs[lang], k=25))) for lang in "abc" for _ in range(20)]
+    sets = [set(t.encode()) | {t.encode()[i : i + 2] for i in range(len(t) - 1)} | {t.encode()[i : i + 3] for i in range(len(t) - 2)} for _, t in texts]
+    marks = [0, 1, 20, 21, 40, 41]
+    vocabulary = set.union(*[sets[i] for i in marks])
+    plain = np.array([[len(s & sets[m]) / np.sqrt(len(s & vocabulary) * len(sets[m])) for m in marks] for s in sets])
+    model = language_id.Landmarks([language_id.grams(texts[m][1]) for m in marks])
+    k = model.kernel([t for _, t in texts])
+    assert np.allclose(k, plain, atol=1e-5)
+    fitted = language_id.KernelClassifier(model, model.marks.T @ model.marks, k, [lang for lang, _ in texts])
+    # ridge by least squares on the features with rows of the penalty below
+    values, vectors = np.linalg.eigh(plain[marks])
+    phi = plain @ (vectors / np.sqrt(values))
+    y = np.array([[float(lang == x) for x in "abc"] for lang, _ in texts])
+    rows = np.vstack([phi / np.sqrt(20), np.sqrt(1e-2 / 6) * np.eye(6)])
+    beta = np.linalg.lstsq(rows, np.vstack([y / np.sqrt(20), np.zeros((6, 3))]), rcond=None)[0]
+    assert np.allclose(fitted.scores([t for _, t in texts]), phi @ beta, atol=1e-3)
+
+
+def test_seventy_languages(spark):
+    rng = random.Random(13)
+    letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0xE0, 0xF6)]
+    words = {f"l{i}": ["".join(rng.choices(rng.sample(letters, 6), k=5)) for _ in range(15)] for i in range(70)}
+    rows = [(100 * i + j, " ".join(rng.choices(words[f"l{i}"], k=20)), f"l{i}", "s", 0, "c") for i in range(70) for j in range(12)]
+    rows += [(5, rows[0][1], "l0", "s", 0, "c"), (5, rows[0][1], "l0", "s", 0, "c"), (9000, "x1 " * 100_000, None, "s", 0, "c")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = language_id.identify(docs, language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    assert {r.lang_pred for r in out} == set(words) and sum(r.lang_pred == r.lang for r in out) >= 0.97 * len(out)
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows, labels = [], []
@@ -191,6 +232,32 @@ def test_toxicity(spark):
     assert toxicity.score(docs.where("false"), marks).count() == 0
 
 
+def test_toxic_features_by_hand():
+    text = "You SHOUT loud! you gr1n at blorfing? a blorf sooo; near 42."
+    # words: you shout loud you gr n at blorfing a blorf sooo near
+    found = dict(zip(toxicity.FEATURES, toxicity.features(text, {"blorf": 4.0, "blor-": 3.0})))
+    n, chars = 12, len(text)
+    expected = {
+        "log_words": np.log1p(n), "lexicon_density": 2 / n, "lexicon_weight": 7 / n, "lexicon_top": 4.0, "lexicon_distinct": 2.0, "lexicon_hits": np.log1p(2), "beginning_density": 1 / n,
+        "second_person_near": 1 / n, "second_person_density": 2 / n, "capitals": 5 / chars, "shouted_words": 1 / n, "exclaims": 1 / n, "questions": 1 / n, "punctuation": 2 / n,
+        "obfuscated": 1 / n, "stretched": 1 / n, "digits": 3 / chars,
+    }
+    assert found == pytest.approx(expected) and list(found) == list(expected)
+    assert toxicity.features("", {}) == [0.0] * 17
+
+
+def test_toxicity_of_odd_labels(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choices("stone river walk green".split(), k=30)) + " blorf" * (i % 4 == 0)) for i in range(400)]
+    rows += [(None, "a text"), (7, "again"), (401, "word " * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = [(i, int(i % 4 == 0)) for i in range(400)]
+    odd = [(i, 0) for i in range(0, 400, 8)] + [(i, None) for i in range(400)] + [(None, 1), (None, 0)]
+    scores = lambda labels: {(r.doc_id, r.held_out, round(r.score, 9)) for r in toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    first = scores(once)
+    assert first == scores(once + odd) and len({d for d, _, _ in first}) == 402
+
+
 def test_toxicity_of_long_texts(spark):
     lexicon = {"blorf": 4.0, "snark-": 3.0}
     text = "You walked past the BLORF house, snarkling! 7 rivers? Sooo gr3en today; "
@@ -272,13 +339,33 @@ def test_genuine_licence_notices(spark):
     assert rows[1].sentences == ["gpl-free", "gpl-hope", "gpl-copy"]
     assert all(r.sentences == ["apache-header", "apache-compliance", "apache-copy", "apache-as-is"] for r in rows[2:5])
     assert rows[5].sentences == ["cc-by-reference", "mit-grant", "mit-notice", "mit-as-is", "mit-liability"]
+    more = [
+        "Released under the MIT License.\n\n" + "\n".join(re.findall(".{1,60}(?: |$)", ". ".join(licence_scan.SENTENCES[i] for i in ("bsd-redistribution", "bsd-source", "bsd-binary")) + ".")),
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n",
+        "This is free and unencumbered software released into the public domain.\n",
+        "Distributed under the Boost Software License, Version 1.0.",
+    ]
+    assert [r.licences for r in licence_scan.scan(frame(spark, more)).orderBy("doc_id").collect()] == [["BSD-2-Clause", "MIT"], ["MPL-2.0"], ["Unlicense"], ["BSL-1.0"]]
+    assert len({name for name, _ in licence_scan.RULES}) >= 30
+    # the SQL reads the same
+    import duckdb
+
+    from tonefold.llm import sql
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate([*texts, *more, None, ""])))
+    ours = [(r.doc_id, ",".join(r.sentences), ",".join(r.licences)) for r in licence_scan.scan(frame(spark, [*texts, *more, None, ""])).collect()]
+    assert sorted(ours) == sorted((a, c, d) for a, _, c, d in con.sql(sql.licences()).fetchall())
+    again = frame(spark, texts[:1] * 2).union(frame(spark, texts[:1]))
+    assert licence_scan.scan(again).count() == 3 and licence_scan.scan(frame(spark, [])).count() == 0
     lines = "\u4e00\n" * 20000 + "licence\n" + "- \n" * 20000 + "x; " * 20000
     assert [r.licences for r in licence_scan.scan(frame(spark, [lines])).collect()] == [[]]
 
 
 def test_texts_without_their_languages_words_go(spark):
     rng = random.Random(11)
-    names = [f"n{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    names = [f"n{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)]  # so many that none of them is common
     made = lambda words, common, n: " ".join(rng.choice(words) if rng.random() < common else rng.choice(names) for _ in range(n))
     english, german = "the of and to is that for with".split(), "der die das und den von zu mit".split()
     rows = [(i, made(english, 0.21, 60 + i), "en") for i in range(200)] + [(i, made(german, 0.21, 60 + i), "de") for i in range(200, 400)]
@@ -286,5 +373,17 @@ def test_texts_without_their_languages_words_go(spark):
     bad = [(1000, made([], 0, 120), "en"), (1001, made(german, 0.21, 120), "en"), (1002, made(english, 0.21, 300), "de"), (1003, made(english, 0.02, 300), "en")]
     docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in quality_rules.kept(docs).collect()) == list(range(480))
-    limited = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
-    assert limited[1000].kept and limited[1000].word_divergence < 0.13
+    judged = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert [i for i, r in judged.items() if not r.kept] == sorted(r[0] for r in bad) or {i for i, r in judged.items() if not r.kept} == {r[0] for r in bad}
+
+
+def test_quality_of_odd_rows(spark):
+    words = [f"w{i}" for i in range(70_000)]
+    long = " ".join(words + words[:3] + ["x"] * 2)
+    names = "doc_id long, text string, lang string, _row_key string, row string, id long, w string, common string, kept string"
+    rows = [(1, long), (1, long), (None, "a b c " * 40), (2, None), (3, "")]
+    docs = spark.createDataFrame([(d, t, None, *("c", "c", 1, "c", "c", "c")) for d, t in rows], names)
+    found = sorted((r.doc_id or 0, r.n_words, r.n_repeat_words, r.base_failed) for r in quality_rules.judge(docs).collect())
+    assert found == [(0, 120, 120, True), (1, 70_005, 6, False), (1, 70_005, 6, False), (2, 0, 0, True), (3, 0, 0, True)]
+    left = quality_rules.kept(docs)
+    assert left.columns == docs.columns and {r.kept for r in left.collect()} <= {"c"}

@@ -19,12 +19,13 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.prefix_token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), budgets=(TOKEN_LIMIT,), keep_prefixes=False)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), F.col(f"fit_{TOKEN_LIMIT}").alias("chars_within_limit"))
+    counts = token_counts.prefix_token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), budgets=(TOKEN_LIMIT,))
+    digest = F.xxhash64("prefix_counts").alias("prefix_digest")  # of the counts at all prefixes
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), F.col(f"fit_{TOKEN_LIMIT}").alias("chars_within_limit"), digest)
 
 
 def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("row_key")
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

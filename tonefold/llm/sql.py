@@ -7,12 +7,7 @@ from . import licence_scan, quality_rules, revisits
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 
-def _quoted(values) -> str:
-    return ", ".join("'" + v + "'" for v in values)
-
-
 def quality() -> str:
-    common = _quoted(quality_rules._common())
     classes = {"lower": "[^a-z]", "space": r"[^\x20\x09-\x0D]", "other": r"[\x00-\x7F]", "upper": "[^A-Z]", "digit": "[^0-9]", "symbol": "[^#*$%&|<>]", "mark": r"[a-zA-Z0-9#*$%&|<>\x20\x09-\x0D]|[^\x00-\x7F]"}
     cells = " UNION ALL ".join(f"SELECT r, lang, 'c:{name}' AS key, length(regexp_replace(text, '{drop}', '', 'g')) AS n FROM d" for name, drop in classes.items())
     return rf"""
@@ -25,7 +20,9 @@ base AS (
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(n, 0) AS n_repeat_words, length(text) AS chars
   FROM w LEFT JOIN covered USING (r)),
-found AS (SELECT r, lang, 'w:' || lower(x) AS key, count(*) AS n FROM (SELECT r, lang, unnest(ws) AS x FROM w) WHERE x IN ({common}) GROUP BY ALL),
+said AS (SELECT r, lang, unnest({_WORDS.format("lower(text)")}) AS x FROM d),
+common AS (SELECT lang, x FROM (SELECT lang, x, count(*) AS n FROM said WHERE regexp_matches(x, '^\p{{L}}+$') GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) <= {quality_rules.COMMON}),
+found AS (SELECT s.r, s.lang, 'w:' || s.x AS key, count(*) AS n FROM said s JOIN common c ON s.x = c.x AND s.lang IS NOT DISTINCT FROM c.lang GROUP BY ALL),
 rest AS (SELECT b.r, b.lang, 'w:' AS key, n_words - coalesce(sum(n), 0) AS n FROM base b LEFT JOIN found f ON b.r = f.r GROUP BY b.r, b.lang, n_words),
 cells AS (SELECT * FROM ({cells} UNION ALL SELECT * FROM found UNION ALL SELECT * FROM rest) WHERE n > 0),
 sums AS (SELECT lang, key, sum(n) AS n, left(key, 1) AS kind FROM cells GROUP BY ALL),
@@ -33,14 +30,17 @@ shares AS (SELECT lang, key, n / sum(n) OVER (PARTITION BY lang, kind) AS q FROM
 parts AS (
   SELECT c.r, left(c.key, 1) AS kind, n / CASE WHEN left(c.key, 1) = 'c' THEN chars ELSE n_words END AS p, q
   FROM cells c JOIN base b ON c.r = b.r JOIN shares s ON c.key = s.key AND c.lang IS NOT DISTINCT FROM s.lang),
+plain AS (SELECT lang, sum(n) FILTER (WHERE key = 'w:') / sum(n) AS q FROM sums WHERE kind = 'w' GROUP BY lang),
 js AS (SELECT r, kind, 0.5 + sum((p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q)) - q) / 2) AS js FROM parts GROUP BY r, kind),
 judged AS (
-  SELECT b.*, CASE WHEN chars > 0 THEN c.js ELSE 0 END AS cjs, CASE WHEN n_words > 0 THEN w.js ELSE 0 END AS wjs, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
-  FROM base b LEFT JOIN js c ON c.r = b.r AND c.kind = 'c' LEFT JOIN js w ON w.r = b.r AND w.kind = 'w')
+  SELECT b.*, CASE WHEN chars > 0 THEN c.js ELSE 0 END AS cjs, CASE WHEN n_words > 0 THEN w.js ELSE 0 END AS wjs, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    coalesce(o.n, 0) / n_words AS own, n_words * (1 - coalesce(p.q, 0)) AS expected
+  FROM base b LEFT JOIN js c ON c.r = b.r AND c.kind = 'c' LEFT JOIN js w ON w.r = b.r AND w.kind = 'w' LEFT JOIN rest o ON o.r = b.r LEFT JOIN plain p ON p.lang IS NOT DISTINCT FROM b.lang),
+bared AS (SELECT *, CASE WHEN own > 0 THEN (log2(2 / (1 + own)) + own * log2(2 * own / (1 + own)) + 1 - own) / 2 ELSE 1 END AS bare FROM judged)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, round(cjs, 6) AS class_divergence, round(wjs, 6) AS word_divergence,
-  NOT base_failed AND (n_words < {quality_rules.MIN_WORDS} OR (cjs <= {quality_rules.CLASS_LIMIT} AND wjs <= {quality_rules.WORD_LIMIT})) AS kept
-FROM judged"""
+  NOT base_failed AND (n_words < {quality_rules.MIN_WORDS} OR (cjs <= {quality_rules.CLASS_LIMIT} AND (expected < {quality_rules.TELLING} OR wjs <= bare + {quality_rules.NOISE} / n_words + {quality_rules.ROUNDING}))) AS kept
+FROM bared"""
 
 
 def jaccard(k: int, percent: int) -> str:
@@ -72,17 +72,15 @@ FROM w LEFT JOIN cut ON w.doc_id = cut.doc_id"""
 
 def licences() -> str:
     case = "CASE s " + " ".join(f"WHEN '{text}' THEN '{name}'" for name, text in licence_scan.SENTENCES.items()) + " END"
-
-    def known(text: str) -> str:
-        lines = rf"string_split(regexp_replace({text}, '([.!?;:])[ \t\r\f\x0B]+', '\1' || chr(10), 'g'), chr(10))"
-        some = f"list_filter(list_transform({lines}, lambda s: lower(s)), lambda s: regexp_matches(s, '{licence_scan.ANCHORS}'))"
-        plain = f"list_transform({some}, lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
-        return f"list_filter(list_transform({plain}, lambda s: {case}), lambda x: x IS NOT NULL)"
-
-    steps = ["a AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)", f"b AS (SELECT doc_id, text, {known('text')} AS ids FROM a)"]
-    wrapped = known(r"regexp_replace(text, '[ \t\r]*\n', ' ', 'g')")
-    steps.append(f"c AS (SELECT doc_id, CASE WHEN len(ids) > 0 THEN ids ELSE {wrapped} END AS ids FROM b)")
-    steps.append("s0 AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS rest, CAST([] AS VARCHAR[]) AS found FROM c)")
+    plain = "lower(text)"
+    for pattern, mark in licence_scan.MARKED:
+        plain = f"regexp_replace({plain}, '{pattern}', '{mark}', 'g')"
+    # each mark twice: one ends a sentence, one begins the next
+    plain = f"replace(replace(trim({plain}), 'L', 'LL'), 'P', 'PP')"
+    sentences = "|".join(sorted(licence_scan.SENTENCES.values(), key=len, reverse=True)).replace(" ", "(?: |LL)")
+    found = f"list_transform(regexp_extract_all({plain}, '(?:^|[LP])({sentences})(?:[LP]|$)', 1), lambda s: replace(s, 'LL', ' '))"
+    steps = ["a AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)", f"b AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{licence_scan.ANCHORS}') THEN list_transform({found}, lambda s: {case}) ELSE [] END AS ids FROM a)"]
+    steps.append("s0 AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS rest, CAST([] AS VARCHAR[]) AS found FROM b)")
     for i, (licence, ids) in enumerate(licence_scan.RULES):
         rule = " " + "  ".join(ids) + " "
         steps.append(f"s{i + 1} AS (SELECT doc_id, ids, replace(rest, '{rule}', ' ; ') AS rest, CASE WHEN contains(rest, '{rule}') AND NOT list_contains(found, '{licence}') THEN list_append(found, '{licence}') ELSE found END AS found FROM s{i})")
@@ -90,21 +88,23 @@ def licences() -> str:
 
 
 def containment(k: int, percent: int) -> str:
-    shingles = "SELECT DISTINCT r, array_to_string(ws[i : i + {0}], ' ') AS sh FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - {0}, least(len(ws), 1)) + 1)) AS i FROM {1})"
+    runs = "SELECT r, {0} AS k, array_to_string(ws[i : i + {0} - 1], ' ') AS sh FROM (SELECT r, ws, unnest(range(1, len(ws) - {0} + 2)) AS i FROM {1} WHERE {2})"
+    items = " UNION ".join(runs.format(j, "b", f"len(ws) = {j}" if j < k else f"len(ws) >= {k}") for j in range(1, k + 1))
+    held = " UNION ".join(runs.format(j, "d", f"{j} IN (SELECT k FROM bs)") for j in range(1, k + 1))
     words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 b AS (SELECT row_number() OVER () AS r, item_id, {words} FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-ds AS ({shingles.format(k - 1, "d")}), bs AS ({shingles.format(k - 1, "b")}),
+bs AS ({items}), ds AS ({held}),
 n AS (SELECT r, count(*) AS n FROM bs GROUP BY r),
-shared AS (SELECT ds.r AS dr, bs.r AS br, count(*) AS c FROM ds JOIN bs ON ds.sh = bs.sh GROUP BY ds.r, bs.r)
+shared AS (SELECT ds.r AS dr, bs.r AS br, count(*) AS c FROM ds JOIN bs ON ds.k = bs.k AND ds.sh = bs.sh GROUP BY ds.r, bs.r)
 SELECT doc_id, item_id, n AS n_shingles, c AS n_shared FROM shared JOIN d ON d.r = dr JOIN b ON b.r = br JOIN n ON n.r = br WHERE 100 * c >= {percent} * n"""
 
 
 def not_modified() -> str:
     url = "regexp_replace(trim(url), '#.*$', '')"
-    host = rf"regexp_replace(regexp_replace(lower(regexp_extract({url}, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '')"
-    path = rf"regexp_replace(regexp_replace(regexp_extract({url}, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?]*([^?]*)', 1), '(/index)?\.html?$', ''), '/+$', '')"
+    host = rf"regexp_replace(regexp_replace(lower(regexp_extract({url}, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')"
+    path = rf"regexp_replace(regexp_extract({url}, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?]*([^?]*)', 1), '(;jsessionid=[^/]*)?/*$', '')"
     pairs = rf"list_sort(list_filter(string_split(regexp_extract({url}, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^({revisits.TRACKING})(=|$)')))"
     return f"""
 WITH p AS (

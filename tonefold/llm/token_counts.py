@@ -129,17 +129,15 @@ def prefix_token_counts(docs: DataFrame, model_file: str, *, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model_file)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                rows: list[list] = [[] for _ in schema]
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
                 texts = [text or "" for text in batch.column(1).to_pylist()]
-                for text, counts in zip(texts, count.many(texts)):
-                    rest = [len(text.encode()), int(counts[-1])] + [counts] * keep_prefixes
-                    for b in budgets:
-                        rest.append(len(counts) - 1 - int(np.argmax(counts[::-1] <= b)))
-                    for out, value in zip(rows[1:], rest):
-                        out.append(value)
-                columns = [batch.column(0).cast(pa.int64()), *(pa.array(v, f.type) for v, f in zip(rows[1:], list(schema)[1:]))]
+                counted = list(count.many(texts))
+                columns = [batch.column(0).cast(pa.int64()), pa.array([len(text.encode()) for text in texts], pa.int64()), pa.array([int(c[-1]) for c in counted], pa.int64())]
+                if keep_prefixes:
+                    ends = np.cumsum([0, *map(len, counted)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(counted).astype(np.int32, copy=False))))
+                columns += [pa.array([len(c) - 1 - int(np.argmax(c[::-1] <= b)) for c in counted], pa.int64()) for b in budgets]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     types = {pa.int64(): "long"}
