@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tonefold.llm import containment, jaccard_join, packing, quality_rules, substring_dedup
-from tonefold.llm.common import table, written
+from tonefold.llm.common import dropped, numbered, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,23 +18,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id."""
-    keyed = substring_dedup.keyed(docs, "doc_id", "text")
-    groups = jaccard_join.similar(keyed.select("_key", "text"), k=5, percent=80, id_col="_key")
-    first = groups.where("_key = component_id").select("_key")
-    return keyed.join(first, "_key", "left_semi").select(docs.columns)
+    rows = numbered(docs, "doc_id", "text")
+    groups = jaccard_join.similar(rows.select("key", "text"), k=5, percent=80, id_col="key")
+    return rows.join(groups.where("key = component_id").select("key"), "key", "left_semi").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 20 words or more that stand in an earlier one."""
-    out = substring_dedup.dedup(docs, length=20, keep_layout=True)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    out = substring_dedup.dedup(docs, length=20, keep_layout=True, counts=False)
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    keyed = substring_dedup.keyed(docs, "doc_id", "text")
-    leaks = containment.contained(keyed.select("_key", "text"), table(spark, sf_dir, "benchmark"), id_col="_key").select("_key").distinct()
-    return keyed.join(leaks, "_key", "left_anti").select(docs.columns)
+    rows = numbered(docs, "doc_id", "text")
+    leaks = containment.contained(rows.select("key", "text"), table(spark, sf_dir, "benchmark"), id_col="key").select("key").distinct()
+    return rows.join(leaks, "key", "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +51,14 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can't express the packing of the last stage; tests hold each stage against a brute-force version.
+#: SQL can't express the packing of the last stage; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if i:  # not the table itself
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
