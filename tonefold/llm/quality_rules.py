@@ -75,7 +75,7 @@ def measures(rows: DataFrame, common: DataFrame) -> DataFrame:
     for name, pattern in CLASSES:
         df = df.withColumn("r", F.regexp_replace("r", pattern, "")).withColumn("left", F.char_length("r").cast("long"))
         df = df.withColumn(f"c_{name}", F.col("n") - F.col("left")).withColumn("n", F.col("left"))
-    df = df.withColumn("found", F.filter(words(F.lower("text")), lambda x: F.array_contains("common", x)))
+    df = df.withColumn("found", F.filter(F.transform("w", F.lower), lambda x: F.array_contains("common", x)))
     cell = lambda key, count: F.struct(F.lit(key).alias("key") if isinstance(key, str) else key.alias("key"), count.cast("long").alias("count"))
     counted = F.transform("common", lambda k: cell(F.concat(F.lit("w:"), k), F.size(F.filter("found", lambda x: x == k))))
     classes = [cell(f"c:{name}", F.col(f"c_{name}")) for name, _ in CLASSES] + [cell("c:mark", F.col("n")), cell("w:", F.col("n_words") - F.size("found"))]
