@@ -46,7 +46,7 @@ iv AS (
   FROM nb JOIN ends ON nb.take = ends.take WHERE kind = 'note_on'),
 ro AS (
   SELECT take, seq, CASE WHEN kind = 'note_on' THEN 'interval_on' WHEN pk = 'note_on' THEN 'interval_off' ELSE 'orphan_note_off' END AS role FROM nb
-  UNION ALL SELECT take, seq, CASE kind WHEN 'control' THEN 'pedal' ELSE 'other' END FROM m WHERE kind NOT IN ('note_on', 'note_off')),
+  UNION ALL SELECT take, seq, CASE WHEN kind = 'control' AND note = 64 THEN 'pedal' WHEN kind IN ('control', 'undecodable') THEN kind ELSE 'other' END FROM m WHERE kind NOT IN ('note_on', 'note_off')),
 x AS (SELECT take, note, ns_on AS a, ns_off AS b, CAST(velocity_on AS BIGINT) AS weight FROM iv)"""
 _LEVELS = f"""{_PAIRED},
 mv AS (SELECT take, t, SUM(d) AS d FROM (SELECT take, a AS t, 1 AS d FROM x UNION ALL SELECT take, b, -1 FROM x) GROUP BY take, t),
@@ -57,10 +57,16 @@ i AS (SELECT *, SUM(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER
 u AS (SELECT take, MIN(a) AS a, MAX(b) AS b FROM i GROUP BY take, island)"""
 
 
-@query(f"{_LEVELS} SELECT take, CAST(level AS BIGINT) AS level, CAST(SUM(until - t) AS BIGINT) AS dwell, COUNT(*) AS spans FROM lv WHERE until > t GROUP BY take, level")
+@query(f"""{_PAIRED},
+mv AS (SELECT take, t, SUM(d) AS d, MAX(u) AS turns FROM (SELECT take, a AS t, 1 AS d, 1 AS u FROM x UNION ALL SELECT take, b, -1, 1 FROM x
+  UNION ALL SELECT take, start_ns, 0, 0 FROM ends UNION ALL SELECT take, end_ns, 0, 0 FROM ends) GROUP BY take, t),
+lv AS (SELECT take, t, turns, SUM(d) OVER w AS level, LEAD(t) OVER w AS until FROM mv WINDOW w AS (PARTITION BY take ORDER BY t)),
+dw AS (SELECT take, CAST(level AS BIGINT) AS level, CAST(SUM(COALESCE(until - t, 0)) AS BIGINT) AS dwell, CAST(SUM(turns) AS BIGINT) AS spans FROM lv GROUP BY take, level)
+SELECT *, ROUND(CASE WHEN SUM(dwell) OVER (PARTITION BY take) > 0 THEN dwell / SUM(dwell) OVER (PARTITION BY take) ELSE 0 END, 6) AS fraction FROM dw""")
 def polyphony(spark, sf_dir):
-    """Time that each take spends at each level."""
-    return intervals.dwell(intervals.levels(_weighted(spark, sf_dir), "take"), "take").withColumn("level", F.col("level").cast("long"))
+    """Time that each take spends at each level, from its first message to its last."""
+    spans = _messages(spark, sf_dir).groupBy("take").agg(F.min("ns").alias("start"), F.max("ns").alias("stop"))
+    return intervals.dwell(intervals.levels(_weighted(spark, sf_dir), "take", spans=spans), "take").withColumn("level", F.col("level").cast("long"))
 
 
 @query(f"{_PAIRED} SELECT * FROM iv")
@@ -83,7 +89,7 @@ def census(spark, sf_dir):
 d AS (
   SELECT 'orphan_note_off' AS cls FROM ro WHERE role = 'orphan_note_off' UNION ALL SELECT closure FROM iv WHERE closure <> 'note_off'
   UNION ALL SELECT 'implausible_duration' FROM iv WHERE closure <> 'end_of_take' AND ns_off - ns_on >= {pairing.IMPLAUSIBLE_NS}
-  UNION ALL SELECT 'non_monotone_timestamp' FROM (SELECT ns, MAX(ns) OVER (PARTITION BY take ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM m) WHERE ns < reached)
+  UNION ALL SELECT kind FROM m WHERE kind = 'undecodable' UNION ALL SELECT 'non_monotone_timestamp' FROM (SELECT ns, MAX(ns) OVER (PARTITION BY take ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM m) WHERE ns < reached)
 SELECT c.cls, COUNT(d.cls) AS n FROM (SELECT unnest({list(pairing.DEFECTS)}) AS cls) c LEFT JOIN d ON c.cls = d.cls GROUP BY c.cls""")
 def defects(spark, sf_dir):
     return pairing.defect_counts(_messages(spark, sf_dir))
@@ -147,7 +153,7 @@ def overlapping_notes(spark, sf_dir):
     return intervals.overlaps(_weighted(spark, sf_dir), ["take", "note"])
 
 
-_PEDAL = """c AS (SELECT take, seq, ns, velocity >= 64 AS down, COALESCE(LAG(velocity >= 64) OVER (PARTITION BY take ORDER BY seq), FALSE) AS was FROM m WHERE kind = 'control'),
+_PEDAL = """c AS (SELECT take, seq, ns, velocity >= 64 AS down, COALESCE(LAG(velocity >= 64) OVER (PARTITION BY take ORDER BY seq), FALSE) AS was FROM m WHERE kind = 'control' AND note = 64),
 tn AS (SELECT take, ns, down, LEAD(ns) OVER (PARTITION BY take ORDER BY seq) AS nxt FROM c WHERE down <> was),
 pd AS (SELECT tn.take, ns AS pa, COALESCE(nxt, end_ns) AS pb FROM tn JOIN ends ON tn.take = ends.take WHERE down)"""
 
@@ -396,13 +402,15 @@ def latest_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("place", F.row_number().over(order)).where("place = 1").select("conv_id", "role", "turn", "text")
 
 
-@query()
+@query(f"""WITH {MESSAGES_SQL} SELECT take, ROW_NUMBER() OVER (PARTITION BY take ORDER BY seq) - 1 AS seq, seq AS packet_seq, ns, CASE WHEN kind = 'other' THEN 'system' ELSE kind END AS kind,
+  CASE WHEN kind NOT IN ('other', 'undecodable') THEN 0 END AS channel, CASE WHEN kind NOT IN ('other', 'undecodable') THEN note END AS note, CASE WHEN kind NOT IN ('other', 'undecodable') THEN velocity END AS velocity FROM m""")
 def framed_messages(spark, sf_dir):
     """Events encoded as packets of bytes and framed again: kinds, channels and data."""
     rows = _messages(spark, sf_dir)
     status = F.when(F.col("kind") == "note_on", "90").when(F.col("kind") == "note_off", "80").when(F.col("kind") == "control", "B0").otherwise("FE")
     two = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 2, "0")
-    coded = F.unhex(F.when(F.col("kind") == "other", status).otherwise(F.concat(status, two("note"), two("velocity"))))
+    status = F.when(F.col("kind") == "undecodable", "90").otherwise(status)  # cut after its first byte
+    coded = F.unhex(F.when(F.col("kind").isin("other", "undecodable"), status).otherwise(F.concat(status, two("note"), two("velocity"))))
     packets = rows.select("take", F.col("seq").alias("packet_seq"), "ns", coded.alias("data"))
     return framing.framed(packets).select("take", "seq", "packet_seq", "ns", "kind", "channel", "note", "velocity")
 
@@ -539,12 +547,12 @@ def take_status(spark, sf_dir):
 
 
 @query(f"""WITH {MESSAGES_SQL}, z AS (SELECT take, MIN(ns) AS t0 FROM m GROUP BY take)
-SELECT m.take, ROW_NUMBER() OVER (PARTITION BY m.take ORDER BY seq) - 1 AS i, (ns - t0) // 1000000000 AS tick, kind, note, velocity FROM m JOIN z ON m.take = z.take WHERE kind <> 'other'""")
+SELECT m.take, ROW_NUMBER() OVER (PARTITION BY m.take ORDER BY seq) - 1 AS i, (ns - t0) // 1000000000 AS tick, kind, note, velocity FROM m JOIN z ON m.take = z.take WHERE kind NOT IN ('other', 'undecodable')""")
 def midi_round_trip(spark, sf_dir):
     """Each take written as a MIDI file, a second as a tick, and read again."""
     rows = _messages(spark, sf_dir)
     start = rows.groupBy("take").agg(F.min("ns").alias("t0"))
-    rows = rows.where("kind <> 'other'").join(start, "take").select("take", "seq", F.floor((F.col("ns") - F.col("t0")) / 1_000_000_000).alias("tick"), "kind", "note", "velocity")
+    rows = rows.where("kind NOT IN ('other', 'undecodable')").join(start, "take").select("take", "seq", F.floor((F.col("ns") - F.col("t0")) / 1_000_000_000).alias("tick"), "kind", "note", "velocity")
 
     def encode(take):
         take = take.sort_values("seq")

@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType
 
-#: Lengths of system messages; the others have 3 bytes, or 2 for program change and channel pressure.
+#: Lengths of system messages of more than a byte; those of one byte; the others have 3 bytes, or 2 for program change and channel pressure.
 SYSTEM = {0xF1: 2, 0xF2: 3, 0xF3: 2}
-#: Kinds by the high half of the status byte.
-KINDS = {0x8: "note_off", 0x9: "note_on", 0xA: "poly_pressure", 0xB: "control", 0xC: "program", 0xD: "pressure", 0xE: "bend", 0xF: "system"}
+ALONE = (0xF6, 0xF8, 0xF9, 0xFA, 0xFB, 0xFC, 0xFD, 0xFE, 0xFF)
+#: Kinds by the high half of the status byte, and of system messages.
+KINDS = {0x8: "note_off", 0x9: "note_on", 0xA: "poly_pressure", 0xB: "control", 0xC: "program", 0xD: "pressure", 0xE: "bend"}
+SYSTEM_KINDS = (0xF0, *SYSTEM, 0xF6, 0xF8, 0xFA, 0xFB, 0xFC, 0xFE, 0xFF)
 
 
 def split_packet(data: bytes) -> list[bytes]:
@@ -24,10 +26,11 @@ def split_packet(data: bytes) -> list[bytes]:
             n = end + 1 - i if end >= 0 else 0
         elif status < 0x80:
             n = 0
+        elif status >= 0xF0:
+            n = 1 if status in ALONE else SYSTEM.get(status, 0)
         else:
-            n = SYSTEM.get(status, 1) if status >= 0xF0 else 2 if status >> 4 in (0xC, 0xD) else 3
-        whole = n and i + n <= len(data) and (status == 0xF0 or all(b < 0x80 for b in data[i + 1 : i + n]))
-        if not whole:
+            n = 2 if status >> 4 in (0xC, 0xD) else 3
+        if not n or i + n > len(data):
             return [*out, data[i:]]
         out.append(data[i : i + n])
         i += n
@@ -41,19 +44,19 @@ def split_messages(packets: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def byte(raw: Column, i: int) -> Column:
-    """The i-th byte of a binary column as a number, null beyond its end."""
+    """The i-th byte of a binary column as a number, null beyond its end; -2 for the last."""
     return F.conv(F.hex(F.substring(raw, i + 1, 1)), 16, 10).try_cast("int")
 
 
 def classify(raw: Column) -> tuple[Column, Column, Column, Column]:
-    """Kind, channel and data bytes of a message; kind undecodable if it isn't whole."""
+    """Kind, channel and data bytes of a message. undecodable: not whole, an open system-exclusive one, or a status without meaning; these have no channel or data."""
     status = byte(raw, 0)
-    need = F.when(status >= 0xF0, 1).when(F.shiftright(status, 4).isin(0xC, 0xD), 2).otherwise(3)
+    need = F.when(F.shiftright(status, 4).isin(0xC, 0xD), 2).otherwise(3)
     table = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v)])
-    ok = (status >= 0x80) & (F.octet_length(raw) >= need)
-    kind = F.when(ok, F.try_element_at(table, F.shiftright(status, 4))).otherwise("undecodable")
-    channel = F.when(ok & (status < 0xF0), status.bitwiseAND(0x0F))
-    return F.coalesce(kind, F.lit("undecodable")), channel, F.when(ok, byte(raw, 1)), F.when(ok, byte(raw, 2))
+    voice = (status >= 0x80) & (status < 0xF0) & (F.octet_length(raw) >= need)
+    closed = (status != 0xF0) | (byte(raw, -2) == 0xF7)
+    kind = F.when(voice, F.try_element_at(table, F.shiftright(status, 4))).when(status.isin(*SYSTEM_KINDS) & closed, "system")
+    return F.coalesce(kind, F.lit("undecodable")), F.when(voice, status.bitwiseAND(0x0F)), F.when(voice, byte(raw, 1)), F.when(voice & (need == 3), byte(raw, 2))
 
 
 def framed(packets: DataFrame) -> DataFrame:

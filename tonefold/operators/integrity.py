@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import pairing
+from .running import running
 
 LATTICE_NS = 5_000_000
 
 
+#: Messages of a bucket in which neighbours are sought.
+BUCKET = 1 << 16
+
+
 def gaps(messages: DataFrame) -> DataFrame:
     """take, seq, gap: time since the message before, from a take's second message on."""
-    return messages.select("take", "seq", (F.col("ns") - F.lag("ns").over(Window.partitionBy("take").orderBy("seq"))).alias("gap")).where("gap IS NOT NULL")
+    found = running(messages.select("take", "seq", "ns"), ["take"], ["seq"], F.floor(F.col("seq") / BUCKET), previous={"before": "ns"})
+    return found.select("take", "seq", (F.col("ns") - F.col("before")).alias("gap")).where("gap IS NOT NULL")
 
 
 def lattice(messages: DataFrame, *, step_ns: int = LATTICE_NS) -> DataFrame:
     """take, n_gaps, on_grid, fraction, smallest, zero_gaps, off_runs, restored: gaps on a grid of step_ns, runs of gaps off it, and how many of these add up to the grid again."""
     g = gaps(messages).withColumn("off", (F.pmod("gap", F.lit(step_ns)) != 0).cast("int"))
-    order = Window.partitionBy("take").orderBy("seq")
-    g = g.withColumn("new", ((F.col("off") == 1) & (F.coalesce(F.lag("off").over(order), F.lit(0)) == 0)).cast("int"))
-    g = g.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bucket = F.floor(F.col("seq") / BUCKET)
+    g = running(g, ["take"], ["seq"], bucket, previous={"was": "off"})
+    g = g.withColumn("new", ((F.col("off") == 1) & (F.coalesce("was", F.lit(0)) == 0)).cast("int"))
+    g = running(g, ["take"], ["seq"], bucket, sums={"run": "new"})
     runs = g.where("off = 1").groupBy("take", "run").agg(F.sum("gap").alias("length")).groupBy("take").agg(F.count("*").alias("off_runs"), F.count_if(F.pmod("length", F.lit(step_ns)) == 0).alias("restored"))
     whole = g.groupBy("take").agg(F.count("*").alias("n_gaps"), F.count_if(F.expr("off = 0")).alias("on_grid"), F.min(F.when(F.col("gap") > 0, F.col("gap"))).alias("smallest"), F.count_if(F.expr("gap = 0")).alias("zero_gaps"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

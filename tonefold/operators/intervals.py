@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .running import running_sum
+from ..sources.streams import PEDAL
+from .running import running, running_sum
 
 #: Width of the buckets in which levels are swept.
 SWEEP_NS = 86_400 * 1_000_000_000
 
 
-def merge(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, a, b: the union of closed intervals; intervals that touch become one."""
-    before = Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)
-    fresh = df.withColumn("reach", F.max("b").over(before)).withColumn("new", (F.col("reach").isNull() | (F.col("a") > F.col("reach"))).cast("int"))
-    return fresh.withColumn("island", F.sum("new").over(upto)).groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
+def merge(df: DataFrame, keys: list[str], *, bucket_ns: int = SWEEP_NS) -> DataFrame:
+    """keys, a, b: the union of closed intervals; intervals that touch become one. A task holds the intervals of a bucket of time, not of a key."""
+    bucket = F.floor(F.col("a") / bucket_ns)
+    reached = running(df, keys, ["a", "b"], bucket, highest={"_reach": "b"})
+    fresh = reached.withColumn("_new", (F.col("_reach").isNull() | (F.col("a") > F.col("_reach"))).cast("int"))
+    return running(fresh, keys, ["a", "b"], bucket, sums={"_island": "_new"}).groupBy(*keys, "_island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_island")
 
 
 def measure(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,23 +58,30 @@ def cumulative(df: DataFrame, at: DataFrame, key: str) -> DataFrame:
     jumps = jumps.groupBy(key, "t").agg(F.sum("w").alias("w")).select(key, "t", F.col("w").cast("decimal(18,0)").alias("w"), F.lit(0).alias("asked"))
     both = jumps.unionByName(at.select(key, "t").distinct().select(key, "t", F.lit(0).cast("decimal(18,0)").alias("w"), F.lit(1).alias("asked")))
     both = both.withColumn("wt", (F.col("w") * F.col("t").cast("decimal(20,0)")))
-    upto = Window.partitionBy(key).orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"slope": F.sum("w").over(upto), "spent": F.sum("wt").over(upto)})
+    both = running(both, [key], ["t", "asked"], F.floor(F.col("t") / SWEEP_NS), sums={"slope": "w", "spent": "wt"})
     f = F.col("t").cast("decimal(20,0)") * F.col("slope").cast("decimal(18,0)") - F.col("spent")
     return both.where("asked = 1").select(key, "t", f.cast("long").alias("f"))
 
 
-def levels(df: DataFrame, key: str, *, bucket_ns: int = SWEEP_NS) -> DataFrame:
-    """key, t, level, until: how many of the half-open intervals hold from t to until; simultaneous changes are one."""
-    moves = df.select(key, F.col("a").alias("t"), F.lit(1).alias("move")).unionByName(df.select(key, F.col("b").alias("t"), F.lit(-1).alias("move")))
-    moves = moves.groupBy(key, "t").agg(F.sum("move").alias("move"))
-    moves = running_sum(moves, [key], ["t"], "move", "level", F.floor(F.col("t") / bucket_ns))
-    return moves.select(key, "t", "level", F.lead("t").over(Window.partitionBy(key).orderBy("t")).alias("until"))
+def levels(df: DataFrame, key: str, *, spans: DataFrame | None = None, bucket_ns: int = SWEEP_NS) -> DataFrame:
+    """key, t, level, until, turns: how many of the half-open intervals hold from t to until; simultaneous changes are one, and turns tells if there is any.
+
+    With spans (key, start, stop) levels also hold from a key's start and to its stop, before the first interval and after the last.
+    """
+    move = lambda at, by: df.select(key, F.col(at).alias("t"), F.lit(by).alias("move"), F.lit(1).alias("turns"))
+    moves = move("a", 1).unionByName(move("b", -1))
+    for at in ("start", "stop") if spans is not None else ():
+        moves = moves.unionByName(spans.select(key, F.col(at).alias("t"), F.lit(0).alias("move"), F.lit(0).alias("turns")))
+    moves = moves.groupBy(key, "t").agg(F.sum("move").alias("move"), F.max("turns").alias("turns"))
+    found = running(moves, [key], ["t"], F.floor(F.col("t") / bucket_ns), sums={"level": "move"}, following={"until": "t"})
+    return found.select(key, "t", "level", "until", "turns")
 
 
 def dwell(levels: DataFrame, key: str) -> DataFrame:
-    """key, level, dwell, spans."""
-    return levels.where("until IS NOT NULL AND until > t").groupBy(key, "level").agg(F.sum(F.col("until") - F.col("t")).alias("dwell"), F.count("*").alias("spans"))
+    """key, level, dwell, fraction (of all its levels' dwell), spans (how often the level is come to)."""
+    spent = levels.groupBy(key, "level").agg(F.sum(F.coalesce(F.col("until") - F.col("t"), F.lit(0))).alias("dwell"), F.sum("turns").cast("long").alias("spans"))
+    total = F.sum("dwell").over(Window.partitionBy(key))  # a row per level
+    return spent.withColumn("fraction", F.round(F.coalesce(F.try_divide(F.col("dwell"), total), F.lit(0.0)), 6))
 
 
 def closed_peak(df: DataFrame, key: str) -> DataFrame:
@@ -90,9 +98,9 @@ def overlaps(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pedal_spans(messages: DataFrame, *, down: int = 64) -> DataFrame:
-    """take, a, b: stretches with the pedal down (control values from `down` on), closed by the take's end."""
+    """take, a, b: stretches with the pedal down (values of its controller from `down` on), closed by the take's end."""
     order = Window.partitionBy("take").orderBy("seq")
-    pedal = messages.where("kind = 'control'").withColumn("is_down", F.col("velocity") >= down)
+    pedal = messages.where((F.col("kind") == "control") & (F.col("note") == PEDAL)).withColumn("is_down", F.col("velocity") >= down)
     turns = pedal.withColumn("was", F.coalesce(F.lag("is_down").over(order), F.lit(False))).where("is_down <> was")
     turns = turns.select("take", "ns", "is_down", F.lead("ns").over(order).alias("then")).where("is_down")
     ends = messages.groupBy("take").agg(F.max("ns").alias("end_ns"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.streams import PEDAL
+
 #: An interval at least so long is implausible, unless the end of the take closed it.
 IMPLAUSIBLE_NS = 30 * 1_000_000_000
 DEFECTS = ("orphan_note_off", "restrike", "end_of_take", "non_monotone_timestamp", "implausible_duration", "undecodable")
@@ -38,7 +40,7 @@ def roles(messages: DataFrame) -> DataFrame:
     """take, seq, role: one role for each message."""
     notes = neighbours(messages).select("take", "seq", F.when(F.col("kind") == "note_on", "interval_on").when(F.col("previous_kind") == "note_on", "interval_off").otherwise("orphan_note_off").alias("role"))
     rest = messages.where(~F.col("kind").isin("note_on", "note_off"))
-    return notes.unionByName(rest.select("take", "seq", F.when(F.col("kind") == "control", "pedal").otherwise("other").alias("role")))
+    return notes.unionByName(rest.select("take", "seq", F.when((F.col("kind") == "control") & (F.col("note") == PEDAL), "pedal").when(F.col("kind").isin("control", "undecodable"), F.col("kind")).otherwise("other").alias("role")))
 
 
 def defects(messages: DataFrame) -> DataFrame:
@@ -49,7 +51,8 @@ def defects(messages: DataFrame) -> DataFrame:
     orphans = roles(messages).where("role = 'orphan_note_off'").select("take", "seq", F.col("role").alias("cls"))
     closed = paired.where("closure <> 'note_off'").select("take", F.col("on_seq").alias("seq"), F.col("closure").alias("cls"))
     long = paired.where((F.col("closure") != "end_of_take") & (F.col("ns_off") - F.col("ns_on") >= IMPLAUSIBLE_NS)).select("take", F.col("on_seq").alias("seq"), F.lit("implausible_duration").alias("cls"))
-    return backwards.unionByName(orphans).unionByName(closed).unionByName(long)
+    unread = messages.where("kind = 'undecodable'").select("take", "seq", F.col("kind").alias("cls"))
+    return backwards.unionByName(orphans).unionByName(closed).unionByName(long).unionByName(unread)
 
 
 def defect_counts(messages: DataFrame) -> DataFrame:
