@@ -15,7 +15,7 @@ QUARTERS = {"0": 8.0, "1": 4.0, "2": 2.0, "4": 1.0, "8": 0.5, "6": 0.25, "3": 0.
 SEMITONES = dict(zip("CDEFGAB", (0, 2, 4, 5, 7, 9, 11)))
 SHIFTS = {"xx": 2, "x": 1, "bb": -2, "b": -1, "n": 0}
 #: What a decoder has to see; everything else is passed over. A measure rest takes its count along.
-_INCIPIT = re.compile(r"(?P<rests>=[0-9]*)|(?P<grace>qq|r|[gq])|(?P<octave>'+|,+)|(?P<shift>xx|x|bb|b|n)|(?P<length>[0-9]\.*)|(?P<note>[A-G])(?P<chord>\^?)|(?P<rest>-)|(?P<bar>/)|(?P<tie>\+)")
+_INCIPIT = re.compile(r"(?P<rests>=[0-9]*)|(?P<tuplet>\((?:[0-9]+(?=[^0-9.]))?|\))|(?P<grace>qq|r|[gq])|(?P<octave>'+|,+)|(?P<shift>xx|x|bb|b|n)|(?P<length>[0-9]\.*)|(?P<note>[A-G])(?P<chord>\^?)|(?P<rest>-)|(?P<bar>/)|(?P<tie>\+)")
 
 
 def key_shifts(signature: str) -> dict[str, int]:
@@ -28,13 +28,13 @@ def key_shifts(signature: str) -> dict[str, int]:
 
 
 def incipit(code: str, signature: str = "", most: int = 96) -> tuple[list[int], list[float]]:
-    """Pitches and onsets in quarter notes. Of a chord's notes the highest counts; accidentals hold to the bar line; grace notes take no time and are
-    left out; a tied note of the same pitch goes on."""
+    """Pitches and onsets in quarter notes. Of a chord's notes the highest counts; accidentals hold for their letter, in any octave, to the bar line; grace notes
+    take no time; notes of a group in brackets are three, or as many as the bracket says, in the time of two; a tied note of the same pitch goes on."""
     pitches: list[int] = []
     onsets: list[float] = []
     always, here = key_shifts(signature), {}
     octave, length, at, shift = 4, 1.0, 0.0, None
-    grace, chord, tied = "", False, False
+    grace, chord, tied, group = "", False, False, 1.0
     for m in _INCIPIT.finditer(code or ""):
         kind, text = ("note", m["note"]) if m["note"] else (m.lastgroup, m[0])
         if kind == "grace":
@@ -46,29 +46,31 @@ def incipit(code: str, signature: str = "", most: int = 96) -> tuple[list[int],
         elif kind == "length":
             length = QUARTERS[text[0]] * (2 - 0.5 ** text.count("."))
         elif kind == "rest":
-            at += length
+            at += length * group
+        elif kind == "tuplet":
+            group = 1.0 if text == ")" else 2 / int(text[1:] or 3) if text != "(0" else 1.0
         elif kind == "bar":
             here = {}
         elif kind == "tie":
             tied = True
         elif kind == "note":
             if shift is not None:
-                here[text, octave] = shift
-            pitch = 12 * (octave + 1) + SEMITONES[text] + here.get((text, octave), always.get(text, 0))
-            shift = None
-            if grace:
-                grace = "" if grace == "one" else grace
-                continue
-            if chord:
+                here[text] = shift
+            pitch = 12 * (octave + 1) + SEMITONES[text] + here.get(text, always.get(text, 0))
+            shift, takes = None, 0.0 if grace else length * group
+            grace = "" if grace == "one" else grace
+            if not 0 <= pitch < 128:
+                pass
+            elif chord and pitches:
                 pitches[-1] = max(pitches[-1], pitch)
             elif tied and pitches and pitches[-1] == pitch:
-                at += length
+                at += takes
             else:
                 if len(pitches) == most:
                     break
                 pitches.append(pitch)
-                onsets.append(at)
-                at += length
+                onsets.append(round(at, 5))
+                at += takes
             tied, chord = False, m["chord"] == "^"
     return pitches, onsets
 

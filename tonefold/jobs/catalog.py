@@ -288,14 +288,14 @@ def onset_clusters(spark, sf_dir):
 
 @query()
 def trill_free(spark, sf_dir):
-    rows = _messages(spark, sf_dir).where("kind = 'note_on'").select(F.col("take"), "ns", F.col("note").alias("pitch"))
-    return sessions.collapse_trills(rows, "take", within_ns=100 * HOUR_NS, least=3)
+    rows = _segments(spark, sf_dir).where("kind = 'note_on'").select("take", "segment", "ns", F.col("note").alias("pitch"))
+    return sessions.collapse_trills(rows, ["take", "segment"], within_ns=12 * HOUR_NS, least=3)
 
 
 @query()
 def register_lines(spark, sf_dir):
-    rows = _messages(spark, sf_dir).where("kind = 'note_on'").select(F.col("take"), "ns", (F.col("note") * 2).cast("int").alias("pitch"))
-    return sessions.register_line(rows, "take")
+    rows = _segments(spark, sf_dir).where("kind = 'note_on'").select("take", "segment", "ns", (F.col("note") * 2).cast("int").alias("pitch"))
+    return sessions.register_line(rows, ["take", "segment"])
 
 
 #: Themes and queries are the key sequences of takes; three steps make a gram.
@@ -481,10 +481,14 @@ def segment_keys(spark, sf_dir):
     return melody.diatonic(_segments(spark, sf_dir).where("kind = 'note_on'"), ["take", "segment"], "note", "velocity")
 
 
-@query(f"""{_SEGMENTS}, g AS (SELECT *, ns - LAG(ns) OVER w AS gap, CASE WHEN LEAD(note, 3) OVER w IS NOT NULL THEN ((LEAD(note, 1) OVER w) - note) || ',' || ((LEAD(note, 2) OVER w) - note) || ',' || ((LEAD(note, 3) OVER w) - note) END AS gram
-  FROM sg WINDOW w AS (PARTITION BY take, segment ORDER BY ns, seq))
-SELECT take, CAST(segment AS BIGINT) AS segment, COUNT(*) AS n, ROUND(CASE WHEN MAX(ns) > MIN(ns) THEN COUNT(*) / ((MAX(ns) - MIN(ns)) / {HOUR_NS}) END, 4) AS per_hour, COUNT(*) FILTER (WHERE gap > {HOUR_NS}) AS stops,
-  MIN(note) AS low, MAX(note) AS high, ROUND(AVG(velocity), 4) AS velocity, ROUND(CASE WHEN COUNT(gram) > 0 THEN COUNT(DISTINCT gram) / COUNT(gram) END, 6) AS novelty FROM g GROUP BY take, segment""")
+@query(f"""{_SEGMENTS}, g AS (SELECT *, ns - LAG(ns) OVER w AS gap, CASE WHEN LEAD(note, 3) OVER w IS NOT NULL THEN note || ',' || (LEAD(note, 1) OVER w) || ',' || (LEAD(note, 2) OVER w) || ',' || (LEAD(note, 3) OVER w) END AS gram
+  FROM sg WINDOW w AS (PARTITION BY take, segment ORDER BY ns, seq)),
+c AS (SELECT take, segment, note % 12 AS pc, SUM(velocity) AS w FROM sg GROUP BY ALL),
+r AS (SELECT take, segment, root, SUM(CASE WHEN (pc - root + 12) % 12 IN (0, 2, 4, 5, 7, 9, 11) THEN w ELSE 0 END) AS i, SUM(w) AS t FROM c, (SELECT unnest(range(12)) AS root) GROUP BY ALL),
+k AS (SELECT take, segment, CAST(root AS INTEGER) AS root, ROUND(i / t, 6) AS share FROM r QUALIFY ROW_NUMBER() OVER (PARTITION BY take, segment ORDER BY i DESC, root) = 1)
+SELECT g.take, CAST(g.segment AS BIGINT) AS segment, COUNT(*) AS n, ROUND(CASE WHEN MAX(ns) > MIN(ns) THEN COUNT(*) / ((MAX(ns) - MIN(ns)) / {HOUR_NS}) END, 4) AS per_hour, COUNT(*) FILTER (WHERE gap > {HOUR_NS}) AS stops,
+  MIN(note) AS low, MAX(note) AS high, ROUND(AVG(velocity), 4) AS velocity, ROUND(CASE WHEN COUNT(gram) > 0 THEN 1 - COUNT(DISTINCT gram) / COUNT(gram) ELSE 0 END, 6) AS repetition, root, share
+FROM g JOIN k ON k.take = g.take AND k.segment = g.segment GROUP BY g.take, g.segment, root, share""")
 def segment_textures(spark, sf_dir):
     return melody.texture(_segments(spark, sf_dir), ["take", "segment"], "ns", "note", "velocity", "seq", stop=HOUR_NS)
 

@@ -19,16 +19,25 @@ def diatonic(df: DataFrame, keys: list[str], note: str, weight: str) -> DataFram
 
 
 def texture(df: DataFrame, keys: list[str], at: str, note: str, velocity: str, tie: str, *, stop: int) -> DataFrame:
-    """keys, n, per_hour, stops (gaps above `stop`), low, high, velocity, novelty (share of different 4-note steps patterns)."""
+    """keys, n, per_hour, stops (gaps above `stop`), low, high, velocity, repetition (share of runs of four pitches that came before), root and share of the major key."""
     w = Window.partitionBy(*keys).orderBy(at, tie)
     gap = F.col(at) - F.lag(at).over(w)
-    gram = F.when(F.lead(note, 3).over(w).isNotNull(), F.concat_ws(",", *[F.lead(note, i).over(w) - F.col(note) for i in (1, 2, 3)]))
+    gram = F.when(F.lead(note, 3).over(w).isNotNull(), F.concat_ws(",", *[F.col(note) if i == 0 else F.lead(note, i).over(w) for i in range(4)]))
     rows = df.withColumns({"_gap": gap, "_gram": gram})
     span = (F.max(at) - F.min(at)) / 3_600_000_000_000
-    return rows.groupBy(*keys).agg(
+    found = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.round(F.try_divide(F.count("*").cast("double"), span), 4).alias("per_hour"), F.count_if(F.col("_gap") > stop).alias("stops"), F.min(note).alias("low"), F.max(note).alias("high"),
-        F.round(F.avg(velocity), 4).alias("velocity"), F.round(F.try_divide(F.count_distinct("_gram"), F.count("_gram")), 6).alias("novelty"),
+        F.round(F.avg(velocity), 4).alias("velocity"), F.round(F.coalesce(1 - F.try_divide(F.count_distinct("_gram"), F.count("_gram")), F.lit(0.0)), 6).alias("repetition"),
     )
+    return found.join(diatonic(df, keys, note, velocity), keys)
+
+
+def top_part(df: DataFrame, keys: list[str], part: str, at: str, note: str, *, least: int = 8) -> DataFrame:
+    """keys, part, median, n: the part whose upper median of the highest note at each time is highest; parts of fewer than `least` times don't count, of equal ones the first."""
+    tops = df.groupBy(*keys, part, at).agg(F.max(note).alias("p")).groupBy(*keys, part).agg(F.sort_array(F.collect_list("p")).alias("p")).where(F.size("p") >= least)
+    found = tops.select(*keys, part, F.get("p", F.floor(F.size("p") / 2).cast("int")).alias("median"), F.size("p").cast("long").alias("n"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("median"), part)
+    return found.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
 def skyline(df: DataFrame, keys: list[str], at: str, note: str, tie: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import statistics
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def split(df: DataFrame, key: str, at: str, gap: int, *, tie: str) -> DataFrame:
@@ -13,27 +16,29 @@ def split(df: DataFrame, key: str, at: str, gap: int, *, tie: str) -> DataFrame:
     return df.withColumn("_cut", F.coalesce(cut, F.lit(0))).withColumn("segment", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
 
-def anchored_clusters(onsets: Column, width: int) -> Column:
-    """Clusters of an array of (t, note) in order of t: an onset within `width` of a cluster's first onset belongs to it.
+def heads(t: np.ndarray, width: int) -> np.ndarray:
+    """Places in sorted times at which anchored clusters begin: a time within `width` of a cluster's first one belongs to it. One search per cluster."""
+    found, i = [], 0
+    while i < len(t):
+        found.append(i)
+        i = int(np.searchsorted(t, t[i] + width, "right"))
+    return np.array(found, np.int64)
 
-    A fold, as a cluster's reach depends on where it began, not on the row before.
-    """
-    start = F.array().cast("array<struct<t:bigint,last:bigint,low:int,high:int,n:int>>")
 
-    def add(found: Column, x: Column) -> Column:
-        head, size = F.try_element_at(found, F.lit(-1)), F.size(found)
-        joins = (size > 0) & (x["t"] - head["t"] <= width)
-        grown = F.struct(head["t"].alias("t"), x["t"].alias("last"), F.least(head["low"], x["note"]).alias("low"), F.greatest(head["high"], x["note"]).alias("high"), (head["n"] + 1).cast("int").alias("n"))
-        fresh = F.struct(x["t"].alias("t"), x["t"].alias("last"), x["note"].alias("low"), x["note"].alias("high"), F.lit(1).alias("n"))
-        return F.when(joins, F.concat(F.slice(found, 1, F.greatest(size - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(found, F.array(fresh)))
+def clusters(notes: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """keys, t, low, high, n: anchored clusters of the notes (t, note) of each group. Groups should be sessions, not whole streams.
 
-    return F.aggregate(onsets, start, add)
+    A scan, as a cluster's reach depends on where it began, not on the row before.
+    """
 
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", "note"], kind="stable")
+        t, note = rows["t"].to_numpy(), rows["note"].to_numpy()
+        first = heads(t, width)
+        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "t": t[first], "low": np.minimum.reduceat(note, first), "high": np.maximum.reduceat(note, first), "n": np.diff(np.append(first, len(t)))})
 
-def clusters(notes: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """keys, t, low, high, n: anchored clusters of the notes (t, note) of each group. Groups should be sessions, not whole streams."""
-    sets = notes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "note"))).alias("onsets"))
-    return sets.select(*keys, F.explode(anchored_clusters(F.col("onsets"), width)).alias("c")).select(*keys, "c.t", "c.low", "c.high", "c.n")
+    kinds = dict(notes.dtypes)
+    return notes.select(*keys, "t", "note").groupBy(*keys).applyInPandas(scan, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", t long, low int, high int, n int")
 
 
 def steps(df: DataFrame, key: list[str], order: list[str], pitch: str, clamp: int) -> DataFrame:
@@ -52,9 +57,9 @@ def ngrams(df: DataFrame, key: list[str], order: list[str], pitch: str, *, n: in
     return rows.select(*key, "pos", gram.alias("gram")).where("gram IS NOT NULL")
 
 
-def collapse_trills(df: DataFrame, key: str, *, within_ns: int = 170_000_000, least: int = 5) -> DataFrame:
-    """Rows (key, ns, pitch) without the inner notes of trills: a run of `least` or more alternating steps of one or two semitones, each within
-    `within_ns`, becomes its first note. Greedy from the left, so one pass per session."""
+def collapse_trills(df: DataFrame, keys: list[str], *, within_ns: int = 170_000_000, least: int = 5) -> DataFrame:
+    """Rows (keys, ns, pitch) without the inner notes of trills: a run of `least` or more alternating steps of one or two semitones, each within
+    `within_ns`, becomes its first note. Greedy from the left, so one pass per group; groups should be sessions."""
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ns", "pitch"], kind="stable").reset_index(drop=True)
@@ -67,21 +72,21 @@ def collapse_trills(df: DataFrame, key: str, *, within_ns: int = 170_000_000, le
             i = j + 1 if j - i >= least else i + 1
         return rows.iloc[keep]
 
-    return df.select(key, "ns", "pitch").groupBy(key).applyInPandas(scan, df.select(key, "ns", "pitch").schema)
+    return df.select(*keys, "ns", "pitch").groupBy(*keys).applyInPandas(scan, df.select(*keys, "ns", "pitch").schema)
 
 
-def register_line(df: DataFrame, key: str, *, memory: int = 8, below: int = 11) -> DataFrame:
-    """Rows (key, ns, pitch) that are not more than `below` under the median of the last `memory` admitted ones."""
+def register_line(df: DataFrame, keys: list[str], *, memory: int = 8, below: int = 11) -> DataFrame:
+    """Rows (keys, ns, pitch) that are not more than `below` under the median of the last `memory` admitted ones."""
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ns", "pitch"], kind="stable").reset_index(drop=True)
         admitted: list[int] = []
         keep = []
         for i, p in enumerate(rows["pitch"].tolist()):
-            last = sorted(admitted[-memory:])
-            if not last or p >= last[len(last) // 2] - below:
+            last = admitted[-memory:]
+            if not last or p >= statistics.median(last) - below:
                 admitted.append(p)
                 keep.append(i)
         return rows.iloc[keep]
 
-    return df.select(key, "ns", "pitch").groupBy(key).applyInPandas(scan, df.select(key, "ns", "pitch").schema)
+    return df.select(*keys, "ns", "pitch").groupBy(*keys).applyInPandas(scan, df.select(*keys, "ns", "pitch").schema)
