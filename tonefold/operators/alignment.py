@@ -41,12 +41,13 @@ def local_alignment(score: np.ndarray, gap: float) -> list[tuple[int, int]]:
     n, m = score.shape
     best = np.zeros((n + 1, m + 1))
     step = np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            ways = (0.0, best[i - 1, j - 1] + score[i - 1, j - 1], best[i - 1, j] - gap, best[i, j - 1] - gap)
-            top = max(ways)
-            best[i, j] = top
-            step[i, j] = 0 if top <= 0 else ways.index(top, 1)
+    for d in range(2, n + m + 1):  # cells of an anti-diagonal depend on those of the two before
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        ways = np.stack([np.zeros(len(i)), best[i - 1, j - 1] + score[i - 1, j - 1], best[i - 1, j] - gap, best[i, j - 1] - gap])
+        top = ways.max(0)
+        best[i, j] = top
+        step[i, j] = np.where(top <= 0, 0, 1 + (ways[1:] == top).argmax(0))
     i, j = np.unravel_index(np.argmax(best), best.shape)
     out = []
     while step[i, j]:
@@ -69,37 +70,55 @@ def align(events: DataFrame, *, gap: float = 0.5, tau: float = 0.5) -> DataFrame
     return events.select("pair", "side", "t", "notes").groupBy("pair").applyInPandas(one, "pair long, i long, j long, t double, s double")
 
 
-def fit_map(t: np.ndarray, s: np.ndarray, smooth: float, least_slope: float) -> np.ndarray:
-    """Values at t of the piecewise-linear map that minimises sum (phi - s)^2 + smooth * sum slope^2 * dt with slopes of at least least_slope.
+def fit(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float) -> tuple[np.ndarray, float, int]:
+    """Values at t of the piecewise-linear map that minimises sum (phi - s)^2 + smooth * sum slope^2 * dt, its degrees of freedom, and how many stretches have the least slope.
 
-    In the slopes the problem is a bounded least squares, solved by projected coordinate descent to a fixed point.
+    The map keeps both ends of s, and no slope is below least_slope_part of the mean one. A quadratic program by active sets: each round solves the system
+    with the held stretches as equations, then holds the first stretch in the way or frees the one that is held most wrongly.
     """
-    dt = np.diff(t)
-    n = len(t)
-    basis = np.hstack([np.ones((n, 1)), np.tril(np.ones((n, n - 1)), -1) * dt])
-    h = basis.T @ basis + smooth * np.diag(np.concatenate([[0.0], dt]))
-    g = basis.T @ s
-    low = np.concatenate([[-np.inf], np.full(n - 1, least_slope)])
-    x = np.maximum(np.linalg.solve(h + 1e-12 * np.eye(n), g), low)
-    for _ in range(500):
-        before = x.copy()
-        for k in range(n):
-            x[k] = max(low[k], x[k] + (g[k] - h[k] @ x) / h[k, k])
-        if np.abs(x - before).max() < 1e-10:
-            break
-    return basis @ x
+    h, n = np.diff(t), len(t) - 2
+    total = s[-1] - s[0]
+    least = least_slope_part * total / (t[-1] - t[0])
+    if n < 1:
+        return s.astype(float), 0.0, 0
+    stiff = np.diag(1 / h[:-1] + 1 / h[1:]) - np.diag(1 / h[1:-1], 1) - np.diag(1 / h[1:-1], -1)
+    system = np.eye(n) + smooth * stiff
+    target = s[1:-1] - s[0] + smooth * np.append(np.zeros(n - 1), total / h[-1])
+    rises = np.eye(n + 1, n) - np.eye(n + 1, n, -1)  # of each stretch from the inner values
+    floor = least * h - np.append(np.zeros(n), total)
+    x, held = (t[1:-1] - t[0]) * total / (t[-1] - t[0]), []
+    for _ in range(20 * (n + 1)):
+        k = len(held)
+        kkt = np.block([[system, rises[held].T], [rises[held], np.zeros((k, k))]])
+        found = np.linalg.lstsq(kkt, np.concatenate([target - system @ x, np.zeros(k)]), rcond=None)[0]
+        step, force = found[:n], -found[n:]
+        if np.abs(step).max() < 1e-11 * max(1.0, abs(total)):
+            if not k or force.min() >= -1e-9:
+                break
+            held.pop(int(force.argmin()))
+            continue
+        along, slack = rises @ step, rises @ x - floor
+        room = np.where((along < -1e-15) & ~np.isin(np.arange(n + 1), held), np.maximum(slack, 0) / np.maximum(-along, 1e-300), np.inf)
+        first = int(room.argmin())
+        x = x + min(1.0, room[first]) * step
+        if room[first] < 1:
+            held.append(first)
+    return s[0] + np.concatenate([[0.0], x, [total]]), float(np.trace(np.linalg.inv(system))), len(held)
+
+
+def fit_map(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float) -> np.ndarray:
+    return fit(t, s, smooth, least_slope_part)[0]
 
 
 def warps(matches: DataFrame, *, smooth: float = 0.1, least_slope_part: float = 0.05) -> DataFrame:
-    """pair, t, s, phi: the fitted map at each matched time; pairs of fewer than two distinct times are left out."""
+    """pair, t, s, phi: the fitted map at each matched time; pairs of fewer than two distinct times, or whose second side stands still, are left out."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t").drop_duplicates("t")
-        if len(rows) < 2:
+        if len(rows) < 2 or rows["s"].iloc[-1] <= rows["s"].iloc[0]:
             return pd.DataFrame({"pair": [], "t": [], "s": [], "phi": []})
         t, s = rows["t"].to_numpy(), rows["s"].to_numpy()
-        mean = max((s[-1] - s[0]) / (t[-1] - t[0]), 1e-9)
-        return pd.DataFrame({"pair": rows["pair"], "t": t, "s": s, "phi": fit_map(t, s, smooth, least_slope_part * mean)})
+        return pd.DataFrame({"pair": rows["pair"], "t": t, "s": s, "phi": fit_map(t, s, smooth, least_slope_part)})
 
     return matches.select("pair", "t", "s").groupBy("pair").applyInPandas(one, "pair long, t double, s double, phi double")
 

@@ -6,9 +6,12 @@ its line feed is there, however little of it has been seen, and reading stops at
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, byte_offset long, kind string, ns long, data binary, key string, value string"
@@ -103,5 +106,44 @@ class CaptureStream(DataSourceStreamReader):
         pass
 
 
+def takes(rows: DataFrame) -> DataFrame:
+    """path, header and trailer (maps), packets, first_ns, last_ns, seconds, complete, timing of the captures that rows were read from.
+
+    complete: a trailer was read. timing: `hardware` if its trailer counts no packet without a stamp, `untrusted` if all are, `mixed` between, `unknown` without one.
+    """
+    fields = F.split("value", " ")
+    end = F.when(F.col("kind") == "trailer", F.map_from_arrays(F.filter(fields, lambda x, i: i % 2 == 0), F.filter(fields, lambda x, i: i % 2 == 1)))
+    found = rows.groupBy("path").agg(
+        F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("kind") == "header", F.struct("key", "value"))))).alias("header"), F.max_by(end, F.when(F.col("kind") == "trailer", F.col("byte_offset"))).alias("trailer"),
+        F.count_if(F.col("kind") == "packet").alias("packets"), F.min("ns").alias("first_ns"), F.max("ns").alias("last_ns"),
+    )
+    unstamped = F.try_element_at("trailer", F.lit("ts_zero")).try_cast("long")
+    timing = F.when(unstamped.isNull(), "unknown").when(unstamped == 0, "hardware").when(unstamped >= F.col("packets"), "untrusted").otherwise("mixed")
+    return found.select("*", ((F.col("last_ns") - F.col("first_ns")) / 1e9).alias("seconds"), F.col("trailer").isNotNull().alias("complete"), timing.alias("timing"))
+
+
+def wall_times(rows: DataFrame) -> DataFrame:
+    """path, byte_offset, ns, unix_ns of packets, by the two anchors of their capture's header; null where it has none."""
+    anchors = takes(rows).select("path", (F.try_element_at("header", F.lit("anchor_unix_ns")).try_cast("long") - F.try_element_at("header", F.lit("anchor_mach_ns")).try_cast("long")).alias("shift"))
+    return rows.where("kind = 'packet'").join(anchors, "path").select("path", "byte_offset", "ns", (F.col("ns") + F.col("shift")).alias("unix_ns"))
+
+
+def digest(path: str, size: int) -> str:
+    """Digest of the first `size` bytes, read in pieces: a file whose consumed beginning has another one was rewritten, not appended to."""
+    found = hashlib.sha256()
+    with open(path, "rb") as f:
+        while size > 0 and (piece := f.read(min(size, 1 << 20))):
+            found.update(piece)
+            size -= len(piece)
+    return found.hexdigest()
+
+
+def rewritten(path: str, consumed: int, known: str) -> str:
+    """Why a file must be read again from its start, after `consumed` bytes with the digest `known` were read; empty if it was only appended to."""
+    if os.path.getsize(path) < consumed:
+        return "shrunk"
+    return "" if digest(path, consumed) == known else "changed"
+
+
 def register(spark) -> None:
     spark.dataSource.register(CaptureSource)
