@@ -375,7 +375,7 @@ def name_keys(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", metadata.label_key(F.col("c_name")).alias("label"), metadata.letters_and_digits(F.col("c_name")).alias("letters"))
 
 
-@query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'), '^[ ,;:.]+|[ ,;:]+$', '', 'g') AS title FROM pages""")
+@query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'), '^[ .,;:]+|[ .,;:]+$', '', 'g') AS title FROM pages""")
 def page_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", metadata.clean(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
 
