@@ -86,6 +86,10 @@ def fit(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float) ->
     target = s[1:-1] - s[0] + smooth * np.append(np.zeros(n - 1), total / h[-1])
     rises = np.eye(n + 1, n) - np.eye(n + 1, n, -1)  # of each stretch from the inner values
     floor = least * h - np.append(np.zeros(n), total)
+    freedom = float(np.trace(np.linalg.inv(system)))
+    x = np.linalg.solve(system, target)
+    if (rises @ x >= floor).all():  # the minimum without bounds keeps them
+        return s[0] + np.concatenate([[0.0], x, [total]]), freedom, 0
     x, held = (t[1:-1] - t[0]) * total / (t[-1] - t[0]), []
     for _ in range(20 * (n + 1)):
         k = len(held)
@@ -103,7 +107,7 @@ def fit(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float) ->
         x = x + min(1.0, room[first]) * step
         if room[first] < 1:
             held.append(first)
-    return s[0] + np.concatenate([[0.0], x, [total]]), float(np.trace(np.linalg.inv(system))), len(held)
+    return s[0] + np.concatenate([[0.0], x, [total]]), freedom, len(held)
 
 
 def fit_map(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float) -> np.ndarray:

@@ -5,6 +5,8 @@ Slopes, kinks and energies follow from neighbouring points; values and inverses
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -54,25 +56,30 @@ def at(points: DataFrame, asked: DataFrame, *, x: str = "t", y: str = "phi") ->
 
 
 def sweep(matches: DataFrame, smooths: list[float], *, least_slope_part: float = 0.05) -> DataFrame:
-    """pair, smooth, n, data_term, excess, freedom, gcv, held: fits of each pair's matches (pair, t, s) for each smoothness, every one a task of its own.
+    """pair, smooth, n, data_term, excess, freedom, gcv, held: fits of each pair's matches (pair, t, s) for each smoothness.
 
-    freedom: effective degrees of freedom; gcv = n data_term / (n - freedom)^2; held: stretches at the least slope. Pairs of fewer than three times are left out.
+    freedom: effective degrees of freedom; gcv = n data_term / (n - freedom)^2; held: stretches at the least slope. Of matches at one time the least s counts,
+    those without t or s don't. Pairs of fewer than three times, or whose second side stands still, are left out. A pair is a row of arrays, so
+    that a task runs through its pairs without a call for each.
     """
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t").drop_duplicates("t")
-        names = ["pair", "smooth", "n", "data_term", "excess", "freedom", "gcv", "held"]
-        t, s = rows["t"].to_numpy(float), rows["s"].to_numpy(float)
-        if len(t) < 3 or s[-1] <= s[0]:
-            return pd.DataFrame([], columns=names)
-        phi, freedom, held = fit(t, s, key[1], least_slope_part)
-        rise, h, n = np.diff(phi), np.diff(t), len(t) - 2
-        data = float(((phi - s) ** 2).sum())
-        excess = float((rise**2 / h).sum() - (phi[-1] - phi[0]) ** 2 / (t[-1] - t[0]))
-        return pd.DataFrame([(key[0], key[1], n, data, excess, freedom, n * data / (n - freedom) ** 2 if n - freedom > 1e-9 else float("inf"), held)], columns=names)
-
-    tried = matches.select("pair", "t", "s", F.explode(F.array(*map(F.lit, smooths))).alias("smooth"))
-    return tried.groupBy("pair", "smooth").applyInPandas(one, "pair long, smooth double, n long, data_term double, excess double, freedom double, gcv double, held long")
+    names = ["pair", "smooth", "n", "data_term", "excess", "freedom", "gcv", "held"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for pair, t, s in zip(batch["pair"], batch["t"], batch["s"]):
+                h, n = np.diff(t), len(t) - 2
+                for smooth in smooths if s[-1] > s[0] else ():
+                    phi, freedom, held = fit(t, s, smooth, least_slope_part)
+                    data = float(((phi - s) ** 2).sum())
+                    excess = float((np.diff(phi) ** 2 / h).sum() - (phi[-1] - phi[0]) ** 2 / (t[-1] - t[0]))
+                    out.append((pair, smooth, n, data, excess, freedom, n * data / (n - freedom) ** 2 if n - freedom > 1e-9 else float("inf"), held))
+            yield pd.DataFrame(out, columns=names)
+
+    points = matches.where("t IS NOT NULL AND s IS NOT NULL").groupBy("pair", "t").agg(F.min("s").alias("s"))
+    rows = points.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("t", "s"))).alias("p")).where(F.size("p") >= 3)
+    rows = rows.select("pair", F.col("p.t").cast("array<double>").alias("t"), F.col("p.s").cast("array<double>").alias("s"))
+    return rows.mapInPandas(run, "pair long, smooth double, n long, data_term double, excess double, freedom double, gcv double, held long")
 
 
 def smoothness(swept: DataFrame) -> DataFrame:
