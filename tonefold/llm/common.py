@@ -73,6 +73,8 @@ _IS_WORD[list(WORD_BREAKS)] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
+#: Bytes whose words are hashed at once: what is held besides a text is of this size, or that of its longest word.
+HASH_BLOCK = 1 << 17
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +112,22 @@ class Words:
             after[cuts[cuts > 0] - 1] = False
         self.begin = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
+        self.hash = np.empty(len(self.begin), np.uint64)
+        lo = 0
+        while lo < len(self.begin):
+            at = self.begin[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.end, at + HASH_BLOCK, "right")))
+            self.hash[lo:hi] = self._hashes(data[at : self.end[hi - 1]], self.begin[lo:hi] - at, self.end[lo:hi] - at)
+            lo = hi
+        self.first = np.searchsorted(self.begin, bounds)
+
+    @staticmethod
+    def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = len(data)
         p, inv = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * p[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.begin]) * inv[self.begin])
-        self.first = np.searchsorted(self.begin, bounds)
+        return mix((total[end] - total[begin]) * inv[begin])
 
 
 def texts_of(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
