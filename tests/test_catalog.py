@@ -5,7 +5,7 @@ import os
 import pytest
 
 import oracle
-from tonefold.jobs import catalog, readings  # noqa: F401
+from tonefold.jobs import catalog, measures, readings  # noqa: F401
 
 needs_data = pytest.mark.skipif(not os.path.isdir(oracle.SF_DIR), reason="no tables here")
 

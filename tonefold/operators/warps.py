@@ -87,6 +87,22 @@ def smoothness(swept: DataFrame) -> DataFrame:
     return swept.groupBy("pair").agg(F.min_by("smooth", F.struct("gcv", "smooth")).alias("smooth"))
 
 
+def corner(swept: DataFrame) -> DataFrame:
+    """pair, smooth: where log excess over log data_term bends most, derivatives by central differences; of equal bends the least smooth, of fewer than five values the middle one.
+
+    A pair has a row for each value swept, so its window is small.
+    """
+    order, least = Window.partitionBy("pair").orderBy("smooth"), F.lit(1e-300)
+    rows = swept.select("pair", "smooth", F.log(F.greatest("data_term", least)).alias("x"), F.log(F.greatest("excess", least)).alias("y"))
+    rows = rows.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("pair"))})
+    slope = lambda c: (F.lead(c).over(order) - F.lag(c).over(order)) / 2
+    turn = lambda c: (F.lead(c, 2).over(order) - 2 * F.col(c) + F.lag(c, 2).over(order)) / 4
+    rows = rows.withColumns({"x1": slope("x"), "y1": slope("y"), "x2": turn("x"), "y2": turn("y")})
+    bend = F.try_divide(F.col("x1") * F.col("y2") - F.col("y1") * F.col("x2"), F.pow(F.col("x1") * F.col("x1") + F.col("y1") * F.col("y1"), F.lit(1.5)))
+    inner = rows.where(F.when(F.col("n") < 5, F.col("i") == F.floor(F.col("n") / 2)).otherwise((F.col("i") >= 2) & (F.col("i") < F.col("n") - 2)))
+    return inner.groupBy("pair").agg(F.max_by("smooth", F.struct(F.coalesce(bend, F.lit(float("-inf"))), -F.col("smooth"))).alias("smooth"))
+
+
 def census(events: DataFrame, matches: DataFrame) -> DataFrame:
     """pair, n_a, n_b, matched, only_a, only_b, coverage (of the shorter side) of events (pair, side) and their matches (pair, i, j)."""
     sides = events.groupBy("pair").agg(F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b"))
