@@ -96,9 +96,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: hash, begin and end byte of each; first[i]:first[i+1] are those of text i."""
+    """The words of some texts: begin and end byte and, if `hashed`, hash of each; first[i]:first[i+1] are those of text i."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, hashed: bool = True):
         data = _LOWER[data] if lower else data
         self.data, n = data, len(data)
         inside = _IS_WORD[data]
@@ -112,8 +112,8 @@ class Words:
             after[cuts[cuts > 0] - 1] = False
         self.begin = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
-        self.hash = np.empty(len(self.begin), np.uint64)
-        lo = 0
+        self.hash = np.empty(len(self.begin) if hashed else 0, np.uint64)
+        lo = 0 if hashed else len(self.begin)
         while lo < len(self.begin):
             at = self.begin[lo]
             hi = max(lo + 1, int(np.searchsorted(self.end, at + HASH_BLOCK, "right")))

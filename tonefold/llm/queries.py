@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import containment, jaccard_join, language_id, licence_scan, packing, quality_rules, revisits, sql, substring_dedup, token_counts, toxicity
+from . import centroids, containment, jaccard_join, language_id, licence_scan, packing, quality_rules, revisits, simhash, spelling, sql, substring_dedup, token_counts, toxicity
 from .common import table
 
 TOKEN_LIMIT = 4096
@@ -65,6 +65,18 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op11_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.similar(table(spark, sf_dir, "documents"), k=3, most=3)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_rotated_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dimensions=64, scale=256, salt="2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity_trees,
         op9_min_slack_packing,
         op10_string_kernel_language,
+        op11_pigeonring_simhash,
+        op12_spelling_variants,
+        op13_rotated_centroids,
     )
 }
 
@@ -89,4 +104,5 @@ SQL: dict[str, str] = {
     "op5_fm_substring_dedup": sql.substrings(20),
     "op6_minhash_containment": sql.containment(containment.SHINGLE, 80),
     "op7_not_modified_revisits": sql.not_modified(),
+    "op13_rotated_centroids": sql.centroids(),
 }

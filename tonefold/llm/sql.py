@@ -126,3 +126,24 @@ SELECT record_id, url_key, CASE WHEN status = 'resolved' THEN o.id END AS respon
   CASE WHEN status = 'resolved' THEN 'cache-control=max-age=600;content-length=' || o.size || ';content-type=text/html;date=' || o.date || ';x-cache=hit'
     ELSE 'cache-control=max-age=600;content-length=0;x-cache=hit' END AS headers
 FROM g"""
+
+
+def centroids(k: int = 40, rounds: int = 5, dimensions: int = 64) -> str:
+    """Rounds one after the other; every distance in whole numbers."""
+    x = "CAST(FLOOR(256 * CAST(x AS DOUBLE)) AS BIGINT)"
+    fine = f"embedding IS NOT NULL AND len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x) < 524288)) = {dimensions}"
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id, embedding) AS r, list_transform(embedding, lambda x: {x}) AS v FROM embeddings WHERE {fine})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || COALESCE(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v AS m FROM v QUALIFY c < {k})",
+    ]
+    distance = "list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, v, c, CAST({distance} AS BIGINT) AS d FROM v, c{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if i < rounds:
+            steps.append(f"u{i} AS (SELECT c, j, SUM(v[j]) AS s, COUNT(*) AS n FROM a{i}, (SELECT unnest(range(1, {dimensions + 1})) AS j) GROUP BY c, j)")
+            steps.append(f"n{i} AS (SELECT c, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY j) AS m FROM u{i} GROUP BY c)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, COALESCE(n{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN n{i} ON n{i}.c = c{i}.c)")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST({last}.c AS INTEGER) AS cluster, d AS distance, CAST(SUM(d) OVER (PARTITION BY {last}.c) AS BIGINT) AS cluster_inertia, CAST(SUM(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM {last} JOIN c{rounds} ON c{rounds}.c = {last}.c"""
