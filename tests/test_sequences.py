@@ -105,4 +105,15 @@ def test_ranking_falls_back(spark):
     queries = spark.createDataFrame([(100, 7), (101, 8), (101, 7), (102, 9), (102, 8)], "query long, gram long")
     found = {(r.query, r.theme): r.votes for r in matching.ranked(queries, grams, cap=3).collect()}
     assert found == {**{(100, t): 2 for t in range(1, 5)}, (101, 5): 1, (101, 6): 1, (102, 6): 2}
-    assert {r.query for r in matching.ranked(queries, grams, cap=0).collect()} == set()
+    assert {r.query for r in matching.ranked(queries, grams, cap=0, part=0, beyond=False).collect()} == set()
+    assert {(r.query, r.theme): r.votes for r in matching.ranked(queries, grams, cap=0, part=0).collect()} == {**{(100, t): 2 for t in range(1, 5)}, (101, 5): 1, (101, 6): 1, (102, 6): 1}
+
+
+def test_index_keeps_its_share_at_any_size(spark):
+    """The same corpus many times over, as other themes of other works: what is a stop-gram stays one, the rest stays."""
+    def kept(copies):
+        rows = [(100 * c + t, 50 * c + t // 2, i, i if i < 9 else 7) for c in range(copies) for t in range(100) for i in range(2 if t % 4 else 12)]
+        return matching.index(spark.createDataFrame(rows, "theme long, work long, pos long, gram long"), most=6, part=0.2, least=2, share=0.6)
+
+    small, large = kept(1), kept(4)
+    assert large.count() == 4 * small.count() and {r.gram for r in small.select("gram").distinct().collect()} == {r.gram for r in large.select("gram").distinct().collect()} == {2, 3, 4, 5, 6, 8}

@@ -286,29 +286,59 @@ def onset_clusters(spark, sf_dir):
     return sessions.clusters(_segments(spark, sf_dir).withColumn("t", F.col("ns")), ["take", "segment"], HOUR_NS)
 
 
-@query()
+_STRIKES = f"""{_SEGMENTS.replace('WITH', 'WITH RECURSIVE', 1)},
+nt AS (SELECT take, segment, ns, note AS pitch, ROW_NUMBER() OVER (PARTITION BY take, segment ORDER BY ns, note) AS i FROM sg WHERE kind = 'note_on')"""
+
+
+@query(f"""{_STRIKES},
+st AS (SELECT *, COALESCE(LEAD(ns) OVER w - ns <= {12 * HOUR_NS} AND ABS(LEAD(pitch) OVER w - pitch) BETWEEN 1 AND 2, FALSE) AS ok, COALESCE(LAG(pitch) OVER w = LEAD(pitch) OVER w, FALSE) AS back FROM nt WINDOW w AS (PARTITION BY take, segment ORDER BY i)),
+rn AS (SELECT *, CASE WHEN ok THEN MIN(CASE WHEN NOT (ok AND back) THEN i END) OVER (PARTITION BY take, segment ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) ELSE i END AS j FROM st),
+nx AS (SELECT *, CASE WHEN j - i >= 3 THEN j + 1 ELSE i + 1 END AS follow FROM rn),
+wk AS (SELECT take, segment, ns, pitch, follow FROM nx WHERE i = 1 UNION ALL SELECT n.take, n.segment, n.ns, n.pitch, n.follow FROM wk JOIN nx n ON n.take = wk.take AND n.segment = wk.segment AND n.i = wk.follow)
+SELECT take, CAST(segment AS BIGINT) AS segment, ns, pitch FROM wk""")
 def trill_free(spark, sf_dir):
     rows = _segments(spark, sf_dir).where("kind = 'note_on'").select("take", "segment", "ns", F.col("note").alias("pitch"))
     return sessions.collapse_trills(rows, ["take", "segment"], within_ns=12 * HOUR_NS, least=3)
 
 
-@query()
+@query(f"""{_STRIKES},
+rg AS (SELECT take, segment, i, ns, 2 * pitch AS pitch, TRUE AS kept, [2 * pitch] AS held FROM nt WHERE i = 1
+  UNION ALL SELECT n.take, n.segment, n.i, n.ns, 2 * n.pitch, 2 * n.pitch >= list_aggregate(held, 'median') - 11, CASE WHEN 2 * n.pitch >= list_aggregate(held, 'median') - 11 THEN list_append(held, 2 * n.pitch)[-8:] ELSE held END
+  FROM rg JOIN nt n ON n.take = rg.take AND n.segment = rg.segment AND n.i = rg.i + 1)
+SELECT take, CAST(segment AS BIGINT) AS segment, ns, CAST(pitch AS INTEGER) AS pitch FROM rg WHERE kept""")
 def register_lines(spark, sf_dir):
     rows = _segments(spark, sf_dir).where("kind = 'note_on'").select("take", "segment", "ns", (F.col("note") * 2).cast("int").alias("pitch"))
     return sessions.register_line(rows, ["take", "segment"])
 
 
-#: Themes and queries are the key sequences of takes; three steps make a gram.
-_GRAMS = f"""WITH {MESSAGES_SQL}, st AS (SELECT take, note, ROW_NUMBER() OVER w - 1 AS pos, CASE WHEN LEAD(note) OVER w IS NOT NULL THEN GREATEST(-4, LEAST(4, (LEAD(note) OVER w) - note)) END AS s FROM m WINDOW w AS (PARTITION BY take ORDER BY seq)),
-gr AS (SELECT * FROM (SELECT take AS theme, pos, ((CAST(0 AS BIGINT) * 9 + s + 4) * 9 + (LEAD(s, 1) OVER v) + 4) * 9 + (LEAD(s, 2) OVER v) + 4 AS gram FROM st WINDOW v AS (PARTITION BY take ORDER BY pos)) WHERE gram IS NOT NULL)"""
-_INDEX = f"""{_GRAMS}, us AS (SELECT gram FROM gr GROUP BY gram HAVING COUNT(*) <= 4000 AND COUNT(DISTINCT theme) <= GREATEST(8, 0.1 * (SELECT COUNT(DISTINCT theme) FROM gr))), ix AS (SELECT gr.* FROM gr JOIN us ON gr.gram = us.gram)"""
+def _grams_sql(n: int, clamp: int) -> str:
+    """Themes and queries are the key sequences of takes, four takes a work; n steps within +-clamp make a gram."""
+    gram = "CAST(0 AS BIGINT)"
+    for i in range(n):
+        gram = f"({gram}) * {2 * clamp + 1} + (LEAD(s, {i}) OVER v) + {clamp}"
+    return f"""WITH {MESSAGES_SQL}, st AS (SELECT take, note, ROW_NUMBER() OVER w - 1 AS pos, CASE WHEN LEAD(note) OVER w IS NOT NULL THEN GREATEST(-{clamp}, LEAST({clamp}, (LEAD(note) OVER w) - note)) END AS s FROM m WINDOW w AS (PARTITION BY take ORDER BY seq)),
+gr AS (SELECT * FROM (SELECT take AS theme, take // 4 AS work, pos, {gram} AS gram FROM st WINDOW v AS (PARTITION BY take ORDER BY pos)) WHERE gram IS NOT NULL)"""
+
+
+#: Steps of a gram and their bound: for votes by diagonal, and for ranking.
+_VOTED, _RANKED = (4, 15), (5, 24)
+_GRAMS = _grams_sql(*_RANKED)
+_INDEX = f"""{_grams_sql(*_VOTED)}, us AS (SELECT gram FROM gr GROUP BY gram HAVING COUNT(*) <= GREATEST(4000, 0.002 * (SELECT COUNT(*) FROM gr)) AND COUNT(DISTINCT work) <= GREATEST(8, 0.1 * (SELECT COUNT(DISTINCT work) FROM gr))),
+ix AS (SELECT gr.* FROM gr JOIN us ON gr.gram = us.gram)"""
 _VOTES = f"""{_INDEX}, qy AS (SELECT * FROM gr WHERE theme % 10 = 0),
-cl AS (SELECT query, theme, diagonal, COUNT(*) AS hits, MIN(q) AS first, MAX(q) AS last FROM (SELECT qy.theme AS query, ix.theme, qy.pos AS q, unnest([ix.pos - qy.pos - 1, ix.pos - qy.pos, ix.pos - qy.pos + 1]) AS diagonal FROM qy JOIN ix ON qy.gram = ix.gram WHERE qy.theme <> ix.theme) GROUP BY ALL)"""
+cl AS (SELECT query, theme, work, diagonal, COUNT(*) AS hits, MIN(q) AS first, MAX(q) AS last FROM (SELECT qy.theme AS query, ix.theme, ix.work, qy.pos AS q, unnest([ix.pos - qy.pos - 1, ix.pos - qy.pos, ix.pos - qy.pos + 1]) AS diagonal FROM qy JOIN ix ON qy.gram = ix.gram WHERE qy.theme <> ix.theme) GROUP BY ALL)"""
+#: Ranked themes: sc. A query's grams count by their number of postings, and if none is usual its rarer ones do.
+_SCORED = f"""{_GRAMS}, nm AS (SELECT gram, COUNT(*) AS n FROM gr GROUP BY gram), li AS (SELECT GREATEST(3000, 0.002 * COUNT(*)) AS lim FROM gr), ow AS (SELECT theme, COUNT(*) AS tg FROM gr GROUP BY theme),
+a0 AS (SELECT theme AS query, gram, COUNT(*) AS times FROM gr WHERE theme % 10 = 0 GROUP BY ALL), sz AS (SELECT query, SUM(times) AS qg FROM a0 GROUP BY query),
+a1 AS (SELECT a0.*, n, lim, MIN(n) OVER (PARTITION BY query) AS rarest FROM a0 JOIN nm ON nm.gram = a0.gram, li),
+ak AS (SELECT query, gram, times FROM a1 WHERE n <= lim OR (rarest > lim AND n <= 10 * lim) OR (rarest > 10 * lim AND n = rarest)),
+m0 AS (SELECT query, gr.theme, gr.work, CAST(SUM(times) AS BIGINT) AS votes FROM ak JOIN gr ON ak.gram = gr.gram WHERE query <> gr.theme GROUP BY ALL), m1 AS (SELECT *, MAX(votes) OVER (PARTITION BY query) AS most FROM m0),
+sc AS (SELECT m1.query, m1.theme, m1.work, votes, ROUND(votes / SQRT(tg * qg), 6) AS score FROM m1 JOIN ow ON ow.theme = m1.theme JOIN sz ON sz.query = m1.query WHERE votes >= 2 OR most < 2)"""
 
 
-def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sessions.ngrams(_messages(spark, sf_dir), ["take"], ["seq"], "note", n=3, clamp=4)
-    return found.select(F.col("take").alias("theme"), F.col("pos").cast("long").alias("pos"), "gram")
+def _grams(spark: SparkSession, sf_dir: str, size: tuple[int, int] = _RANKED) -> DataFrame:
+    found = sessions.ngrams(_messages(spark, sf_dir), ["take"], ["seq"], "note", n=size[0], clamp=size[1])
+    return found.select(F.col("take").alias("theme"), F.floor(F.col("take") / 4).alias("work"), F.col("pos").cast("long").alias("pos"), "gram")
 
 
 def _asked(grams: DataFrame) -> DataFrame:
@@ -318,36 +348,32 @@ def _asked(grams: DataFrame) -> DataFrame:
 
 @query(f"{_GRAMS} SELECT theme, pos, gram FROM gr")
 def theme_ngrams(spark, sf_dir):
-    return _grams(spark, sf_dir)
+    return _grams(spark, sf_dir).drop("work")
 
 
-@query(f"{_INDEX} SELECT theme, pos, gram FROM ix")
+@query(f"{_INDEX} SELECT theme, work, pos, gram FROM ix")
 def theme_index(spark, sf_dir):
-    return matching.index(_grams(spark, sf_dir))
+    return matching.index(_grams(spark, sf_dir, _VOTED))
 
 
-@query(f"{_VOTES} SELECT query, theme, diagonal, hits, first, last FROM cl")
+@query(f"{_VOTES} SELECT query, theme, work, diagonal, hits, first, last FROM cl")
 def theme_votes(spark, sf_dir):
-    grams = _grams(spark, sf_dir)
+    grams = _grams(spark, sf_dir, _VOTED)
     return matching.votes(_asked(grams), matching.index(grams))
 
 
 @query(f"""{_VOTES}, de AS (SELECT *, hits / (last - first + 1) AS density FROM cl), ef AS (SELECT *, CASE WHEN density >= 0.34 THEN hits ELSE 0 END AS effective FROM de),
 be AS (SELECT * FROM ef QUALIFY ROW_NUMBER() OVER (PARTITION BY query ORDER BY effective DESC, hits DESC, theme, diagonal) = 1),
-ru AS (SELECT be.query, MAX(r.effective) AS ru FROM be JOIN ef r ON r.query = be.query AND r.theme <> be.theme AND r.last >= be.first AND r.first <= be.last GROUP BY be.query),
+ru AS (SELECT be.query, MAX(r.effective) AS ru FROM be JOIN ef r ON r.query = be.query AND r.work <> be.work AND r.last >= be.first AND r.first <= be.last GROUP BY be.query),
 al AS (SELECT be.*, COALESCE(ru, 0) AS runner_up FROM be LEFT JOIN ru ON be.query = ru.query)
 SELECT query, theme, diagonal, hits, ROUND(density, 6) AS density, runner_up, ROUND(CASE WHEN effective < 6 THEN 0.0 ELSE GREATEST(0.0, 1 - EXP(-(effective - 2) / 2)) * LEAST(1.0, density / 0.75)
   * CASE WHEN runner_up < 6 THEN 1.0 WHEN effective <= runner_up THEN 0.0 ELSE 1 - EXP(-(effective - runner_up) / 2) END END, 4) AS confidence FROM al""")
 def theme_candidates(spark, sf_dir):
-    grams = _grams(spark, sf_dir)
+    grams = _grams(spark, sf_dir, _VOTED)
     return matching.candidates(matching.votes(_asked(grams), matching.index(grams)))
 
 
-@query(f"""{_GRAMS}, us AS (SELECT gram FROM gr GROUP BY gram HAVING COUNT(*) <= 3000), ow AS (SELECT theme, COUNT(*) AS tg FROM gr GROUP BY theme), ak AS (SELECT DISTINCT theme AS query, gram FROM gr WHERE theme % 10 = 0),
-sz AS (SELECT query, COUNT(*) AS qg FROM ak GROUP BY query),
-me AS (SELECT query, gr.theme, COUNT(*) AS votes FROM ak JOIN gr ON ak.gram = gr.gram JOIN us ON us.gram = gr.gram WHERE query <> gr.theme GROUP BY ALL HAVING COUNT(*) >= 2),
-sc AS (SELECT me.query, me.theme, votes, ROUND(votes / SQRT(tg * qg), 6) AS score FROM me JOIN ow ON ow.theme = me.theme JOIN sz ON sz.query = me.query)
-SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, votes DESC, theme) AS place FROM sc) WHERE place <= 10""")
+@query(f"{_SCORED} SELECT * FROM (SELECT query, theme, votes, score, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, votes DESC, theme) AS place FROM sc) WHERE place <= 10")
 def theme_search(spark, sf_dir):
     grams = _grams(spark, sf_dir)
     return matching.ranked(_asked(grams), grams).withColumn("place", F.col("place").cast("long"))

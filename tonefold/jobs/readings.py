@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import metadata, notes
 from ..operators import identify, intervals, matching, pairing, performances, sessions, stats, warps
 from ..sources.streams import MESSAGES_SQL, table
-from .catalog import HOUR_NS, _asked, _DESCRIBED, _grams, _GRAMS, _messages, _PAIRED, _segments, _SEGMENTS, _UNION, _weighted, query
+from .catalog import HOUR_NS, _asked, _DESCRIBED, _grams, _messages, _SCORED, _PAIRED, _segments, _SEGMENTS, _UNION, _weighted, query
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,20 +186,14 @@ def segment_verdicts(spark, sf_dir):
     return identify.verdicts(_onsets(spark, sf_dir), _themes(spark, sf_dir), cluster_ns=HOUR_NS // 60, ornament_ns=HOUR_NS)
 
 
-@query(f"""{_GRAMS}, us AS (SELECT gram FROM gr GROUP BY gram HAVING COUNT(*) <= 30000), nm AS (SELECT gram, COUNT(*) AS n FROM gr GROUP BY gram), ow AS (SELECT theme, COUNT(*) AS tg FROM gr GROUP BY theme),
-a0 AS (SELECT DISTINCT theme AS query, gram FROM gr WHERE theme % 10 = 0), sz AS (SELECT query, COUNT(*) AS qg FROM a0 GROUP BY query),
-a1 AS (SELECT a0.*, n, MIN(n) OVER (PARTITION BY query) AS rarest FROM a0 JOIN us ON us.gram = a0.gram JOIN nm ON nm.gram = a0.gram), ak AS (SELECT query, gram FROM a1 WHERE n <= 3000 OR rarest > 3000),
-m0 AS (SELECT query, gr.theme, COUNT(*) AS votes FROM ak JOIN gr ON ak.gram = gr.gram WHERE query <> gr.theme GROUP BY ALL), m1 AS (SELECT *, MAX(votes) OVER (PARTITION BY query) AS most FROM m0),
-sc AS (SELECT m1.query, m1.theme, votes, ROUND(votes / SQRT(tg * qg), 6) AS score FROM m1 JOIN ow ON ow.theme = m1.theme JOIN sz ON sz.query = m1.query WHERE votes >= 2 OR most < 2),
-tp AS (SELECT * FROM sc QUALIFY ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, votes DESC, theme) <= 200),
-wk AS (SELECT *, theme % 20 AS work FROM tp QUALIFY ROW_NUMBER() OVER (PARTITION BY query, theme % 20 ORDER BY score DESC, votes DESC, theme) = 1)
+@query(f"""{_SCORED}, tp AS (SELECT * FROM sc QUALIFY ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, votes DESC, theme) <= 200),
+wk AS (SELECT * FROM tp QUALIFY ROW_NUMBER() OVER (PARTITION BY query, work ORDER BY score DESC, votes DESC, theme) = 1)
 SELECT query, work, theme, votes, score, place FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, votes DESC, theme) AS place FROM wk) WHERE place <= 10""")
 def work_search(spark, sf_dir):
     """The ten best works for each asking theme, each by its best theme."""
     grams = _grams(spark, sf_dir)
     found = matching.ranked(_asked(grams), grams, top=200)
-    owners = grams.select("theme").distinct().withColumn("work", F.pmod("theme", F.lit(20)))
-    return matching.works(found, owners).withColumn("place", F.col("place").cast("long"))
+    return matching.works(found, grams.select("theme", "work").distinct()).withColumn("place", F.col("place").cast("long"))
 
 
 # --- time maps: an order's lines as times, its running quantity as the map, its running price as what was matched -------------

@@ -7,14 +7,11 @@ follows can't change it any more, so the lines are the same whatever the pieces.
 
 from __future__ import annotations
 
-import statistics
-from collections import deque
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from . import matching, sessions
+from . import matching, scans, sessions
 
 LINES = ("mel", "top", "bass")
 #: Onsets of one cluster, steps of an ornament (nanoseconds); steps that make an ornament; the register: notes remembered and semitones below their median.
@@ -27,66 +24,55 @@ class Reader:
     """Onsets (ns, note) of a segment, in order of ns, to places (line, pos, ns, pitch)."""
 
     def __init__(self, cluster_ns: int = CLUSTER_NS, ornament_ns: int = ORNAMENT_NS):
-        self.cluster_ns, self.ornament_ns = cluster_ns, ornament_ns
-        self.open: list[int] | None = None  # first ns, lowest and highest note
-        self.held: dict[str, list[tuple[int, int]]] = {line: [] for line in LINES}
+        self.clusters = scans.Clusters(cluster_ns)
+        self.register = scans.Register(MEMORY, BELOW)
+        self.trills = {line: scans.Trills(ornament_ns, ORNAMENT) for line in LINES}
         self.given = dict.fromkeys(LINES, 0)
-        self.register: deque[int] = deque(maxlen=MEMORY)
-
-    def _close(self) -> None:
-        ns, low, high = self.open
-        self.open = None
-        self.held["bass"].append((ns, low))
-        self.held["top"].append((ns, high))
-        if not self.register or high >= statistics.median(self.register) - BELOW:
-            self.register.append(high)
-            self.held["mel"].append((ns, high))
-
-    def _run(self, notes: list[tuple[int, int]], i: int) -> int:
-        """The last place of the to and fro between two neighbouring pitches that begins at i."""
-        j = i
-        while j + 1 < len(notes):
-            (t, p), (u, q) = notes[j], notes[j + 1]
-            if u - t > self.ornament_ns or not 1 <= abs(q - p) <= 2 or (j > i and q != notes[j - 1][1]):
-                break
-            j += 1
-        return j
+
+    def _placed(self, line: str, notes: list[tuple[int, int]]) -> list[tuple[str, int, int, int]]:
+        at = self.given[line]
+        self.given[line] += len(notes)
+        return [(line, at + i, *note) for i, note in enumerate(notes)]
+
+    def _closed(self, clusters: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, int]]:
+        tops = [(t, high) for t, _, high, _ in clusters]
+        notes = {"mel": self.register.feed(tops), "top": tops, "bass": [(t, low) for t, low, _, _ in clusters]}
+        return [place for line in LINES for place in self._placed(line, self.trills[line].feed(notes[line]))]
 
     def feed(self, onsets: Iterable[tuple[int, int]], end: bool = False) -> list[tuple[str, int, int, int]]:
-        for ns, note in onsets:
-            if self.open and ns - self.open[0] <= self.cluster_ns:
-                self.open[1:] = min(self.open[1], note), max(self.open[2], note)
-                continue
-            if self.open:
-                self._close()
-            self.open = [ns, note, note]
-        if end and self.open:
-            self._close()
-        out = []
-        for line, notes in self.held.items():
-            i = 0
-            while i < len(notes):
-                j = self._run(notes, i)
-                if j == len(notes) - 1 and not end:
-                    break  # the run may go on
-                out.append((line, self.given[line], *notes[i]))
-                self.given[line] += 1
-                i = j + 1 if j - i >= ORNAMENT else i + 1
-            del notes[:i]
-        return out
+        out = self._closed(self.clusters.feed(onsets))
+        return out + self.end() if end else out
 
+    def end(self) -> list[tuple[str, int, int, int]]:
+        out = self._closed(self.clusters.end())
+        return out + [place for line in LINES for place in self._placed(line, self.trills[line].end())]
 
-def lines(onsets: DataFrame, *, cluster_ns: int = CLUSTER_NS, ornament_ns: int = ORNAMENT_NS) -> DataFrame:
-    """take, segment, line, pos, ns, pitch of onsets (take, segment, ns, note). A task holds a segment, not a take."""
+    def fields(self) -> tuple:
+        """What goes on, as plain values: see `FIELDS`."""
+        trills = [self.trills[line] for line in LINES]
+        return (list(self.clusters.open or ()), list(self.register.last), [self.given[line] for line in LINES], [t.inside for t in trills], [[ns for ns, _ in t.held] for t in trills], [[p for _, p in t.held] for t in trills])
+
+    @classmethod
+    def of(cls, fields: tuple, cluster_ns: int, ornament_ns: int) -> Reader:
+        cluster, last, given, inside, ns, pitch = fields
+        reader = cls(cluster_ns, ornament_ns)
+        reader.clusters.open = tuple(cluster) or None
+        reader.register.last.extend(last)
+        reader.given = dict(zip(LINES, given))
+        for line, on, times, pitches in zip(LINES, inside, ns, pitch):
+            reader.trills[line].inside, reader.trills[line].held = bool(on), list(zip(times, pitches))
+        return reader
 
-    def read(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ns", "note"], kind="stable")
-        found = Reader(cluster_ns, ornament_ns).feed(zip(rows["ns"].tolist(), rows["note"].tolist()), end=True)
-        out = pd.DataFrame(found, columns=["line", "pos", "ns", "pitch"])
-        return out.assign(take=key[0], segment=key[1])[["take", "segment", "line", "pos", "ns", "pitch"]]
 
+#: Columns of a reader's fields.
+FIELDS = "cluster array<long>, register array<int>, given array<long>, inside array<boolean>, held_ns array<array<long>>, held_pitch array<array<int>>"
+
+
+def lines(onsets: DataFrame, *, cluster_ns: int = CLUSTER_NS, ornament_ns: int = ORNAMENT_NS) -> DataFrame:
+    """take, segment, line, pos, ns, pitch of onsets (take, segment, ns, note). Onsets at one time are in the order of notes; rows without a time or a note are
+    left out. A task runs through segments one after the other and holds what of one is still open."""
     rows = onsets.select("take", F.col("segment").cast("long").alias("segment"), "ns", "note")
-    return rows.groupBy("take", "segment").applyInPandas(read, "take long, segment long, line string, pos long, ns long, pitch int")
+    return scans.scanned(rows, ["take", "segment"], ["ns", "note"], ["ns", "note"], lambda: Reader(cluster_ns, ornament_ns), "line string, pos bigint, ns bigint, pitch int")
 
 
 def candidates(read: DataFrame, themes: DataFrame, *, n: int = 4, clamp: int = 15) -> DataFrame:

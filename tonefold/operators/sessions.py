@@ -2,43 +2,36 @@
 
 from __future__ import annotations
 
-import statistics
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import scans
+
+#: Width of the buckets of time in which sessions are cut.
+SPLIT_NS = 86_400 * 1_000_000_000
 
-def split(df: DataFrame, key: str, at: str, gap: int, *, tie: str) -> DataFrame:
-    """df with segment, 0 for a key's first: a new one begins where the gap to the row before is above `gap`."""
-    order = Window.partitionBy(key).orderBy(at, tie)
-    cut = (F.col(at) - F.lag(at).over(order) > gap).cast("int")
-    return df.withColumn("_cut", F.coalesce(cut, F.lit(0))).withColumn("segment", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
+def split(df: DataFrame, key: str, at: str, gap: int, *, tie: str, bucket: int = SPLIT_NS) -> DataFrame:
+    """df with segment, 0 for a key's first: a new one begins where the gap to the row before is above `gap`. Rows without a time belong to none and are left out.
 
-def heads(t: np.ndarray, width: int) -> np.ndarray:
-    """Places in sorted times at which anchored clusters begin: a time within `width` of a cluster's first one belongs to it. One search per cluster."""
-    found, i = [], 0
-    while i < len(t):
-        found.append(i)
-        i = int(np.searchsorted(t, t[i] + width, "right"))
-    return np.array(found, np.int64)
+    Cuts are found within buckets of time and carried over them by a row per bucket, so no task holds a key's rows.
+    """
+    rows = df.where(F.col(at).isNotNull()).withColumn("_bucket", F.floor(F.col(at) / bucket))
+    inner, outer = Window.partitionBy(key, "_bucket").orderBy(at, tie), Window.partitionBy(key).orderBy("_bucket")
+    cut = F.coalesce((F.col(at) - F.lag(at).over(inner) > gap).cast("int"), F.lit(0))
+    rows = rows.withColumn("_cut", cut).withColumn("_within", F.sum("_cut").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = rows.groupBy(key, "_bucket").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.sum("_cut").alias("_cuts"))
+    edges = edges.withColumn("_fresh", F.coalesce((F.col("_first") - F.lag("_last").over(outer) > gap).cast("int"), F.lit(0)))
+    before = F.sum(F.col("_cuts") + F.col("_fresh")).over(outer.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cuts")
+    edges = edges.select(key, "_bucket", before.alias("_before"))
+    return rows.join(edges, [key, "_bucket"]).withColumn("segment", F.col("_before") + F.col("_within")).select(*df.columns, "segment")
 
 
 def clusters(notes: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """keys, t, low, high, n: anchored clusters of the notes (t, note) of each group. Groups should be sessions, not whole streams.
+    """keys, t, low, high, n: anchored clusters of the notes (t, note) of each group: a note within `width` of a cluster's first one belongs to it.
 
-    A scan, as a cluster's reach depends on where it began, not on the row before.
+    Notes at one time are in the order of the notes; rows without a time or a note are left out. A scan, as a cluster's reach depends on where it began.
     """
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "note"], kind="stable")
-        t, note = rows["t"].to_numpy(), rows["note"].to_numpy()
-        first = heads(t, width)
-        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "t": t[first], "low": np.minimum.reduceat(note, first), "high": np.maximum.reduceat(note, first), "n": np.diff(np.append(first, len(t)))})
-
-    kinds = dict(notes.dtypes)
-    return notes.select(*keys, "t", "note").groupBy(*keys).applyInPandas(scan, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", t long, low int, high int, n int")
+    return scans.scanned(notes, keys, ["t", "note"], ["t", "note"], lambda: scans.Clusters(width), "t bigint, low int, high int, n int")
 
 
 def steps(df: DataFrame, key: list[str], order: list[str], pitch: str, clamp: int) -> DataFrame:
@@ -59,34 +52,11 @@ def ngrams(df: DataFrame, key: list[str], order: list[str], pitch: str, *, n: in
 
 def collapse_trills(df: DataFrame, keys: list[str], *, within_ns: int = 170_000_000, least: int = 5) -> DataFrame:
     """Rows (keys, ns, pitch) without the inner notes of trills: a run of `least` or more alternating steps of one or two semitones, each within
-    `within_ns`, becomes its first note. Greedy from the left, so one pass per group; groups should be sessions."""
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ns", "pitch"], kind="stable").reset_index(drop=True)
-        ns, pitch, keep, i = rows["ns"].tolist(), rows["pitch"].tolist(), [], 0
-        while i < len(ns):
-            j = i
-            while j + 1 < len(ns) and ns[j + 1] - ns[j] <= within_ns and 1 <= abs(pitch[j + 1] - pitch[j]) <= 2 and (j == i or pitch[j + 1] == pitch[j - 1]):
-                j += 1
-            keep.append(i)
-            i = j + 1 if j - i >= least else i + 1
-        return rows.iloc[keep]
-
-    return df.select(*keys, "ns", "pitch").groupBy(*keys).applyInPandas(scan, df.select(*keys, "ns", "pitch").schema)
+    `within_ns`, becomes its first note. Greedy from the left. Notes at one time are in the order of pitches; rows without a time or a pitch are left out."""
+    return scans.scanned(df, keys, ["ns", "pitch"], ["ns", "pitch"], lambda: scans.Trills(within_ns, least), f"ns bigint, pitch {dict(df.dtypes)['pitch']}")
 
 
 def register_line(df: DataFrame, keys: list[str], *, memory: int = 8, below: int = 11) -> DataFrame:
-    """Rows (keys, ns, pitch) that are not more than `below` under the median of the last `memory` admitted ones."""
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ns", "pitch"], kind="stable").reset_index(drop=True)
-        admitted: list[int] = []
-        keep = []
-        for i, p in enumerate(rows["pitch"].tolist()):
-            last = admitted[-memory:]
-            if not last or p >= statistics.median(last) - below:
-                admitted.append(p)
-                keep.append(i)
-        return rows.iloc[keep]
-
-    return df.select(*keys, "ns", "pitch").groupBy(*keys).applyInPandas(scan, df.select(*keys, "ns", "pitch").schema)
+    """Rows (keys, ns, pitch) that are not more than `below` under the median of the last `memory` admitted ones. Notes at one time are in the order of
+    pitches; rows without a time or a pitch are left out."""
+    return scans.scanned(df, keys, ["ns", "pitch"], ["ns", "pitch"], lambda: scans.Register(memory, below), f"ns bigint, pitch {dict(df.dtypes)['pitch']}")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.identify import CLUSTER_NS, ORNAMENT_NS, Reader
+from ..operators.identify import CLUSTER_NS, FIELDS, ORNAMENT_NS, Reader
 
 PLACE = "take long, segment long, line string, pos long, ns long, pitch int"
 
@@ -18,11 +17,14 @@ def lines(messages: DataFrame, *, gap_ns: int = 6_000_000_000, cluster_ns: int =
     """Places of lines of a stream of messages (take, seq, ns, kind, note, velocity), each once it can't change any more.
 
     A gap above gap_ns between onsets ends a segment; an `end` message ends the take. Messages of a take come in order of seq over micro-batches. The
-    state is the open cluster, the notes that may still be part of an ornament, and the register.
+    state is the open cluster, the notes that may still be part of an ornament, and the register, in columns of their own.
     """
 
     def read(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reader, segment, last = pickle.loads(state.get[0]) if state.exists else (Reader(cluster_ns, ornament_ns), 0, None)
+        segment, last, reader = 0, None, Reader(cluster_ns, ornament_ns)
+        if state.exists:
+            segment, last, *fields = state.get
+            reader = Reader.of(tuple(fields), cluster_ns, ornament_ns)
         rows = pd.concat(list(batches)).sort_values("seq")
         out: list[tuple] = []
 
@@ -38,8 +40,8 @@ def lines(messages: DataFrame, *, gap_ns: int = 6_000_000_000, cluster_ns: int =
                 some.append((ns, note))
                 last = ns
         give(some, False)
-        state.update((pickle.dumps((reader, segment, last)),))
+        state.update((segment, last, *reader.fields()))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in PLACE.split(", ")])
 
     notes = messages.where("(kind = 'note_on' AND velocity > 0) OR kind = 'end'").select("take", "seq", "ns", "kind", "note")
-    return notes.groupBy("take").applyInPandasWithState(read, PLACE, "reader binary", "append", GroupStateTimeout.NoTimeout)
+    return notes.groupBy("take").applyInPandasWithState(read, PLACE, f"segment long, last long, {FIELDS}", "append", GroupStateTimeout.NoTimeout)
