@@ -266,8 +266,14 @@ def opus_forms(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", metadata.opus_form(ops, onm).alias("opus"))
 
 
-@query(r"""SELECT doc_id, trim(CASE WHEN o = '' THEN '' ELSE 'Op. ' || o END || CASE WHEN n = '' THEN '' ELSE ' No. ' || n END) AS opus, c AS catalogue FROM (SELECT doc_id, regexp_extract(f, '(?i)^op(?:us|\.)?\s*([0-9]+[a-z]?)', 1) AS o, regexp_extract(f, '(?i)n[or]\.?\s*([0-9]+[a-z]?)$', 1) AS n, c
-FROM (SELECT doc_id, regexp_extract(coalesce(text, ''), '(?i)\bop(?:us|\.)?\s*[0-9]+[a-z]?(?:\s*,?\s*n[or]\.?\s*[0-9]+[a-z]?)?', 0) AS f, regexp_replace(regexp_replace(regexp_extract(coalesce(text, ''), '(?i)\b(?:""" + "|".join(c.replace("\\\\", "\\") for c in metadata.CATALOGUES) + r""")\b', 0), '\s+', ' ', 'g'), '^[ .,;:]+|[ .,;:]+$', '', 'g') AS c FROM documents))""")
+_NUMBERED = metadata.NUMBERED
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{_NUMBERED}', 1), lambda w: lower(w)) AS w, regexp_extract_all(text, '{_NUMBERED}', 2) AS v, regexp_extract_all(text, '{_NUMBERED}', 0) AS x, regexp_split_to_array(text, '{_NUMBERED}') AS b FROM d),
+p AS (SELECT *, COALESCE(list_position(list_transform(w, lambda a: a IN ('op', 'opus')), TRUE), 0) AS o, COALESCE(list_position(list_transform(w, lambda a: a IN ({", ".join(f"'{c.lower()}'" for c in metadata.CATALOGUES)})), TRUE), 0) AS c FROM n)
+SELECT doc_id, CASE WHEN o = 0 THEN '' WHEN COALESCE(w[o + 1], '') IN ('no', 'nr') AND regexp_matches(b[o + 1], '^\\s*,?\\s*$') THEN 'Op. ' || v[o] || ' No. ' || v[o + 1] ELSE 'Op. ' || v[o] END AS opus,
+  CASE WHEN c = 0 THEN '' ELSE regexp_replace(x[c], '\\s+', ' ', 'g') END AS catalogue FROM p""")
 def works_named(spark, sf_dir):
     """The first opus and catalogue number that each document names."""
     return table(spark, sf_dir, "documents").select("doc_id", metadata.opus(F.col("text")).alias("opus"), metadata.catalogue(F.col("text")).alias("catalogue"))
