@@ -71,19 +71,24 @@ FROM w LEFT JOIN cut ON w.doc_id = cut.doc_id"""
 
 
 def licences() -> str:
-    case = "CASE s " + " ".join(f"WHEN '{text}' THEN '{name}'" for name, text in licence_scan.SENTENCES.items()) + " END"
+    every = licence_scan.sentences()
+    of = lambda sentence: licence_scan.expression(sentence, " ", " ")
+    case = "CASE " + " ".join(f"WHEN regexp_full_match(s, '{of(text)}') THEN '{name}'" for name, text in every) + " END"
     plain = "lower(text)"
     for pattern, mark in licence_scan.MARKED:
         plain = f"regexp_replace({plain}, '{pattern}', '{mark}', 'g')"
     # each mark twice: one ends a sentence, one begins the next
     plain = f"replace(replace(trim({plain}), 'L', 'LL'), 'P', 'PP')"
-    sentences = "|".join(sorted(licence_scan.SENTENCES.values(), key=len, reverse=True)).replace(" ", "(?: |LL)")
-    found = f"list_transform(regexp_extract_all({plain}, '(?:^|[LP])({sentences})(?:[LP]|$)', 1), lambda s: replace(s, 'LL', ' '))"
-    steps = ["a AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)", f"b AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{licence_scan.ANCHORS}') THEN list_transform({found}, lambda s: {case}) ELSE [] END AS ids FROM a)"]
-    steps.append("s0 AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS rest, CAST([] AS VARCHAR[]) AS found FROM b)")
+    sentences = "|".join(licence_scan.expression(text, "(?: |LL)", "(?: |LL|PP)") for _, text in every)
+    pattern = f"(?:^|[LP])({sentences})(?:[LP]|$)"
+    found = f"list_transform(regexp_extract_all(p, '{pattern}', 1), lambda s: replace(replace(s, 'LL', ' '), 'PP', ' '))"
+    between = f"list_transform(regexp_split_to_array(p, '{pattern}'), lambda x: (len(x) - len(replace(x, 'P', ''))) // 2)"
+    steps = [f"a AS (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{licence_scan.ANCHORS}') THEN {plain} ELSE '' END AS p FROM documents)", f"b AS (SELECT doc_id, list_transform({found}, lambda s: {case}) AS ids, {between} AS u FROM a)"]
+    steps.append(f"s0 AS (SELECT doc_id, ids, ' ' || array_to_string(list_transform(ids, lambda x, i: CASE WHEN u[i] > {licence_scan.APART} THEN ';  ' || x ELSE x END), '  ') || ' ' AS rest, CAST([] AS VARCHAR[]) AS found FROM b)")
     for i, (licence, ids) in enumerate(licence_scan.RULES):
         rule = " " + "  ".join(ids) + " "
-        steps.append(f"s{i + 1} AS (SELECT doc_id, ids, replace(rest, '{rule}', ' ; ') AS rest, CASE WHEN contains(rest, '{rule}') AND NOT list_contains(found, '{licence}') THEN list_append(found, '{licence}') ELSE found END AS found FROM s{i})")
+        now = f"CASE WHEN contains(rest, '{rule}') AND NOT list_contains(found, '{licence}') THEN list_append(found, '{licence}') ELSE found END" if licence else "found"
+        steps.append(f"s{i + 1} AS (SELECT doc_id, ids, replace(rest, '{rule}', ' ; ') AS rest, {now} AS found FROM s{i})")
     return f"WITH {', '.join(steps)} SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentences, array_to_string(found, ',') AS licences FROM s{len(licence_scan.RULES)}"
 
 
