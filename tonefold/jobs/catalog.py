@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import metadata, notes, scores
-from ..operators import alignment, framing, integrity, intervals, matching, melody, pairing, sessions, stats
+from ..operators import alignment, correspondence, framing, integrity, intervals, matching, melody, pairing, sessions, stats
 from ..sources.streams import MESSAGES_SQL, messages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -458,6 +458,40 @@ def fitted_warps(spark, sf_dir):
     return alignment.warp_quality(alignment.warps(alignment.align(_sides(spark, sf_dir))))
 
 
+@query()
+def refined_takes(spark, sf_dir):
+    """Pairs of takes aligned by pitch, then by pitch and time in turn until the matches stay: which were refined, and with what smoothness."""
+    matches, fits = correspondence.alternate(_sides(spark, sf_dir), [0.01, 0.1, 1.0, 10.0], horizon=720.0)
+    return fits.join(matches.groupBy("pair").agg(F.count("*").alias("matched"), F.max("pass_").alias("passes")), "pair")
+
+
+_CHORDS = f"""ch AS (SELECT take // 2 AS pair, CASE WHEN take % 2 = 0 THEN 'a' ELSE 'b' END AS side, CAST(ns // {72 * HOUR_NS} AS DOUBLE) AS t, list_sort(list(DISTINCT note)) AS notes FROM m WHERE kind = 'note_on' GROUP BY ALL),
+ev AS (SELECT *, len(notes) AS c, ROW_NUMBER() OVER (PARTITION BY pair, side ORDER BY t) - 1 AS n FROM ch),
+mt AS (SELECT * FROM (SELECT a.pair, a.n AS i, b.n AS j, a.t, b.t AS s, a.c AS ca, b.c AS cb, 1 - len(list_intersect(a.notes, b.notes)) / len(list_distinct(list_concat(a.notes, b.notes))) AS cost FROM ev a JOIN ev b ON a.pair = b.pair AND a.n = b.n AND a.side = 'a' AND b.side = 'b') WHERE cost <= 0.5)"""
+
+
+def _side_census(side: str) -> str:
+    return f"""s{side} AS (SELECT ev.pair, COUNT(*) AS e, SUM(c) AS k, COUNT(*) FILTER (WHERE n BETWEEN {side}0 AND {side}1) AS ce, SUM(c) FILTER (WHERE n BETWEEN {side}0 AND {side}1) AS ck, MIN(t) FILTER (WHERE n = {side}0) AS s0, MIN(t) FILTER (WHERE n = {side}1) AS s1
+FROM ev JOIN co ON co.pair = ev.pair WHERE side = '{side}' GROUP BY ev.pair)"""
+
+
+@query(f"""WITH {MESSAGES_SQL}, {_CHORDS},
+co AS (SELECT pair, MIN(i) AS a0, MAX(i) AS a1, MIN(j) AS b0, MAX(j) AS b1, COUNT(*) AS m, SUM(ca) AS ma, SUM(cb) AS mb, COUNT(*) FILTER (WHERE cost = 0) AS x, AVG(cost) AS ac FROM mt GROUP BY pair),
+{_side_census('a')}, {_side_census('b')}
+SELECT co.pair, a.e AS events_a, b.e AS events_b, CAST(a.k AS BIGINT) AS notes_a, CAST(b.k AS BIGINT) AS notes_b, m AS matched, CAST(ma AS BIGINT) AS matched_notes_a, CAST(mb AS BIGINT) AS matched_notes_b, x AS exact_pairs, ROUND(ac, 6) AS mean_pair_cost, a.ce AS core_events_a, b.ce AS core_events_b,
+  CAST(a.ck AS BIGINT) AS core_notes_a, CAST(b.ck AS BIGINT) AS core_notes_b, a.s0 AS core_start_a, a.s1 AS core_end_a, b.s0 AS core_start_b, b.s1 AS core_end_b, a.ce - m AS dropped_in_core_a, b.ce - m AS added_in_core_b, a0 AS head_a, a.e - 1 - a1 AS tail_a, b0 AS head_b, b.e - 1 - b1 AS tail_b,
+  a.e - a.ce AS outside_core_a, b.e - b.ce AS outside_core_b, CAST(a.k - a.ck AS BIGINT) AS outside_core_notes_a, CAST(b.k - b.ck AS BIGINT) AS outside_core_notes_b, ROUND(m / a.e, 6) AS match_rate_a, ROUND(m / a.ce, 6) AS match_rate_core_a, ROUND(m / b.ce, 6) AS match_rate_core_b
+FROM co JOIN sa a ON a.pair = co.pair JOIN sb b ON b.pair = co.pair""")
+def match_census(spark, sf_dir):
+    """The account of two takes matched place by place: chords of three days are a pair where they share half of their notes."""
+    strikes = _messages(spark, sf_dir).where("kind = 'note_on'").withColumn("t", F.floor(F.col("ns") / (72 * HOUR_NS)).cast("double"))
+    chords = strikes.groupBy(F.floor(F.col("take") / 2).alias("pair"), F.when(F.col("take") % 2 == 0, "a").otherwise("b").alias("side"), "t").agg(F.collect_set("note").alias("notes"))
+    rows = correspondence.indexed(chords, bucket=100.0)
+    side = lambda s, place, at, notes: rows.where(F.col("side") == s).select("pair", F.col("n").alias("n"), F.col("n").alias(place), F.col("t").alias(at), F.col("notes").alias(notes))
+    met = side("a", "i", "t", "x").join(side("b", "j", "s", "y"), ["pair", "n"]).withColumn("cost", F.round(correspondence.event_cost(F.col("x"), F.col("y")), 9))
+    return correspondence.census(rows, met.where(F.col("cost") <= correspondence.TAU).select("pair", "i", "j", "t", "s", "cost"))
+
+
 @query(f"{_PAIRED} SELECT note, COUNT(*) AS n, CAST(SUM((ns_off - ns_on) // 1000) AS BIGINT) AS micros, ROUND(AVG(velocity_on), 4) AS velocity FROM iv GROUP BY note")
 def keys(spark, sf_dir):
     paired = pairing.intervals(_messages(spark, sf_dir))

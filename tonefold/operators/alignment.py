@@ -1,113 +1,17 @@
-"""Aligning pairs of performances: local alignment of onset events, and a monotone time map fitted to the matches.
-
-Events are (t, notes). Pairs are independent, so Spark deals them out; within a pair the dynamic program is a NumPy kernel.
-"""
+"""Aligning pairs of performances: matched onset events, a monotone time map fitted to them, and how well it fits."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-
-
-def event_distance(a: Column, b: Column) -> Column:
-    """1 - 0.75 Jaccard of two note arrays - 0.25 Jaccard of their pitch classes."""
-    def jaccard(x: Column, y: Column) -> Column:
-        return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(1.0))
-
-    classes = lambda x: F.transform(x, lambda n: F.pmod(n, F.lit(12)))
-    return 1 - 0.75 * jaccard(a, b) - 0.25 * jaccard(classes(a), classes(b))
-
-
-def scores(a: list[list[int]], b: list[list[int]], tau: float) -> np.ndarray:
-    """tau - distance of each two events, as matrix products of presence rows."""
-    def presence(events: list[list[int]], fold: int) -> np.ndarray:
-        out = np.zeros((len(events), fold))
-        for row, notes in zip(out, events):
-            row[[n % fold for n in notes]] = 1
-        return out
-
-    total = np.zeros((len(a), len(b)))
-    for fold, weight in ((128, 0.75), (12, 0.25)):
-        x, y = presence(a, fold), presence(b, fold)
-        both = x @ y.T
-        either = x.sum(1)[:, None] + y.sum(1)[None, :] - both
-        total += weight * np.where(either > 0, both / np.maximum(either, 1), 1.0)
-    return tau - (1 - total)
-
+from pyspark.sql import DataFrame, functions as F
 
-def local_alignment(score: np.ndarray, gap: float) -> list[tuple[int, int]]:
-    """Matched (i, j) of the best local alignment; where ways tie, a match before a skip in a, that before one in b."""
-    n, m = score.shape
-    best = np.zeros((n + 1, m + 1))
-    step = np.zeros((n + 1, m + 1), np.int8)
-    for d in range(2, n + m + 1):  # cells of an anti-diagonal depend on those of the two before
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        ways = np.stack([np.zeros(len(i)), best[i - 1, j - 1] + score[i - 1, j - 1], best[i - 1, j] - gap, best[i, j - 1] - gap])
-        top = ways.max(0)
-        best[i, j] = top
-        step[i, j] = np.where(top <= 0, 0, 1 + (ways[1:] == top).argmax(0))
-    i, j = np.unravel_index(np.argmax(best), best.shape)
-    out = []
-    while step[i, j]:
-        if step[i, j] == 1:
-            out.append((int(i) - 1, int(j) - 1))
-        i, j = i - (step[i, j] != 3), j - (step[i, j] != 2)
-    return out[::-1]
+from . import correspondence
+from .warps import fit, fitted
 
 
-def align(events: DataFrame, *, gap: float = 0.5, tau: float = 0.5) -> DataFrame:
-    """pair, i, j, t, s: matched events of the two sides of each pair; events: pair, side (a or b), t, notes."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        a, b = rows[rows["side"] == "a"], rows[rows["side"] == "b"]
-        matched = local_alignment(scores([list(x) for x in a["notes"]], [list(x) for x in b["notes"]], tau), gap) if len(a) and len(b) else []
-        i, j = [x for x, _ in matched], [y for _, y in matched]
-        return pd.DataFrame({"pair": rows["pair"].iloc[0], "i": i, "j": j, "t": a["t"].to_numpy()[i] if i else [], "s": b["t"].to_numpy()[j] if j else []})
-
-    return events.select("pair", "side", "t", "notes").groupBy("pair").applyInPandas(one, "pair long, i long, j long, t double, s double")
-
-
-def fit(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float) -> tuple[np.ndarray, float, int]:
-    """Values at t of the piecewise-linear map that minimises sum (phi - s)^2 + smooth * sum slope^2 * dt, its degrees of freedom, and how many stretches have the least slope.
-
-    The map keeps both ends of s, and no slope is below least_slope_part of the mean one. A quadratic program by active sets: each round solves the system
-    with the held stretches as equations, then holds the first stretch in the way or frees the one that is held most wrongly.
-    """
-    h, n = np.diff(t), len(t) - 2
-    total = s[-1] - s[0]
-    least = least_slope_part * total / (t[-1] - t[0])
-    if n < 1:
-        return s.astype(float), 0.0, 0
-    stiff = np.diag(1 / h[:-1] + 1 / h[1:]) - np.diag(1 / h[1:-1], 1) - np.diag(1 / h[1:-1], -1)
-    system = np.eye(n) + smooth * stiff
-    target = s[1:-1] - s[0] + smooth * np.append(np.zeros(n - 1), total / h[-1])
-    rises = np.eye(n + 1, n) - np.eye(n + 1, n, -1)  # of each stretch from the inner values
-    floor = least * h - np.append(np.zeros(n), total)
-    freedom = float(np.trace(np.linalg.inv(system)))
-    x = np.linalg.solve(system, target)
-    if (rises @ x >= floor).all():  # the minimum without bounds keeps them
-        return s[0] + np.concatenate([[0.0], x, [total]]), freedom, 0
-    x, held = (t[1:-1] - t[0]) * total / (t[-1] - t[0]), []
-    for _ in range(20 * (n + 1)):
-        k = len(held)
-        kkt = np.block([[system, rises[held].T], [rises[held], np.zeros((k, k))]])
-        found = np.linalg.lstsq(kkt, np.concatenate([target - system @ x, np.zeros(k)]), rcond=None)[0]
-        step, force = found[:n], -found[n:]
-        if np.abs(step).max() < 1e-11 * max(1.0, abs(total)):
-            if not k or force.min() >= -1e-9:
-                break
-            held.pop(int(force.argmin()))
-            continue
-        along, slack = rises @ step, rises @ x - floor
-        room = np.where((along < -1e-15) & ~np.isin(np.arange(n + 1), held), np.maximum(slack, 0) / np.maximum(-along, 1e-300), np.inf)
-        first = int(room.argmin())
-        x = x + min(1.0, room[first]) * step
-        if room[first] < 1:
-            held.append(first)
-    return s[0] + np.concatenate([[0.0], x, [total]]), freedom, len(held)
+def align(events: DataFrame, *, gap: float = correspondence.GAP, tau: float = correspondence.TAU) -> DataFrame:
+    """pair, i, j, t, s: matched events of the two sides of each pair by pitch alone; events: pair, side (a or b), t, notes. See `correspondence`."""
+    return correspondence.correspond(correspondence.indexed(events), gap=gap, tau=tau).select("pair", "i", "j", "t", "s")
 
 
 def fit_map(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float) -> np.ndarray:
@@ -116,15 +20,7 @@ def fit_map(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float
 
 def warps(matches: DataFrame, *, smooth: float = 0.1, least_slope_part: float = 0.05) -> DataFrame:
     """pair, t, s, phi: the fitted map at each matched time; pairs of fewer than two distinct times, or whose second side stands still, are left out."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t").drop_duplicates("t")
-        if len(rows) < 2 or rows["s"].iloc[-1] <= rows["s"].iloc[0]:
-            return pd.DataFrame({"pair": [], "t": [], "s": [], "phi": []})
-        t, s = rows["t"].to_numpy(), rows["s"].to_numpy()
-        return pd.DataFrame({"pair": rows["pair"], "t": t, "s": s, "phi": fit_map(t, s, smooth, least_slope_part)})
-
-    return matches.select("pair", "t", "s").groupBy("pair").applyInPandas(one, "pair long, t double, s double, phi double")
+    return fitted(matches.select("pair", "t", "s", F.lit(smooth).alias("smooth")), least_slope_part=least_slope_part)
 
 
 def warp_quality(fitted: DataFrame) -> DataFrame:

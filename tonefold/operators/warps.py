@@ -11,7 +11,125 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .alignment import fit
+
+def _solved(diagonal: np.ndarray, beside: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solution of a symmetric tridiagonal system, by elimination."""
+    d, e, b = diagonal.tolist(), beside.tolist(), right.tolist()
+    for i in range(1, len(d)):
+        by = e[i - 1] / d[i - 1]
+        d[i] -= by * e[i - 1]
+        b[i] -= by * b[i - 1]
+    for i in range(len(d) - 1, -1, -1):
+        b[i] = (b[i] - (e[i] * b[i + 1] if i + 1 < len(d) else 0.0)) / d[i]
+    return np.array(b)
+
+
+def _inverse_trace(diagonal: np.ndarray, beside: np.ndarray) -> float:
+    """Trace of the inverse of a symmetric tridiagonal matrix: of the pivots from either end."""
+    def pivots(d: list[float], e: list[float]) -> np.ndarray:
+        for i in range(1, len(d)):
+            d[i] -= e[i - 1] ** 2 / d[i - 1]
+        return np.array(d)
+
+    down, up = pivots(diagonal.tolist(), beside.tolist()), pivots(diagonal[::-1].tolist(), beside[::-1].tolist())[::-1]
+    return float((1 / (down + up - diagonal)).sum())
+
+
+class _Map:
+    """The map's quadratic program: nodes from 0 to total, values to come near, stretches that may not rise by less than `least`."""
+
+    def __init__(self, h: np.ndarray, wanted: np.ndarray, total: float, smooth: float, least: np.ndarray):
+        self.h, self.wanted, self.total, self.least = h, wanted, total, least
+        self.pull = smooth / h
+
+    def with_held(self, held: np.ndarray) -> np.ndarray:
+        """The minimum with the held stretches at their least rise: nodes that they tie are one unknown, so the system stays tridiagonal."""
+        first = np.flatnonzero(np.append(True, ~held))  # nodes at which a tied run begins
+        rise = np.append(0.0, np.cumsum(np.where(held, self.least, 0.0)))
+        offset = rise - np.repeat(rise[first], np.diff(np.append(first, len(rise))))
+        last = np.append(first[1:], len(rise)) - 1
+        x = np.empty(len(rise))
+        x[: last[0] + 1] = offset[: last[0] + 1]
+        x[first[-1] :] = self.total - offset[-1] + offset[first[-1] :]
+        if len(first) > 2:
+            a, z = first[1:-1], last[1:-1]
+            before, after = self.pull[a - 1], self.pull[z]
+            sums = np.append(0.0, np.cumsum(self.wanted - offset[1:-1]))
+            right = sums[z] - sums[a - 1] - after * offset[z]
+            right += before * np.append(x[last[0]], offset[z[:-1]])
+            right[-1] += after[-1] * x[first[-1]]
+            found = _solved((z - a + 1) + before + after, -after[:-1], right)
+            x[a[0] : z[-1] + 1] = np.repeat(found, z - a + 1) + offset[a[0] : z[-1] + 1]
+        return x
+
+    def forces(self, x: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """What each held stretch pushes with; below zero it is held wrongly."""
+        flow = self.pull * np.diff(x)
+        slope = (x[1:-1] - self.wanted) + flow[:-1] - flow[1:]  # of the inner nodes
+        sums = np.append(0.0, np.cumsum(slope))  # of nodes 1 to k
+        free = np.flatnonzero(~held)
+        start = free[np.maximum(np.searchsorted(free, np.arange(len(held)), "right") - 1, 0)]
+        begin = np.where(np.arange(len(held)) < free[0], -1, start)
+        from_left = sums - sums[np.maximum(begin, 0)]  # up to node k, from the run's beginning
+        return np.where(held, np.where(begin < 0, sums[free[0]] - sums, -from_left), 0.0)
+
+
+def fit(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float) -> tuple[np.ndarray, float, int]:
+    """Values at t of the piecewise-linear map that minimises sum (phi - s)^2 + smooth * sum slope^2 * dt, its degrees of freedom, and how many stretches have the least slope.
+
+    The map keeps both ends of s, and no slope is below least_slope_part of the mean one. Each round solves a tridiagonal system with the held stretches tied, then holds all
+    that are in the way and frees all that are held wrongly; if that doesn't settle, one stretch at a time from a map that keeps the bounds.
+    """
+    t, s = np.asarray(t, float), np.asarray(s, float)
+    h, n = np.diff(t), len(t) - 2
+    total = s[-1] - s[0]
+    if n < 1:
+        return s.copy(), 0.0, 0
+    least = least_slope_part * total / (t[-1] - t[0]) * h
+    problem = _Map(h, s[1:-1] - s[0], total, smooth, least)
+    freedom = _inverse_trace(1 + problem.pull[:-1] + problem.pull[1:], -problem.pull[1:-1])
+    near = 1e-12 * max(1.0, abs(total))
+    held = np.zeros(n + 1, bool)
+    for _ in range(60):
+        x = problem.with_held(held)
+        now = np.where(held, problem.forces(x, held) >= -1e-9, np.diff(x) < least - near)
+        if (now == held).all():
+            return s[0] + x, freedom, int(held.sum())
+        if now.all():
+            break
+        held = now
+    x, held = (t - t[0]) * total / (t[-1] - t[0]), np.zeros(n + 1, bool)
+    while True:
+        step = problem.with_held(held) - x
+        if np.abs(step).max() <= near:
+            force = problem.forces(x, held)
+            if not held.any() or force.min() >= -1e-9:
+                return s[0] + x, freedom, int(held.sum())
+            held[int(force.argmin())] = False
+            continue
+        along, room = np.diff(step), np.full(n + 1, np.inf)
+        into = ~held & (along < -1e-15)
+        room[into] = np.maximum(np.diff(x)[into] - least[into], 0) / -along[into]
+        k = int(room.argmin())
+        x = x + min(1.0, room[k]) * step
+        if room[k] < 1:
+            held[k] = True
+
+
+def fitted(matches: DataFrame, *, least_slope_part: float = 0.05) -> DataFrame:
+    """pair, t, s, phi: the map at each matched time of matches (pair, t, s, smooth). Of matches at one time the least s counts; pairs of fewer than two times, or whose second
+    side stands still, are left out. A pair is a row of arrays, so a task runs through its pairs without a call for each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            phi = [fit(t, s, smooth, least_slope_part)[0] for t, s, smooth in zip(batch["t"], batch["s"], batch["smooth"])]
+            yield pd.DataFrame({"pair": batch["pair"], "t": batch["t"], "s": batch["s"], "phi": phi})
+
+    points = matches.where("t IS NOT NULL AND s IS NOT NULL").groupBy("pair", "smooth", "t").agg(F.min("s").alias("s"))
+    rows = points.groupBy("pair", "smooth").agg(F.array_sort(F.collect_list(F.struct("t", "s"))).alias("p")).where((F.size("p") >= 2) & (F.element_at("p.s", -1) > F.element_at("p.s", 1)))
+    rows = rows.select("pair", "smooth", F.col("p.t").cast("array<double>").alias("t"), F.col("p.s").cast("array<double>").alias("s"))
+    done = rows.mapInPandas(run, "pair long, t array<double>, s array<double>, phi array<double>")
+    return done.select("pair", F.explode(F.arrays_zip("t", "s", "phi")).alias("x")).select("pair", "x.t", "x.s", "x.phi")
 
 
 def slopes(points: DataFrame) -> DataFrame:
