@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import metadata, notes
-from ..operators import identify, intervals, matching, pairing, performances, sessions, stats, warps
+from ..operators import identify, ingest, intervals, matching, pairing, performances, sessions, stats, warps
+from ..sources.stored import shared_folder
 from ..sources.streams import MESSAGES_SQL, table
 from .catalog import HOUR_NS, _asked, _DESCRIBED, _grams, _messages, _SCORED, _PAIRED, _segments, _SEGMENTS, _UNION, _weighted, query
 
@@ -196,6 +199,21 @@ def work_search(spark, sf_dir):
     return matching.works(found, grams.select("theme", "work").distinct()).withColumn("place", F.col("place").cast("long"))
 
 
+@query(f"{_PAIRED} SELECT take, note, on_seq, off_seq, ns_on, ns_off, velocity_on, velocity_off, closure, CASE closure WHEN 'note_off' THEN 0 ELSE 1 END AS defects FROM iv")
+def stored_intervals(spark, sf_dir):
+    """Every take stored in two commits, cut at the middle event, and read back: its intervals, with how many defects name each."""
+    path = f"{shared_folder(spark)}/takes-{uuid.uuid4().hex}"
+    heard = _messages(spark, sf_dir)
+    middle = heard.agg(F.expr("(min(seq) + max(seq)) div 2 AS middle"))
+    cut = heard.join(F.broadcast(middle))  # one row
+    for part, ended in ((cut.where("seq <= middle"), False), (cut.where("seq > middle"), True)):
+        takes_ = (heard if ended else part).select("take").distinct().withColumn("complete", F.lit(ended))
+        ingest.store(part.drop("middle"), takes_, path)
+    named = ingest.table(spark, path, "defects").where("cls IN ('restrike', 'end_of_take')").groupBy("take", F.col("seq").alias("on_seq")).agg(F.count("*").cast("int").alias("defects"))
+    rows = ingest.table(spark, path, "intervals").drop("run", "version")
+    return rows.join(named, ["take", "on_seq"], "left").fillna(0, ["defects"])
+
+
 # --- time maps: an order's lines as times, its running quantity as the map, its running price as what was matched -------------
 
 

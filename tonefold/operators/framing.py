@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType
 
+from .running import running_sum
+
+#: Packet numbers of a bucket in which messages are counted.
+BUCKET = 1 << 16
+
 #: Lengths of system messages of more than a byte; those of one byte; the others have 3 bytes, or 2 for program change and channel pressure.
 SYSTEM = {0xF1: 2, 0xF2: 3, 0xF3: 2}
 ALONE = (0xF6, 0xF8, 0xF9, 0xFA, 0xFB, 0xFC, 0xFD, 0xFE, 0xFF)
@@ -60,10 +65,10 @@ def classify(raw: Column) -> tuple[Column, Column, Column, Column]:
 
 
 def framed(packets: DataFrame) -> DataFrame:
-    """Messages of packets (take, packet_seq, ns, data): take, seq, packet_seq, ns, kind, channel, note, velocity, raw. seq counts a take's messages."""
+    """Messages of packets (take, packet_seq, ns, data): take, seq, packet_seq, ns, kind, channel, note, velocity, raw. seq counts a take's messages; packets of one number are in any order."""
     parts = packets.withColumn("parts", split_messages("data"))
-    before = Window.partitionBy("take").orderBy("packet_seq").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("first", F.coalesce(F.sum(F.size("parts")).over(before), F.lit(0)))
+    parts = running_sum(parts.withColumn("_size", F.size("parts")), ["take"], ["packet_seq"], "_size", "_upto", F.floor(F.col("packet_seq") / BUCKET))
+    parts = parts.withColumn("first", F.col("_upto") - F.col("_size"))
     rows = parts.select("take", "packet_seq", "ns", "first", F.posexplode("parts").alias("i", "raw"))
     kind, channel, d1, d2 = classify(F.col("raw"))
     kind = F.when((kind == "note_on") & (d2 == 0), "note_off").otherwise(kind)

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SCHEMA = "path string, byte_offset long, kind string, ns long, data binary, key string, value string"
+#: byte_offset and byte_end: where a line begins, and where the next one does.
+SCHEMA = "path string, byte_offset long, kind string, ns long, data binary, key string, value string, byte_end long"
 
 
 def parse(path: str, chunk: bytes, base: int) -> tuple[list[tuple], int]:
@@ -24,11 +25,11 @@ def parse(path: str, chunk: bytes, base: int) -> tuple[list[tuple], int]:
         line = chunk[at:end].decode("ascii", "replace").strip()
         if line.startswith("#"):
             key, _, value = line[1:].strip().partition(" ")
-            rows.append((path, base + at, "trailer" if key == "end" else "header", None, None, key, value.strip()))
+            rows.append((path, base + at, "trailer" if key == "end" else "header", None, None, key, value.strip(), base + end + 1))
         elif line:
             stamp, *data = line.split()
             try:
-                rows.append((path, base + at, "packet", int(stamp), bytes(int(b, 16) for b in data), None, None))
+                rows.append((path, base + at, "packet", int(stamp), bytes(int(b, 16) for b in data), None, None, base + end + 1))
                 if not data:
                     raise ValueError("no bytes")
             except ValueError:
@@ -69,13 +70,14 @@ def _rows(span: Span) -> Iterator[tuple]:
 
 
 class CaptureReader(DataSourceReader):
-    """A partition per file; `paths` holds them, one per line."""
+    """A partition per file; `paths` holds them, one per line, and `starts`, if given, the byte from which on each is read."""
 
     def __init__(self, options: dict):
         self.paths = [p for p in (options.get("paths") or options.get("path") or "").split("\n") if p]
+        self.starts = [int(n) for n in (options.get("starts") or "").split("\n") if n] or [0] * len(self.paths)
 
     def partitions(self) -> list[Span]:
-        return [Span(p, 0, None) for p in self.paths]
+        return [Span(p, start, None) for p, start in zip(self.paths, self.starts, strict=True)]
 
     def read(self, partition: Span) -> Iterator[tuple]:
         return _rows(partition)
