@@ -144,7 +144,7 @@ def polyphony_at_controls(spark, sf_dir):
     """How many notes sound at each control message, from the swept levels."""
     asked = _messages(spark, sf_dir).where("kind = 'control'").select("take", F.col("ns").alias("t"), "seq")
     levels = intervals.levels(_weighted(spark, sf_dir), "take").select("take", "t", F.col("level").cast("long").alias("level"))
-    found = performances.as_of(levels, asked.select("take", "t").distinct(), ["take"], ["t"], "level")
+    found = performances.as_of(levels, asked.select("take", "t").distinct(), ["take"], ["t"], "level", F.floor(F.col("t") / intervals.SWEEP_NS))
     return asked.join(found, ["take", "t"]).select("take", "seq", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
 
 

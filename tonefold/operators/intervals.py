@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..sources.streams import PEDAL
 from .running import running, running_sum
 
-#: Width of the buckets in which levels are swept.
+#: Width of the buckets in which levels are swept; messages of a bucket in which neighbours are sought.
 SWEEP_NS = 86_400 * 1_000_000_000
+BUCKET = 1 << 16
 
 
 def merge(df: DataFrame, keys: list[str], *, bucket_ns: int = SWEEP_NS) -> DataFrame:
@@ -27,9 +28,8 @@ def measure(df: DataFrame, keys: list[str]) -> DataFrame:
 def plateaus(union: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """key, a, b: what a union leaves free of the span (start, stop) of its key."""
     edges = union.select(key, "a", "b").unionByName(spans.select(key, F.col("start").alias("a"), F.col("start").alias("b"))).unionByName(spans.select(key, F.col("stop").alias("a"), F.col("stop").alias("b")))
-    order = Window.partitionBy(key).orderBy("a", "b")
-    free = edges.select(key, F.max("b").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("a"), F.lead("a").over(order).alias("b"))
-    return free.where("b > a")
+    rows = running(edges, [key], ["a", "b"], F.floor(F.col("a") / SWEEP_NS), highest={"_before": "b"}, following={"_next": "a"})
+    return rows.select(key, F.greatest("_before", "b").alias("a"), F.col("_next").alias("b")).where("b > a")
 
 
 def jump_measure(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,10 +99,10 @@ def overlaps(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def pedal_spans(messages: DataFrame, *, down: int = 64) -> DataFrame:
     """take, a, b: stretches with the pedal down (values of its controller from `down` on), closed by the take's end."""
-    order = Window.partitionBy("take").orderBy("seq")
-    pedal = messages.where((F.col("kind") == "control") & (F.col("note") == PEDAL)).withColumn("is_down", F.col("velocity") >= down)
-    turns = pedal.withColumn("was", F.coalesce(F.lag("is_down").over(order), F.lit(False))).where("is_down <> was")
-    turns = turns.select("take", "ns", "is_down", F.lead("ns").over(order).alias("then")).where("is_down")
+    bucket = F.floor(F.col("seq") / BUCKET)
+    pedal = messages.where((F.col("kind") == "control") & (F.col("note") == PEDAL)).select("take", "seq", "ns", (F.col("velocity") >= down).alias("is_down"))
+    turns = running(pedal, ["take"], ["seq"], bucket, previous={"was": "is_down"}).where(F.col("is_down") != F.coalesce("was", F.lit(False)))
+    turns = running(turns, ["take"], ["seq"], bucket, following={"then": "ns"}).where("is_down").select("take", "ns", "then")
     ends = messages.groupBy("take").agg(F.max("ns").alias("end_ns"))
     return turns.join(ends, "take").select("take", F.col("ns").alias("a"), F.coalesce("then", "end_ns").alias("b"))
 

@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.streams import PEDAL
+from .running import running
 
+#: Messages of a bucket in which a running maximum is found.
+BUCKET = 1 << 16
 #: An interval at least so long is implausible, unless the end of the take closed it.
 IMPLAUSIBLE_NS = 30 * 1_000_000_000
 DEFECTS = ("orphan_note_off", "restrike", "end_of_take", "non_monotone_timestamp", "implausible_duration", "undecodable")
@@ -46,8 +49,8 @@ def roles(messages: DataFrame) -> DataFrame:
 def defects(messages: DataFrame) -> DataFrame:
     """take, seq, cls: each message or interval that needed a repair; restrikes count once, at the on that closes."""
     paired = intervals(messages)
-    late = Window.partitionBy("take").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    backwards = messages.withColumn("reached", F.max("ns").over(late)).where("ns < reached").select("take", "seq", F.lit("non_monotone_timestamp").alias("cls"))
+    reached = running(messages.select("take", "seq", "ns"), ["take"], ["seq"], F.floor(F.col("seq") / BUCKET), highest={"reached": "ns"})
+    backwards = reached.where("ns < reached").select("take", "seq", F.lit("non_monotone_timestamp").alias("cls"))
     orphans = roles(messages).where("role = 'orphan_note_off'").select("take", "seq", F.col("role").alias("cls"))
     closed = paired.where("closure <> 'note_off'").select("take", F.col("on_seq").alias("seq"), F.col("closure").alias("cls"))
     long = paired.where((F.col("closure") != "end_of_take") & (F.col("ns_off") - F.col("ns_on") >= IMPLAUSIBLE_NS)).select("take", F.col("on_seq").alias("seq"), F.lit("implausible_duration").alias("cls"))

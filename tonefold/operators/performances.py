@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.streams import PEDAL
 from . import integrity, intervals, pairing
+from .running import running
 
 #: Notes of a keyboard.
 LOWEST, HIGHEST = 21, 108
@@ -58,11 +59,15 @@ def take_spans(messages: DataFrame) -> DataFrame:
     return out.select("take", "messages", "packets", "first_ns", "last_ns", (F.col("last_ns") - F.col("first_ns")).alias("length_ns"), "ons", "open_notes", (F.col("with_role") == F.col("messages")).alias("accounted"))
 
 
-def as_of(df: DataFrame, at: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """at with `value` of the last row of df before or at the same place in order; null if there is none. Both have keys and order."""
-    rows = df.select(*keys, *order, F.col(value).alias("_known"), F.lit(0).alias("_asked")).unionByName(at.select(*keys, *order, F.lit(None).cast(dict(df.dtypes)[value]).alias("_known"), F.lit(1).alias("_asked")))
-    w = Window.partitionBy(*keys).orderBy(*order, "_asked").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(value, F.last("_known", ignorenulls=True).over(w)).where("_asked = 1").select(*keys, *order, value)
+def as_of(df: DataFrame, at: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column) -> DataFrame:
+    """at with `value` of the last row of df before or at the same place in order; null if there is none. Both have keys and order; of df's rows at one place the highest value counts.
+
+    bucket must not decrease along the order; what is known is carried over buckets by a row for each, so no task holds a key.
+    """
+    known = F.struct(*order, F.col(value).alias("_value"))
+    rows = df.select(*keys, *order, known.alias("_known"), F.lit(0).alias("_asked")).unionByName(at.select(*keys, *order, F.lit(1).alias("_asked")), allowMissingColumns=True)
+    found = running(rows, keys, [*order, "_asked"], bucket, highest={"_last": "_known"})
+    return found.where("_asked = 1").select(*keys, *order, F.col("_last._value").alias(value))
 
 
 def pedal_in(messages: DataFrame, windows: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def pedal_in(messages: DataFrame, windows: DataFrame) -> DataFrame:
 def pressed_at(messages: DataFrame) -> DataFrame:
     """take, seq, down: at each strike, whether the pedal is down."""
     pedal = messages.where((F.col("kind") == "control") & (F.col("note") == PEDAL)).withColumn("down", F.col("velocity") >= 64)
-    found = as_of(pedal, messages.where("kind = 'note_on'"), ["take"], ["seq"], "down")
+    found = as_of(pedal, messages.where("kind = 'note_on'"), ["take"], ["seq"], "down", F.floor(F.col("seq") / intervals.BUCKET))
     return found.select("take", "seq", F.coalesce("down", F.lit(False)).alias("down"))
 
 

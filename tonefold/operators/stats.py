@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .running import running
+
 
 def exclusive_quantile(values: Column, q: float) -> Column:
     """Quantile of a sorted array by the exclusive method, place q (n + 1), which goes beyond the ends for few values; null below two."""
@@ -14,24 +16,39 @@ def exclusive_quantile(values: Column, q: float) -> Column:
     return F.when(n >= 2, a + (at - lower) * (b - a))
 
 
-def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, n, min, p10, median, mean, p90, max, sd (of the population); quantiles by the exclusive method.
+#: Parts that a key's values are dealt into, by approximate quantiles.
+PARTS = 64
+
+
+def cumulative_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, v, c, upto: each different value of a key, how often it occurs, and how many values there are up to it.
 
-    Places near a quantile are found by rank, so no group is gathered: a row's rank among its keys decides its part.
+    Values are counted first, then dealt into parts between approximate quantiles of their key; counts are added up within a part, and over parts by a row for each. The parts decide
+    who does the work, not the result.
     """
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v")).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("v")))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)], 1000).alias("cuts"))
+    dealt = counts.join(cuts, keys).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    return running(dealt, keys, ["v"], F.col("part"), sums={"upto": "c"}).select(*keys, "v", "c", "upto")
+
+
+def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, min, p10, median, mean, p90, max, sd (of the population); quantiles by the exclusive method. Values at the places of quantiles come from cumulative counts, so no task holds a group."""
+    known = df.where(F.col(value).isNotNull())
+    whole = known.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_pop(value).alias("sd"))
+    rows = cumulative_counts(known, keys, value).join(whole.select(*keys, "n"), keys)
+    at = lambda place: (F.col("upto") - F.col("c") < place) & (place <= F.col("upto"))
 
     def part(q: float) -> Column:
-        at = F.lit(q) * (F.col("n") + 1)
-        lower = F.greatest(F.lit(1), F.least(F.floor(at), F.col("n") - 1))
-        return F.sum(F.when(F.col("i") == lower, F.col("v") * (1 - (at - lower))).when(F.col("i") == lower + 1, F.col("v") * (at - lower)))
-
-    median = F.avg(F.when((F.col("i") == F.floor((F.col("n") + 1) / 2)) | (F.col("i") == F.floor((F.col("n") + 2) / 2)), F.col("v")))
-    many = lambda c: F.round(F.when(F.first("n") >= 2, c), 3)
-    return ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("v").alias("min"), many(part(0.1)).alias("p10"), F.round(median, 3).alias("median"), F.round(F.avg("v"), 3).alias("mean"),
-        many(part(0.9)).alias("p90"), F.max("v").alias("max"), F.round(F.stddev_pop("v"), 3).alias("sd"),
-    )
+        place = F.lit(q) * (F.col("n") + 1)
+        lower = F.greatest(F.lit(1), F.least(F.floor(place), F.col("n") - 1))
+        return F.sum(F.when(at(lower), F.col("v") * (1 - (place - lower))).otherwise(0.0) + F.when(at(lower + 1), F.col("v") * (place - lower)).otherwise(0.0))
+
+    middle = F.sum(F.when(at(F.floor((F.col("n") + 1) / 2)), F.col("v")).otherwise(0.0) + F.when(at(F.floor((F.col("n") + 2) / 2)), F.col("v")).otherwise(0.0)) / 2
+    found = rows.groupBy(*keys).agg(part(0.1).alias("p10"), middle.alias("median"), part(0.9).alias("p90"))
+    many = lambda c: F.round(F.when(F.col("n") >= 2, F.col(c)), 3).alias(c)
+    rounded = lambda c: F.round(c, 3).alias(c)
+    return whole.join(found, keys).select(*keys, "n", "min", many("p10"), rounded("median"), rounded("mean"), many("p90"), "max", rounded("sd"))
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, width: int) -> DataFrame:
