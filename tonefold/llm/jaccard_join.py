@@ -198,9 +198,14 @@ def postings(all_rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """token, x (node, n, pos, index: whether a larger set may look for it here), hub (the one that has least of its own) of tokens that several nodes have."""
     held = all_rows.join(nodes.select(F.col("node").alias("key")), "key", "left_semi").select("key", "n", "rare", F.posexplode("p0").alias("pos", "token"))
     index = F.col("pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100 + percent))
-    held = held.select("token", F.struct("rare", F.col("key").alias("node"), "n", "pos", index.alias("index")).alias("x"))
-    several = held.groupBy("token").agg(F.min("x").alias("hub"), F.count("*").alias("nodes"), F.max("x.index").alias("some")).where("nodes > 1 AND some").select("token", "hub")
-    return written(held.join(several, "token"), "postings")
+    held = held.select("token", "rare", F.col("key").alias("node"), "n", "pos", index.alias("index"))
+    several = held.groupBy("token").agg(F.count("*").alias("nodes"), F.max("index").alias("some")).where("nodes > 1 AND some").select("token")
+    shared = written(held.join(several, "token"), "shared")  # most tokens are in one node: what is left is small
+    x = F.struct("rare", "node", "n", "pos", "index")
+    hubs = shared.groupBy("token").agg(F.min(x).alias("hub"))
+    found = written(shared.select("token", x.alias("x")).join(hubs, "token"), "postings")
+    dropped(shared)
+    return found
 
 
 def similar(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import dropped, numbered, written
+
+#: Ids that may be broadcast; more are joined by shuffling.
+SMALL = 200_000
 
 #: Commonest words of a language that have cells.
 COMMON = 20
@@ -65,7 +68,7 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 
 def measures(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """Per document of rows (id, lang, text, row) its base measures, row, and hist, an array of (key, count): classes of characters, common words."""
+    """Per document of rows (id, lang, text) its base measures and hist, an array of (key, count): classes of characters, common words."""
     df = rows.withColumn("text", F.coalesce("text", F.lit(""))).join(_small(common), F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
     df = df.withColumn("w", words(F.col("text"))).withColumn("n_words", F.size("w").cast("long"))
     lines = F.expr(f"filter(split(text, '\\n'), x -> x rlike '{BREAKS.replace('[', '[^')}')".replace("\\", "\\\\").replace("\\\\n", "\\n"))
@@ -80,7 +83,7 @@ def measures(rows: DataFrame, common: DataFrame) -> DataFrame:
     counted = F.transform("common", lambda k: cell(F.concat(F.lit("w:"), k), F.size(F.filter("found", lambda x: x == k))))
     classes = [cell(f"c:{name}", F.col(f"c_{name}")) for name, _ in CLASSES] + [cell("c:mark", F.col("n")), cell("w:", F.col("n_words") - F.size("found"))]
     hist = F.filter(F.concat(F.array(*classes), counted), lambda x: x["count"] > 0)
-    return df.select("id", "lang", "row", "n_words", (F.col("chars") - F.col("c_space")).alias("word_chars"), F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "chars", hist.alias("hist"))
+    return df.select("id", "lang", "n_words", (F.col("chars") - F.col("c_space")).alias("word_chars"), F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "chars", hist.alias("hist"))
 
 
 def references(measured: DataFrame) -> DataFrame:
@@ -106,8 +109,9 @@ def bare_divergence(common: Column) -> Column:
     return F.when(rest <= 0, 1.0).otherwise((F.log2(2 / (1 + rest)) + rest * F.log2(2 * rest / (1 + rest)) + common) / 2)
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, min_words: int, class_limit: float, row: Column) -> DataFrame:
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, min_words: int, class_limit: float) -> tuple[DataFrame, DataFrame]:
+    """Judged documents, and the written table of measures that they are read from."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     common = written(common_words(rows.select("lang", "text")), "common-words")
     measured = written(measures(rows, common), "measures")
     refs = written(references(measured), "references")
@@ -120,13 +124,16 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, min_word
     drawn = NOISE / F.col("n_words")
     nearer = (expected < TELLING) | (F.col("word_divergence") <= bare_divergence(1 - other / F.col("n_words")) + drawn + ROUNDING)
     fits = (F.col("n_words") < min_words) | ((F.col("class_divergence") <= class_limit) & nearer)
-    return df.withColumn("kept", ~F.col("base_failed") & fits)
+    return df.withColumn("kept", ~F.col("base_failed") & fits), measured
 
 
 def kept(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, class_limit: float = CLASS_LIMIT) -> DataFrame:
-    """The rows of docs that are kept, with all their columns, whatever the names of these."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return _judged(docs, id_col, text_col, lang_col, min_words, class_limit, row).where("kept").select("row.*")
+    """The rows of docs that are kept, with all their columns, whatever the names of these. Texts are read again, not written: what is written are measures, and ids of what goes."""
+    rows = numbered(docs, id_col, text_col)
+    judged, measured = _judged(rows.select("key", "text", F.col("row")[lang_col].alias("lang")), "key", "text", "lang", min_words, class_limit)
+    gone = written(judged.where(~F.coalesce("kept", F.lit(False))).select(F.col("id").alias("key")), "rejected")
+    dropped(measured)
+    return rows.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "key", "left_anti").select("row.*")
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, class_limit: float = CLASS_LIMIT) -> DataFrame:
@@ -135,6 +142,6 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     Null and empty texts have no words, so they fail the base rule. Documents without a language share one reference.
     Repeated ids and rows are judged one by one, very long texts whole. Other columns are left aside.
     """
-    df = _judged(docs, id_col, text_col, lang_col, min_words, class_limit, F.lit(None).cast("int"))
+    df, _ = _judged(docs, id_col, text_col, lang_col, min_words, class_limit)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return df.select(F.col("id").alias(id_col), *names, F.round("class_divergence", 6).alias("class_divergence"), F.round("word_divergence", 6).alias("word_divergence"), "kept")
