@@ -20,7 +20,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the document with the smallest id."""
     rows = numbered(docs, "doc_id", "text")
     groups = jaccard_join.similar(rows.select("key", "text"), k=5, percent=80, id_col="key")
-    return rows.join(groups.where("key = component_id").select("key"), "key", "left_semi").select("row.*")
+    others = written(groups.where("key <> component_id").select("key"), "copies")
+    return rows.join(F.broadcast(others) if others.count() <= jaccard_join.SMALL else others, "key", "left_anti").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
