@@ -85,8 +85,7 @@ def test_stream_equals_replay(spark, tmp_path, cuts):
         stream = spark.readStream.schema(MET + ", over boolean").parquet(source)
         found = live.named(stream.where("NOT over").drop("over"), stream.where("over"), idle_ms=0)
         query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination(180)
-        assert query.exception() is None
+        assert query.awaitTermination(180) and query.exception() is None
     expected = sorted(map(tuple, live.replay(spark.createDataFrame(rows, MET)).collect()))
     assert sorted(map(tuple, spark.read.parquet(out).select("take", "segment", *[c.split()[0] for c in live.FOUND.split(", ")]).collect())) == expected
     assert [r[-1] for r in expected] == [True, False, True, False]
@@ -96,12 +95,19 @@ def test_idle_segments_are_closed_by_a_timer(spark, tmp_path):
     import time
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    source, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
-    for batch in ([(1, 0, 5, "mel", 5, 3, 1, 9)], [(2, 0, 5, "mel", 5, 3, 1, 9)]):
-        spark.createDataFrame(batch, MET).coalesce(1).write.mode("append").parquet(source)
-        query = live.named(spark.readStream.schema(MET).parquet(source), idle_ms=500).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination(180)
+    source, name = str(tmp_path / "in"), "closed_by_a_timer"
+    send = lambda take: spark.createDataFrame([(take, 0, 5, "mel", 5, 3, 1, 9)], MET).coalesce(1).write.mode("append").parquet(source)
+    send(1)
+    stream = live.named(spark.readStream.schema(MET).parquet(source), idle_ms=500)
+    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(processingTime="200 milliseconds").start()
+    try:
+        for take in (1, 2):
+            if take > 1:
+                send(take)
+            until = time.time() + 60
+            while spark.table(name).where(f"take = {take}").isEmpty() and query.isActive and time.time() < until:
+                time.sleep(0.5)
         assert query.exception() is None
-        time.sleep(1)
-    found = [r.take for r in spark.read.parquet(out).collect()]
-    assert 1 in found and len(found) == len(set(found))  # each closed once
+        assert sorted(r.take for r in spark.table(name).collect()) == [1, 2]  # each closed once
+    finally:
+        query.stop()

@@ -194,7 +194,9 @@ def _frame(key: tuple, found: list[tuple]) -> pd.DataFrame:
 
 def named(met: DataFrame, ends: DataFrame | None = None, *, idle_ms: int = 600_000) -> DataFrame:
     """What `replay` says of a stream of agreements, each announcement once and as soon as it is due. ends: take, segment of segments that are over; those that
-    get nothing for idle_ms (0: no timer) are closed by a timer. Agreements of a segment come in order of place over micro-batches, all of a place in one."""
+    get nothing for idle_ms (0: no timer) are closed by a timer. Agreements of a segment come in order of place over micro-batches, all of a place in one.
+
+    With a timer Spark runs batches without input as well, so such a query never ends by itself: give it a trigger of processing time, not availableNow."""
     if ends is not None:
         blank = {"place": "long", "line": "string", "q": "long", "theme": "long", "work": "long", "pos": "long"}
         met = met.unionByName(ends.select("take", "segment", *[F.lit(None).cast(k).alias(c) for c, k in blank.items()]))
