@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import metadata, notes
-from ..operators import identify, ingest, intervals, matching, pairing, performances, sessions, stats, warps
+from ..operators import identify, ingest, intervals, matching, nearest, pairing, performances, sessions, stats, warps
 from ..sources.stored import shared_folder
 from ..sources.streams import MESSAGES_SQL, table
 from .catalog import HOUR_NS, _asked, _DESCRIBED, _grams, _messages, _SCORED, _PAIRED, _segments, _SEGMENTS, _UNION, _weighted, query
@@ -93,6 +93,29 @@ def fano_curve(spark, sf_dir):
     return out.select("take", "hours", "bins", "fano")
 
 
+@query(f"""WITH {MESSAGES_SQL}, o AS (SELECT take, seq, ns FROM m WHERE kind = 'note_on'), z AS (SELECT take, MIN(ns) AS t0, MAX(ns) - MIN(ns) AS span FROM o GROUP BY take),
+p AS (SELECT o.take, -1 AS sample, span, ns - t0 AS x FROM o JOIN z ON z.take = o.take UNION ALL
+  SELECT o.take, sample, span, CAST(floor(CAST(CAST('0x' || substr(sha256(sample || ':' || o.take || ':' || seq), 1, 13) AS BIGINT) AS DOUBLE) * CAST(span AS DOUBLE) / 4503599627370496) AS BIGINT) FROM o JOIN z ON z.take = o.take, (SELECT unnest(range(9)) AS sample)),
+b AS (SELECT take, sample, width, span // width AS bins, x // width AS bin FROM p, (SELECT unnest([{", ".join(str(w * HOUR_NS) for w in _WIDTHS)}]) AS width)),
+c AS (SELECT take, sample, width, bins, bin, COUNT(*) AS c FROM b WHERE bins >= 3 AND bin < bins GROUP BY ALL), s AS (SELECT take, sample, width, bins, SUM(c) AS s, SUM(c * c) AS q FROM c GROUP BY ALL),
+f AS (SELECT take, sample, width, bins, ROUND((q / bins - (s / bins) * (s / bins)) / (s / bins), 6) AS v FROM s)
+SELECT take, width, bins, MAX(v) FILTER (WHERE sample = -1) AS fano, MAX(v) FILTER (WHERE sample = 0) AS poisson, MIN(v) FILTER (WHERE sample >= 0) AS low, MAX(v) FILTER (WHERE sample >= 0) AS high FROM f GROUP BY ALL""")
+def fano_bands(spark, sf_dir):
+    """The dispersion of strikes beside that of nine surrogates of as many strikes, evenly at random over the same span."""
+    strikes = _messages(spark, sf_dir).where("kind = 'note_on'")
+    return stats.fano_bands(strikes, ["take"], "ns", "seq", tuple(w * HOUR_NS for w in _WIDTHS))
+
+
+@query(f"""WITH {MESSAGES_SQL}, q AS (SELECT take, seq, ns FROM m WHERE kind = 'note_on'), c AS (SELECT take, ns, MIN(seq) AS control FROM m WHERE kind = 'control' GROUP BY ALL),
+n AS (SELECT q.take, q.seq, control, ABS(c.ns - q.ns) AS distance, c.ns < q.ns AS before FROM q JOIN c ON c.take = q.take AND ABS(c.ns - q.ns) <= {24 * HOUR_NS} QUALIFY ROW_NUMBER() OVER (PARTITION BY q.take, q.seq ORDER BY ABS(c.ns - q.ns), c.ns) = 1)
+SELECT q.take, q.seq, control, distance, before FROM q LEFT JOIN n ON n.take = q.take AND n.seq = q.seq""")
+def nearest_controls(spark, sf_dir):
+    """The control message nearest to each strike, at most a day before or after it."""
+    heard = _messages(spark, sf_dir)
+    found = nearest.nearest(heard.where("kind = 'control'"), heard.where("kind = 'note_on'"), ["take"], "ns", "seq", 24 * HOUR_NS)
+    return found.select("take", "seq", F.col("near.value").alias("control"), F.col("near.distance").alias("distance"), (F.col("near.at") < F.col("ns")).alias("before"))
+
+
 @query(f"""WITH {MESSAGES_SQL}, g AS (SELECT * FROM (SELECT take, ns - LAG(ns) OVER (PARTITION BY take ORDER BY seq) AS gap FROM m) WHERE gap > 0),
 h AS (SELECT take, s, COUNT(*) AS n, COUNT(*) FILTER (WHERE gap % s = 0) AS h FROM g, (SELECT unnest({list(performances.STEPS)}) AS s) GROUP BY take, s)
 SELECT take, CAST(s AS BIGINT) AS step, n AS gaps, n - h AS off FROM h WHERE 100 * h >= 99 * n QUALIFY ROW_NUMBER() OVER (PARTITION BY take ORDER BY s DESC) = 1""")

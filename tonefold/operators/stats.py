@@ -85,3 +85,24 @@ def fano(df: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
     sums = counts.groupBy(*keys).agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
     mean = F.col("s") / F.col("bins")
     return start.join(sums, keys).where("bins > 0").select(*keys, "bins", F.round((F.col("q") / F.col("bins") - mean * mean) / mean, 6).alias("fano"))
+
+
+def fano_bands(df: DataFrame, keys: list[str], at: str, number: str, widths: tuple[int, ...], *, samples: int = 9, seed: int = 0) -> DataFrame:
+    """keys, width, bins, fano, poisson, low, high: the dispersion of a key's rows in windows of each width, and that of surrogates: as many rows, evenly at random over the same span.
+
+    poisson is the first surrogate's, low and high are the extremes of all `samples`; null where no surrogate row lies in a whole window. Widths of which fewer than three fit are left out. A surrogate's
+    row takes its place from 52 bits of a hash of sample, keys and the row's `number`, so it is the same whatever the partitions; rows without a time are left out. Times are whole numbers.
+    """
+    spans = df.where(F.col(at).isNotNull()).groupBy(*keys).agg(F.min(at).alias("_t0"), (F.max(at) - F.min(at)).alias("_span"))
+    rows = df.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("_at"), F.col(number).alias("_number")).join(spans, keys)
+    rows = rows.withColumn("_sample", F.explode(F.array(*[F.lit(i) for i in range(-1, samples)])))
+    bits = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed) + F.col("_sample"), *[F.col(k) for k in keys], "_number"), 256), 1, 13), 16, 10).cast("long")
+    place = F.when(F.col("_sample") < 0, F.col("_at") - F.col("_t0")).otherwise(F.floor(bits.cast("double") * F.col("_span").cast("double") / 2.0**52).cast("long"))
+    rows = rows.select(*keys, "_span", "_sample", place.alias("_x")).withColumn("width", F.explode(F.array(*[F.lit(w).cast("long") for w in widths])))
+    rows = rows.withColumns({"bins": F.expr("_span div width"), "_bin": F.expr("_x div width")}).where("bins >= 3 AND _bin < bins")
+    sums = rows.groupBy(*keys, "width", "bins", "_sample", "_bin").agg(F.count("*").alias("_c")).groupBy(*keys, "width", "bins", "_sample").agg(F.sum("_c").alias("_s"), F.sum(F.col("_c") * F.col("_c")).alias("_q"))
+    mean = F.col("_s") / F.col("bins")
+    value = F.round((F.col("_q") / F.col("bins") - mean * mean) / mean, 6)
+    of = lambda when, agg: agg(F.when(when, value))
+    sample = F.col("_sample")
+    return sums.groupBy(*keys, "width", "bins").agg(of(sample == -1, F.max).alias("fano"), of(sample == 0, F.max).alias("poisson"), of(sample >= 0, F.min).alias("low"), of(sample >= 0, F.max).alias("high"))
