@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import metadata, notes
-from ..operators import identify, ingest, intervals, matching, nearest, pairing, performances, sessions, stats, warps
+from ..operators import history, identify, ingest, intervals, matching, nearest, pairing, performances, sessions, stats, warps
 from ..sources.stored import shared_folder
 from ..sources.streams import MESSAGES_SQL, table
 from .catalog import HOUR_NS, _asked, _DESCRIBED, _grams, _messages, _SCORED, _PAIRED, _segments, _SEGMENTS, _UNION, _weighted, query
@@ -237,6 +237,32 @@ def stored_intervals(spark, sf_dir):
     return rows.join(named, ["take", "on_seq"], "left").fillna(0, ["defects"])
 
 
+_FOLLOWED = f"""WITH {MESSAGES_SQL}, l AS (SELECT take, note, ns, seq, kind AS verdict, LAG(kind) OVER w AS pf, LAG(ns) OVER w AS pa FROM m WINDOW w AS (PARTITION BY take, note ORDER BY ns, seq)),
+f AS (SELECT take, note, ns, seq, verdict, CASE WHEN pf <> verdict THEN pf END AS revised_from, CASE WHEN pf <> verdict THEN pa END AS revised_at FROM l)"""
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> tuple:
+    """Messages as answers about a key of a take, merged in three batches, the last first and one of them twice; and how they are ordered."""
+    path = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    answers = _messages(spark, sf_dir).select("take", "note", "ns", "seq", F.col("kind").alias("verdict"))
+    for part in (2, 0, 1, 0):
+        history.merge(answers.where(F.pmod(F.xxhash64("take", "seq"), F.lit(3)) == part), path, "ns")
+    return history.read(spark, path), ["take", "note"], ["ns", "seq"], "verdict", F.floor(F.col("ns") / (24 * HOUR_NS))
+
+
+@query(f"{_FOLLOWED} SELECT * FROM f WHERE revised_from IS NOT NULL")
+def answer_revisions(spark, sf_dir):
+    """What each answer that changed an earlier one changed, and of when that was."""
+    return history.trail(*_answered(spark, sf_dir))
+
+
+@query(f"""{_FOLLOWED}, n AS (SELECT take, note, COUNT(*) AS answers, COUNT(revised_from) AS revisions FROM f GROUP BY ALL)
+SELECT f.*, answers, revisions FROM (SELECT * FROM f QUALIFY ROW_NUMBER() OVER (PARTITION BY take, note ORDER BY ns DESC, seq DESC) = 1) f JOIN n ON n.take = f.take AND n.note = f.note""")
+def answer_states(spark, sf_dir):
+    """The answer that stands for each key of a take, what it replaced, and how often it was revised."""
+    return history.state(*_answered(spark, sf_dir))
+
+
 # --- time maps: an order's lines as times, its running quantity as the map, its running price as what was matched -------------
 
 
