@@ -29,8 +29,10 @@ ROUNDING = 1e-9
 #: Languages whose words and references may be broadcast (a fixed number of cells each); more are joined by shuffling.
 LANGUAGES = 10_000
 BREAKS = "[\\x20\\x09-\\x0D]"
-#: Classes in the order in which they are taken out of the text.
-CLASSES = (("lower", "[a-z]+"), ("space", "[\\x20\\x09-\\x0D]+"), ("other", "[^\\x00-\\x7F]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+"))
+#: Around an expression that must match whole words.
+NOT_AFTER, NOT_BEFORE = (f"({way}[^{BREAKS[1:]})" for way in ("?<!", "?!"))
+#: Classes in the order in which they are taken out of the text; what is taken first are spaces.
+CLASSES = (("lower", "[a-z]+"), ("other", "[^\\x00-\\x7F]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def words(text: Column) -> Column:
 
 def common_words(texts: DataFrame, size: int = COMMON) -> DataFrame:
     """ref_lang, common: the `size` commonest words (in lower case, of letters alone) of each language of texts (lang, text); of equally common ones the first by alphabet."""
-    said = texts.select("lang", F.explode(words(F.lower("text"))).alias("word")).where(F.col("word").rlike("^\\p{L}+$"))
+    said = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"{NOT_AFTER}\\p{{L}}++{NOT_BEFORE}"), F.lit(0))).alias("word"))
     counts = said.groupBy("lang", "word").agg(F.count("*").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
@@ -53,37 +55,37 @@ def common_words(texts: DataFrame, size: int = COMMON) -> DataFrame:
 
 def _repeat_words(df: DataFrame) -> DataFrame:
     """n_repeat_words: words in three-word windows found twice or more, from the column w."""
-    # a window's hash with its place in the low bits; sorted, equal windows stand side by side
+    df = df.withColumn("h", F.expr("transform(slice(w, 1, cast(greatest(n_words - 2, 0) as int)), (x, i) -> xxhash64(x, w[i + 1], w[i + 2]))"))
+    # where all hashes differ, as in most texts, all windows do; else each hash gets its place in its low bits: sorted, equal windows stand side by side
     df = df.withColumn("mask", F.expr("shiftleft(1L, length(bin(n_words))) - 1L"))
-    packed = F.expr("transform(slice(w, 1, cast(greatest(n_words - 2, 0) as int)), (x, i) -> (xxhash64(x, w[i + 1], w[i + 2]) & ~mask) | cast(i as bigint))")
-    df = df.withColumn("s", F.sort_array(packed))
+    df = df.withColumn("s", F.expr("if(size(array_distinct(h)) = size(h), slice(h, 1, 0), sort_array(transform(h, (x, i) -> (x & ~mask) | cast(i as bigint))))"))
+    beside = F.expr("array_compact(zip_with(s, slice(s, 2, size(s)), (x, y) -> if((x ^ y) between 0 and mask, array(cast(x & mask as int), cast(y & mask as int)), null)))")
     # neighbours of one hash count if their words are the same: with long texts few bits of the hash are left
-    same = " and ".join(f"get(w, cast(x & mask as int) + {j}) = get(w, cast(get(s, {{0}}) & mask as int) + {j})" for j in range(3))
-    beside = " or ".join(f"(({within}) and (get(s, {at}) & ~mask) = (x & ~mask) and {same.format(at)})" for within, at in (("i > 0", "i - 1"), ("i + 1 < size(s)", "i + 1")))
-    twice = F.expr(f"filter(s, (x, i) -> {beside})")
-    df = df.withColumn("twice", twice)
-    places = F.expr("sort_array(transform(twice, x -> x & mask))")
-    covered = F.expr("aggregate(places, named_struct('last', -3L, 'n', 0L), (a, x) -> named_struct('last', x, 'n', a.n + least(3L, x - a.last)), a -> a.n)")
-    return df.withColumn("places", places).withColumn("n_repeat_words", covered).drop("mask", "s", "twice", "places")
+    same = " and ".join(f"w[x[0] + {j}] = w[x[1] + {j}]" for j in range(3))
+    df = df.withColumn("beside", beside).withColumn("places", F.expr(f"sort_array(array_distinct(flatten(filter(beside, x -> {same}))))"))
+    covered = F.expr("aggregate(places, named_struct('last', -3L, 'n', 0L), (a, x) -> named_struct('last', cast(x as bigint), 'n', a.n + least(3L, x - a.last)), a -> a.n)")
+    return df.withColumn("n_repeat_words", covered).drop("h", "mask", "s", "beside", "places")
 
 
 def measures(rows: DataFrame, common: DataFrame) -> DataFrame:
     """Per document of rows (id, lang, text) its base measures and hist, an array of (key, count): classes of characters, common words."""
+    # common words are letters alone, so they stand for themselves in an expression
+    common = common.withColumn("any_common", F.concat(F.lit(f"{NOT_AFTER}(?:"), F.array_join("common", "|"), F.lit(f"){NOT_BEFORE}")))
     df = rows.withColumn("text", F.coalesce("text", F.lit(""))).join(_small(common), F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
+    df = df.withColumn("found", F.coalesce(F.regexp_extract_all(F.lower("text"), F.col("any_common"), F.lit(0)), F.array().cast("array<string>")))
     df = df.withColumn("w", words(F.col("text"))).withColumn("n_words", F.size("w").cast("long"))
     lines = F.expr(f"filter(split(text, '\\n'), x -> x rlike '{BREAKS.replace('[', '[^')}')".replace("\\", "\\\\").replace("\\\\n", "\\n"))
     df = df.withColumn("lines", lines).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     df = _repeat_words(df)
-    df = df.withColumn("r", F.col("text")).withColumn("chars", F.char_length("r").cast("long")).withColumn("n", F.col("chars"))
+    df = df.withColumn("chars", F.char_length("text").cast("long")).withColumn("r", F.array_join("w", "")).withColumn("word_chars", F.char_length("r").cast("long")).withColumn("n", F.col("word_chars"))
     for name, pattern in CLASSES:
         df = df.withColumn("r", F.regexp_replace("r", pattern, "")).withColumn("left", F.char_length("r").cast("long"))
         df = df.withColumn(f"c_{name}", F.col("n") - F.col("left")).withColumn("n", F.col("left"))
-    df = df.withColumn("found", F.filter(F.transform("w", F.lower), lambda x: F.array_contains("common", x)))
     cell = lambda key, count: F.struct(F.lit(key).alias("key") if isinstance(key, str) else key.alias("key"), count.cast("long").alias("count"))
-    counted = F.transform("common", lambda k: cell(F.concat(F.lit("w:"), k), F.size(F.filter("found", lambda x: x == k))))
-    classes = [cell(f"c:{name}", F.col(f"c_{name}")) for name, _ in CLASSES] + [cell("c:mark", F.col("n")), cell("w:", F.col("n_words") - F.size("found"))]
+    counted = F.transform("common", lambda k: cell(F.concat(F.lit("w:"), k), F.size("found") - F.size(F.array_remove("found", k))))
+    classes = [cell(f"c:{name}", F.col(f"c_{name}")) for name, _ in CLASSES] + [cell("c:space", F.col("chars") - F.col("word_chars")), cell("c:mark", F.col("n")), cell("w:", F.col("n_words") - F.size("found"))]
     hist = F.filter(F.concat(F.array(*classes), counted), lambda x: x["count"] > 0)
-    return df.select("id", "lang", "n_words", (F.col("chars") - F.col("c_space")).alias("word_chars"), F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "chars", hist.alias("hist"))
+    return df.select("id", "lang", "n_words", "word_chars", F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "chars", hist.alias("hist"))
 
 
 def references(measured: DataFrame) -> DataFrame:
