@@ -59,4 +59,4 @@ def map_corners(spark, sf_dir):
     from ..operators import warps
 
     rows = _maps(spark, sf_dir).select("pair", "t", F.col("phi").alias("s"))
-    return warps.corner(warps.sweep(rows, [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]))
+    return warps.corners(rows, [0.001, 0.01, 0.1, 1.0, 10.0, 100.0])

@@ -9,69 +9,81 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def _upto(values: np.ndarray) -> np.ndarray:
+    """Sums of the values before each place and at the end, along the last axis."""
+    return np.concatenate([np.zeros((*values.shape[:-1], 1)), np.cumsum(values, -1)], -1)
+
+
+def _places(values: np.ndarray) -> list:
+    """The values by place: numbers of one map, columns of several."""
+    return values.tolist() if values.ndim == 1 else list(np.moveaxis(values, -1, 0))
+
+
 def _solved(diagonal: np.ndarray, beside: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Solution of a symmetric tridiagonal system, by elimination."""
-    d, e, b = diagonal.tolist(), beside.tolist(), right.tolist()
+    d, e, b = _places(diagonal), _places(beside), _places(right)
     for i in range(1, len(d)):
         by = e[i - 1] / d[i - 1]
-        d[i] -= by * e[i - 1]
-        b[i] -= by * b[i - 1]
+        d[i] = d[i] - by * e[i - 1]
+        b[i] = b[i] - by * b[i - 1]
     for i in range(len(d) - 1, -1, -1):
         b[i] = (b[i] - (e[i] * b[i + 1] if i + 1 < len(d) else 0.0)) / d[i]
-    return np.array(b)
+    return np.stack(b, -1)
 
 
-def _inverse_trace(diagonal: np.ndarray, beside: np.ndarray) -> float:
+def _inverse_trace(diagonal: np.ndarray, beside: np.ndarray) -> np.ndarray:
     """Trace of the inverse of a symmetric tridiagonal matrix: of the pivots from either end."""
-    def pivots(d: list[float], e: list[float]) -> np.ndarray:
+    def pivots(d: list, e: list) -> np.ndarray:
         for i in range(1, len(d)):
-            d[i] -= e[i - 1] ** 2 / d[i - 1]
-        return np.array(d)
+            d[i] = d[i] - e[i - 1] * e[i - 1] / d[i - 1]
+        return np.stack(d, -1)
 
-    down, up = pivots(diagonal.tolist(), beside.tolist()), pivots(diagonal[::-1].tolist(), beside[::-1].tolist())[::-1]
-    return float((1 / (down + up - diagonal)).sum())
+    down, up = pivots(_places(diagonal), _places(beside)), pivots(_places(diagonal[..., ::-1]), _places(beside[..., ::-1]))[..., ::-1]
+    return (1 / (down + up - diagonal)).sum(-1)
 
 
 class _Map:
-    """The map's quadratic program: nodes from 0 to total, values to come near, stretches that may not rise by less than `least`."""
+    """The map's quadratic program: nodes from 0 to total, values to come near, stretches that may not rise by less than `least`. Further axes before the last one are maps of as many nodes."""
 
-    def __init__(self, h: np.ndarray, wanted: np.ndarray, total: float, smooth: float, least: np.ndarray):
-        self.h, self.wanted, self.total, self.least = h, wanted, total, least
+    def __init__(self, h: np.ndarray, wanted: np.ndarray, total: np.ndarray | float, smooth: np.ndarray | float, least: np.ndarray):
+        self.h, self.wanted, self.total, self.least = h, wanted, np.asarray(total)[..., None], least
         self.pull = smooth / h
 
     def with_held(self, held: np.ndarray) -> np.ndarray:
-        """The minimum with the held stretches at their least rise: nodes that they tie are one unknown, so the system stays tridiagonal."""
+        """The minimum with the held stretches at their least rise: nodes that they tie are one unknown, so the system stays tridiagonal. All maps hold the same ones."""
         first = np.flatnonzero(np.append(True, ~held))  # nodes at which a tied run begins
-        rise = np.append(0.0, np.cumsum(np.where(held, self.least, 0.0)))
-        offset = rise - np.repeat(rise[first], np.diff(np.append(first, len(rise))))
-        last = np.append(first[1:], len(rise)) - 1
-        x = np.empty(len(rise))
-        x[: last[0] + 1] = offset[: last[0] + 1]
-        x[first[-1] :] = self.total - offset[-1] + offset[first[-1] :]
+        rise = _upto(np.where(held, self.least, 0.0))
+        offset = rise - np.repeat(rise[..., first], np.diff(np.append(first, len(held) + 1)), -1)
+        last = np.append(first[1:], len(held) + 1) - 1
+        x = np.empty(rise.shape)
+        x[..., : last[0] + 1] = offset[..., : last[0] + 1]
+        x[..., first[-1] :] = self.total - offset[..., -1:] + offset[..., first[-1] :]
         if len(first) > 2:
             a, z = first[1:-1], last[1:-1]
-            before, after = self.pull[a - 1], self.pull[z]
-            sums = np.append(0.0, np.cumsum(self.wanted - offset[1:-1]))
-            right = sums[z] - sums[a - 1] - after * offset[z]
-            right += before * np.append(x[last[0]], offset[z[:-1]])
-            right[-1] += after[-1] * x[first[-1]]
-            found = _solved((z - a + 1) + before + after, -after[:-1], right)
-            x[a[0] : z[-1] + 1] = np.repeat(found, z - a + 1) + offset[a[0] : z[-1] + 1]
+            before, after = self.pull[..., a - 1], self.pull[..., z]
+            sums = _upto(self.wanted - offset[..., 1:-1])
+            right = sums[..., z] - sums[..., a - 1] - after * offset[..., z]
+            right += before * np.concatenate([x[..., last[0], None], offset[..., z[:-1]]], -1)
+            right[..., -1] += after[..., -1] * x[..., first[-1]]
+            found = _solved((z - a + 1) + before + after, -after[..., :-1], right)
+            x[..., a[0] : z[-1] + 1] = np.repeat(found, z - a + 1, -1) + offset[..., a[0] : z[-1] + 1]
         return x
 
     def forces(self, x: np.ndarray, held: np.ndarray) -> np.ndarray:
         """What each held stretch pushes with; below zero it is held wrongly."""
         flow = self.pull * np.diff(x)
-        slope = (x[1:-1] - self.wanted) + flow[:-1] - flow[1:]  # of the inner nodes
-        sums = np.append(0.0, np.cumsum(slope))  # of nodes 1 to k
+        slope = (x[..., 1:-1] - self.wanted) + flow[..., :-1] - flow[..., 1:]  # of the inner nodes
+        sums = _upto(slope)  # of nodes 1 to k
         free = np.flatnonzero(~held)
         start = free[np.maximum(np.searchsorted(free, np.arange(len(held)), "right") - 1, 0)]
         begin = np.where(np.arange(len(held)) < free[0], -1, start)
-        from_left = sums - sums[np.maximum(begin, 0)]  # up to node k, from the run's beginning
-        return np.where(held, np.where(begin < 0, sums[free[0]] - sums, -from_left), 0.0)
+        from_left = sums - sums[..., np.maximum(begin, 0)]  # up to node k, from the run's beginning
+        return np.where(held, np.where(begin < 0, sums[..., free[0], None] - sums, -from_left), 0.0)
 
 
 def fit(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float) -> tuple[np.ndarray, float, int]:
@@ -87,7 +99,7 @@ def fit(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float) ->
         return s.copy(), 0.0, 0
     least = least_slope_part * total / (t[-1] - t[0]) * h
     problem = _Map(h, s[1:-1] - s[0], total, smooth, least)
-    freedom = _inverse_trace(1 + problem.pull[:-1] + problem.pull[1:], -problem.pull[1:-1])
+    freedom = float(_inverse_trace(1 + problem.pull[:-1] + problem.pull[1:], -problem.pull[1:-1]))
     near = 1e-12 * max(1.0, abs(total))
     held = np.zeros(n + 1, bool)
     for _ in range(60):
@@ -116,6 +128,47 @@ def fit(t: np.ndarray, s: np.ndarray, smooth: float, least_slope_part: float) ->
             held[k] = True
 
 
+#: Maps of up to so many nodes are fitted together; a longer one's own arrays are work enough for a call.
+TOGETHER = 32
+
+
+def fit_all(t: np.ndarray, s: np.ndarray, smooth: np.ndarray, least_slope_part: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`fit` of many maps of as many nodes: rows of t and s, a smoothness for each. Those of a round that hold the same stretches are solved together, by the same steps, so the results are the same to the last bit."""
+    phi, freedom, count = np.empty(s.shape), np.empty(len(s)), np.zeros(len(s), np.int64)
+    h, total = np.diff(t), s[:, -1] - s[:, 0]
+    alone = np.arange(len(s))
+    if 3 <= t.shape[1] <= TOGETHER:
+        wanted, least = s[:, 1:-1] - s[:, :1], (least_slope_part * total / (t[:, -1] - t[:, 0]))[:, None] * h
+        pull = smooth[:, None] / h
+        freedom = _inverse_trace(1 + pull[:, :-1] + pull[:, 1:], -pull[:, 1:-1])
+        near = 1e-12 * np.maximum(1.0, np.abs(total))[:, None]
+        rounds, alone = [(alone, np.zeros(h.shape[1], bool))], []
+        for _ in range(60):
+            open_, now_held = [], []
+            for rows, held in rounds:
+                problem = _Map(h[rows], wanted[rows], total[rows], smooth[rows, None], least[rows])
+                x = problem.with_held(held)
+                now = np.where(held, problem.forces(x, held) >= -1e-9, np.diff(x) < least[rows] - near[rows])
+                settled = (now == held).all(1)
+                phi[rows[settled]], count[rows[settled]] = s[rows[settled], :1] + x[settled], held.sum()
+                whole = ~settled & now.all(1)
+                alone.append(rows[whole])
+                open_.append(rows[~settled & ~whole])
+                now_held.append(now[~settled & ~whole])
+            rows, now = np.concatenate(open_), np.concatenate(now_held)
+            if not len(rows):
+                rounds = []
+                break
+            which = now @ (1 << np.arange(now.shape[1], dtype=np.int64))
+            order = np.argsort(which, kind="stable")
+            cuts = np.flatnonzero(np.diff(which[order])) + 1
+            rounds = [(rows[part], now[part[0]]) for part in np.split(order, cuts)]
+        alone = np.concatenate([*alone, *[rows for rows, _ in rounds]])
+    for i in alone.tolist():
+        phi[i], freedom[i], count[i] = fit(t[i], s[i], float(smooth[i]), least_slope_part)
+    return phi, freedom, count
+
+
 def fitted(matches: DataFrame, *, least_slope_part: float = 0.05) -> DataFrame:
     """pair, t, s, phi: the map at each matched time of matches (pair, t, s, smooth). Of matches at one time the least s counts; pairs of fewer than two times, or whose second
     side stands still, are left out. A pair is a row of arrays, so a task runs through its pairs without a call for each."""
@@ -173,31 +226,54 @@ def at(points: DataFrame, asked: DataFrame, *, x: str = "t", y: str = "phi") ->
     return found.select("pair", F.col("x").alias(x), F.coalesce(between, F.col("a.y"), F.col("b.y")).alias(y)).distinct()
 
 
-def sweep(matches: DataFrame, smooths: list[float], *, least_slope_part: float = 0.05) -> DataFrame:
-    """pair, smooth, n, data_term, excess, freedom, gcv, held: fits of each pair's matches (pair, t, s) for each smoothness.
+_SWEPT = {"data_term": "double", "excess": "double", "freedom": "double", "gcv": "double", "held": "long"}
 
-    freedom: effective degrees of freedom; gcv = n data_term / (n - freedom)^2; held: stretches at the least slope. Of matches at one time the least s counts,
-    those without t or s don't. Pairs of fewer than three times, or whose second side stands still, are left out. A pair is a row of arrays, so
-    that a task runs through its pairs without a call for each.
-    """
-    names = ["pair", "smooth", "n", "data_term", "excess", "freedom", "gcv", "held"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _swept(matches: DataFrame, smooths: list[float], least_slope_part: float) -> DataFrame:
+    """pair, n, and a list for each measure of `sweep`, in the order of smooths. Pairs of a batch that have as many times are fitted together."""
+    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64() if kind == "long" else pa.float64()) for kind in _SWEPT.values()]]
+
+    def measured(t: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
+        """Measures by map and smoothness."""
+        n, k = t.shape[1] - 2, len(smooths)
+        t, s = np.repeat(t, k, 0), np.repeat(s, k, 0)
+        phi, freedom, held = fit_all(t, s, np.tile(np.array(smooths, float), len(t) // k), least_slope_part)
+        data = ((phi - s) ** 2).sum(1)
+        excess = (np.diff(phi) ** 2 / np.diff(t)).sum(1) - (phi[:, -1] - phi[:, 0]) ** 2 / (t[:, -1] - t[:, 0])
+        rest = n - freedom
+        gcv = np.where(rest > 1e-9, n * data / np.where(rest > 1e-9, rest, 1.0) ** 2, np.inf)
+        return [c.reshape(-1, k) for c in (data, excess, freedom, gcv, held)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for pair, t, s in zip(batch["pair"], batch["t"], batch["s"]):
-                h, n = np.diff(t), len(t) - 2
-                for smooth in smooths if s[-1] > s[0] else ():
-                    phi, freedom, held = fit(t, s, smooth, least_slope_part)
-                    data = float(((phi - s) ** 2).sum())
-                    excess = float((np.diff(phi) ** 2 / h).sum() - (phi[-1] - phi[0]) ** 2 / (t[-1] - t[0]))
-                    out.append((pair, smooth, n, data, excess, freedom, n * data / (n - freedom) ** 2 if n - freedom > 1e-9 else float("inf"), held))
-            yield pd.DataFrame(out, columns=names)
+            pair, size = batch["pair"].to_numpy(zero_copy_only=False), pc.list_value_length(batch["t"]).to_numpy(zero_copy_only=False)
+            begin = np.cumsum(size) - size
+            t, s = (pc.list_flatten(batch[c]).to_numpy(zero_copy_only=False) for c in ("t", "s"))
+            for length in np.unique(size).tolist():
+                whose = np.flatnonzero(size == length)
+                for part in np.array_split(whose, max(1, len(whose) * len(smooths) * length // 500_000)):
+                    at = begin[part][:, None] + np.arange(length)
+                    part = part[s[at[:, -1]] > s[at[:, 0]]]
+                    if len(part) and smooths:
+                        at = begin[part][:, None] + np.arange(length)
+                        lists = [pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * len(smooths), c.ravel()) for c in measured(t[at], s[at])]
+                        yield pa.RecordBatch.from_arrays([pa.array(pair[part], pa.int64()), pa.array(np.full(len(part), length - 2)), *[c.cast(k) for c, k in zip(lists, kinds[2:])]], names=["pair", "n", *_SWEPT])
 
     points = matches.where("t IS NOT NULL AND s IS NOT NULL").groupBy("pair", "t").agg(F.min("s").alias("s"))
     rows = points.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("t", "s"))).alias("p")).where(F.size("p") >= 3)
     rows = rows.select("pair", F.col("p.t").cast("array<double>").alias("t"), F.col("p.s").cast("array<double>").alias("s"))
-    return rows.mapInPandas(run, "pair long, smooth double, n long, data_term double, excess double, freedom double, gcv double, held long")
+    return rows.mapInArrow(run, "pair long, n long, " + ", ".join(f"{c} array<{kind}>" for c, kind in _SWEPT.items()))
+
+
+def sweep(matches: DataFrame, smooths: list[float], *, least_slope_part: float = 0.05) -> DataFrame:
+    """pair, smooth, n, data_term, excess, freedom, gcv, held: fits of each pair's matches (pair, t, s) for each smoothness.
+
+    freedom: effective degrees of freedom; gcv = n data_term / (n - freedom)^2; held: stretches at the least slope. Of matches at one time the least s counts,
+    those without t or s don't. Pairs of fewer than three times, or whose second side stands still, are left out. A pair is a row of arrays; those of a batch that have as many
+    times are fitted together.
+    """
+    found = _swept(matches, smooths, least_slope_part).withColumn("smooth", F.lit(list(map(float, smooths))).cast("array<double>"))
+    return found.select("pair", "n", F.explode(F.arrays_zip("smooth", *_SWEPT)).alias("x")).select("pair", "x.smooth", "n", *[f"x.{c}" for c in _SWEPT])
 
 
 def smoothness(swept: DataFrame) -> DataFrame:
@@ -221,6 +297,22 @@ def corner(swept: DataFrame) -> DataFrame:
     return inner.groupBy("pair").agg(F.max_by("smooth", F.struct(F.coalesce(bend, F.lit(float("-inf"))), -F.col("smooth"))).alias("smooth"))
 
 
+def corners(matches: DataFrame, smooths: list[float], *, least_slope_part: float = 0.05) -> DataFrame:
+    """pair, smooth: `corner` of the `sweep` of matches. A pair's fits stay in its row, so they aren't dealt out again."""
+    k, order = len(smooths), sorted(range(len(smooths)), key=lambda i: smooths[i])
+    rows = _swept(matches, smooths, least_slope_part).select("pair", *[F.log(F.greatest(F.get(c, F.lit(i)), F.lit(1e-300))).alias(f"{name}{at}") for name, c in (("x", "data_term"), ("y", "excess")) for at, i in enumerate(order)])
+    slope = lambda c, i: (F.col(f"{c}{i + 1}") - F.col(f"{c}{i - 1}")) / 2
+    turn = lambda c, i: (F.col(f"{c}{i + 2}") - 2 * F.col(f"{c}{i}") + F.col(f"{c}{i - 2}")) / 4
+    if k < 5:
+        return rows.select("pair", F.lit(float(smooths[order[k // 2]]) if smooths else None).cast("double").alias("smooth"))
+    bends = []
+    for i in range(2, k - 2):
+        x1, y1 = slope("x", i), slope("y", i)
+        bend = F.try_divide(x1 * turn("y", i) - y1 * turn("x", i), F.pow(x1 * x1 + y1 * y1, F.lit(1.5)))
+        bends.append(F.struct(F.coalesce(bend, F.lit(float("-inf"))).alias("bend"), F.lit(-float(smooths[order[i]])).alias("less")))
+    return rows.select("pair", F.negative(F.array_max(F.array(*bends))["less"]).alias("smooth"))
+
+
 def census(events: DataFrame, matches: DataFrame) -> DataFrame:
     """pair, n_a, n_b, matched, only_a, only_b, coverage (of the shorter side) of events (pair, side) and their matches (pair, i, j)."""
     sides = events.groupBy("pair").agg(F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b"))
