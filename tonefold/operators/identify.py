@@ -11,7 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import matching, scans, sessions
+from . import scans, search, sessions
 
 LINES = ("mel", "top", "bass")
 #: Onsets of one cluster, steps of an ornament (nanoseconds); steps that make an ornament; the register: notes remembered and semitones below their median.
@@ -79,8 +79,8 @@ def candidates(read: DataFrame, themes: DataFrame, *, n: int = 4, clamp: int = 1
     """take, segment, line, theme, hits, density, margin, confidence: the best theme of each line; themes: theme, i, pitch."""
     asked = read.withColumn("query", F.concat_ws("/", "take", "segment", "line"))
     grams = sessions.ngrams(asked, ["query"], ["pos"], "pitch", n=n, clamp=clamp)
-    corpus = sessions.ngrams(themes.withColumn("theme", F.concat(F.lit("t"), F.col("theme").cast("string"))), ["theme"], ["i"], "pitch", n=n, clamp=clamp)
-    best = matching.candidates(matching.votes(grams, matching.index(corpus)))
+    corpus = search.packed(sessions.ngrams(themes, ["theme"], ["i"], "pitch", n=n, clamp=clamp), ["theme"])
+    best = search.candidates(grams, corpus.withColumn("theme", F.concat(F.lit("t"), F.col("theme").cast("string"))))
     part = lambda i: F.split("query", "/")[i]
     margin = F.round((F.col("hits") - F.col("runner_up")) / F.col("hits"), 3)
     return best.select(part(0).cast("long").alias("take"), part(1).cast("long").alias("segment"), part(2).alias("line"), F.substring("theme", 2, 40).alias("theme"), "hits", F.round("density", 3).alias("density"), margin.alias("margin"), "confidence")
